@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from runlens.functions.columns import txn_class
 from runlens.operators.facts import as_list
 from runlens.operators.stats import gaps, shift_to_zero
+from runlens.sources.store import settle
 
 __all__ = [
     "diff_series",
@@ -116,9 +117,12 @@ def region_counts(diffs, region="coordinator_region"):
 def diff_series(diffs, region, home=None, time="from", keys=()):
     """The points (time, diff) of one region [and home] in time order.
 
-    Times start at 0, the earliest time of all ``diffs`` (per ``keys``).
+    Times start at 0, the earliest time of all ``diffs`` (per ``keys``). The columns in use are
+    stored, since a breakdown is costly to compute twice.
     """
-    shifted = shift_to_zero(diffs, keys, time).where(F.col("coordinator_region") == region)
+    used = diffs.select(*as_list(keys), "coordinator_region", "home", time, "diff")
+    shifted = shift_to_zero(settle(used, "diffs"), keys, time)
+    shifted = shifted.where(F.col("coordinator_region") == region)
     if home is not None:
         shifted = shifted.where(F.col("home") == home)
     return shifted.select(*as_list(keys), "home", time, "diff").orderBy(time)

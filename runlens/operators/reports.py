@@ -1,8 +1,10 @@
 """Summary reports and the comparison of systems."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.operators.facts import as_list, with_facts
+from runlens.sources.store import settle
 
 _WORKLOAD = ["wl_mh", "wl_hot"]
 OUTCOMES = ["write", "deadlock", "other"]
@@ -27,15 +29,15 @@ def report_latency(report, config_name, probs=("p50", "p95", "p99")):
 def outcome_mix(report):
     """Transactions per workload and outcome, and their share of the workload in percent.
 
-    Counts are summed first, so the share is taken over a handful of rows per workload.
+    Counts are summed first, so the window sees one row per outcome and workload.
     """
     counts = (
         report.withColumn("type", F.regexp_replace("type", "too-old", "other"))
         .groupBy(*_WORKLOAD, "type")
         .agg(F.sum("count").alias("count"))
     )
-    shares = with_facts(counts, _WORKLOAD, {"_all": F.sum("count")})
-    return shares.withColumn("pct", F.try_divide(F.col("count") * 100, F.col("_all"))).drop("_all")
+    of_workload = F.sum("count").over(Window.partitionBy(*_WORKLOAD))
+    return counts.withColumn("pct", F.try_divide(F.col("count") * 100, of_workload))
 
 
 def outcome_counts_wide(mix, types=OUTCOMES):
@@ -61,7 +63,7 @@ def outcome_pct_wide(mix, types=OUTCOMES, mh_values=None):
         .pivot("_name", names)
         .agg(F.first("pct"))
     )
-    return wide.select((1 / F.col("wl_hot")).alias("hot"), *names).orderBy("hot")
+    return wide.select(F.try_divide(F.lit(1), "wl_hot").alias("hot"), *names).orderBy("hot")
 
 
 def compare_systems(ours, other, configs, value="throughput"):
@@ -73,11 +75,12 @@ def compare_systems(ours, other, configs, value="throughput"):
 def relative_to(df, keys, base, values):
     """Columns divided by their value in the group's base row.
 
-    ``base`` is the condition of that row; a group without one gives null.
+    ``base`` is the condition of that row; a group without one gives null. The result frame is
+    stored, since it is read twice.
     """
     values = as_list(values)
     bases = {f"_base_{v}": F.max(F.when(base, F.col(v))) for v in values}
-    related = with_facts(df, as_list(keys), bases)
+    related = with_facts(settle(df, "frame"), as_list(keys), bases)
     return related.withColumns(
         {v: F.try_divide(F.col(v), F.col(f"_base_{v}")) for v in values}
     ).drop(*bases)
@@ -88,8 +91,9 @@ def scale_by_max_wide(df, value, mh_values):
 
     The key is the contention ``hot`` = 1 / ``wl_hot``.
     """
-    scaled = with_facts(df, [], {"_max": F.max(value)}).select(
-        (1 / F.col("wl_hot")).alias("hot"),
+    frame = settle(df.select("wl_mh", "wl_hot", value), "frame")
+    scaled = with_facts(frame, [], {"_max": F.max(value)}).select(
+        F.try_divide(F.lit(1), "wl_hot").alias("hot"),
         F.concat_ws("_", F.lit(value), "wl_mh").alias("_name"),
         F.try_divide(F.col(value), F.col("_max")).alias("_share"),
     )
@@ -100,4 +104,4 @@ def scale_by_max_wide(df, value, mh_values):
 def stack_systems(ours, other):
     """The rows of two results with different columns; ``wl_hot`` becomes 1 / ``wl_hot``."""
     both = ours.unionByName(other, allowMissingColumns=True)
-    return both.withColumn("wl_hot", 1 / F.col("wl_hot"))
+    return both.withColumn("wl_hot", F.try_divide(F.lit(1), "wl_hot"))

@@ -54,7 +54,10 @@ def cdf(df, keys, x, tiebreak=None):
 
 
 def shift_to_zero(df, keys, cols):
-    """Columns minus their smallest value (nulls ignored) in the group or the whole table."""
+    """Columns minus their smallest value (nulls ignored) in the group or the whole table.
+
+    ``df`` is read twice; ``settle`` it first if it is costly to compute.
+    """
     cols = as_list(cols)
     shifted = with_facts(df, as_list(keys), {f"_min_{c}": F.min(c) for c in cols})
     return shifted.withColumns({c: F.col(c) - F.col(f"_min_{c}") for c in cols}).drop(
@@ -63,7 +66,10 @@ def shift_to_zero(df, keys, cols):
 
 
 def min_max_scale(df, keys, col):
-    """T4: (x - min) / (max - min) in the group; null where all values are equal."""
+    """T4: (x - min) / (max - min) in the group; null where all values are equal.
+
+    ``df`` is read twice; ``settle`` it first if it is costly to compute.
+    """
     scaled = with_facts(df, as_list(keys), {"_min": F.min(col), "_max": F.max(col)})
     share = F.try_divide(F.col(col) - F.col("_min"), F.col("_max") - F.col("_min"))
     return scaled.withColumn(col, share).drop("_min", "_max")

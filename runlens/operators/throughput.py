@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import tag_from_name
-from runlens.operators.facts import as_list
+from runlens.operators.facts import as_list, attach
 from runlens.operators.window import FOREVER_S, machine_spans, run_window, trims
 from runlens.sources.store import settle
 
@@ -46,14 +46,13 @@ def throughput(
     the last of them; the experiment's is the sum. The sampling rate is that of the whole run. A
     machine with a single transaction has no rate (null).
 
-    One small aggregate per machine serves the window bounds and the sampling rate.
+    One small aggregate per machine, stored, serves the window bounds, the sampling rate and, if
+    the window drops nothing, the rates as well.
     """
     keys = as_list(keys)
     by = [*keys, machine]
-    spans = machine_spans(txns, by)
-    kept = spans
+    spans = kept = settle(machine_spans(txns, by), "spans")
     if trims(start_s, dur_s, upper):
-        spans = settle(spans, "spans")
         rows = txns.select(*by, "sent_at")
         kept = machine_spans(run_window(rows, by, start_s, dur_s, upper, spans=spans), by)
     sample = _rate(spans.groupBy(*keys).agg(F.sum("sent").alias("sent")), summary, keys)
@@ -83,7 +82,7 @@ def throughput_by_experiment(txns, summary, index, clients=None, **window):
     """
     if clients is not None:
         index = index.where(F.col("clients") == clients)
-        txns = txns.join(index.select("prefix").distinct(), "prefix", "left_semi")
+        txns = attach(txns, index.select("prefix").distinct(), ["prefix"], "left_semi")
     return with_index(throughput(txns, summary, **window), index)
 
 
@@ -96,15 +95,21 @@ def counter_throughput(summary, keys="prefix", scale_pattern=r"sz(\d+)"):
 
 
 def throughput_over_time(txns, summary, keys="prefix"):
-    """M6: transactions per second of the run, corrected for sampling, in time order."""
+    """M6: transactions per second of the run, corrected for sampling, in time order.
+
+    The counts per second also give the sampling rate, so the log is read once.
+    """
     keys = as_list(keys)
-    sample = sample_rate(txns, summary, keys).select(*keys, "sample")
     second = (F.col("sent_at") / 1000000000).cast("long")
-    return (
+    counts = (
         txns.where(F.col("sent_at").isNotNull())
         .groupBy(*keys, second.alias("time"))
         .agg(F.count("sent_at").alias("sent"))
-        .join(sample, keys)
+    )
+    counts = settle(counts, "seconds")
+    sample = _rate(counts.groupBy(*keys).agg(F.sum("sent").alias("sent")), summary, keys)
+    return (
+        counts.join(sample.select(*keys, "sample"), keys)
         .select(
             *keys,
             "time",
