@@ -1,4 +1,8 @@
-"""Run the queries against their SQL: ``python -m checks.compare [sf_dir] [query ...]``."""
+"""Run the queries against their SQL: ``python -m checks.compare [sf_dir] [query ...]``.
+
+``CONF="name=value ..."`` sets more session settings, for example
+``spark.sql.autoBroadcastJoinThreshold=-1`` to take the way of tables too large to broadcast.
+"""
 
 import glob
 import os
@@ -57,6 +61,7 @@ def main():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            **dict(pair.split("=", 1) for pair in os.environ.get("CONF", "").split() if pair),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,8 @@
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from runlens.sources.store import scratch_dir
 
 
@@ -62,8 +64,13 @@ def _new_root(spark):
 
 
 def write_tree(df, side, file, columns, archives=False, root=None):
-    """Write ``df`` (with ``_experiment`` and ``_directory``) as logs; return the root."""
+    """Write ``df`` (with ``_experiment`` and ``_directory``) as logs; return the root.
+
+    Rows of one directory lie together, yet a heavy directory is spread over several tasks.
+    """
     root = root or _new_root(df.sparkSession)
     writer = (_archive_writer if archives else _file_writer)(root, side, file, columns)
-    df.mapInPandas(writer, "files long, rows long").agg({"rows": "sum"}).collect()
+    by = ["_experiment", "_directory"]
+    placed = df.repartitionByRange(*by, F.rand(0)).sortWithinPartitions(*by)
+    placed.mapInPandas(writer, "files long, rows long").agg({"rows": "sum"}).collect()
     return root

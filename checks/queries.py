@@ -875,7 +875,7 @@ def _(v):
 
 @check(
     "read_log_tree_summary",
-    """select replace(prefix, '/', '-') as experiment, machine, committed, aborted,
+    """select concat('exp-', substr(prefix, 5, 1)) as experiment, machine, committed, aborted,
               cast(0 as bigint) as not_started, cast(0 as bigint) as restarted,
               cast(0 as bigint) as single_home, cast(0 as bigint) as multi_home,
               cast(0 as bigint) as single_partition, cast(0 as bigint) as multi_partition,
@@ -884,7 +884,7 @@ def _(v):
 def _(v):
     cols = [f.name for f in logs.schemas.SUMMARY.fields]
     rows = v.summary.select(
-        F.replace("prefix", F.lit("/"), F.lit("-")).alias("_experiment"),
+        F.concat(F.lit("exp-"), F.substring("prefix", 5, 1)).alias("_experiment"),
         F.col("machine").alias("_directory"),
         *[F.col(c) if c in v.summary.columns else F.lit(0).alias(c) for c in cols],
     )
@@ -901,12 +901,12 @@ def _server_rows(df, cols):
 
 @check(
     "read_log_tree_deadlocks",
-    """select substr(prefix, 5) as experiment, time, "partition", region as replica, vertices from deadlocks""",
+    """select config_name as experiment, time, "partition", region as replica, vertices from deadlocks""",
 )
 def _(v):
     cols = ["time", "partition", "region", "vertices"]
-    rows = _server_rows(v.deadlocks, ["prefix", *cols])
-    rows = rows.withColumn("_experiment", F.expr("substr(prefix, 5)"))
+    rows = _server_rows(v.deadlocks, ["config_name", *cols])
+    rows = rows.withColumn("_experiment", F.col("config_name"))
     root = write_tree(rows, "server", "deadlocks.csv", cols)
     return _experiment(logs.read_deadlocks(v.spark, root, region_col="replica"))
 
@@ -1016,12 +1016,13 @@ def _(v):
 )
 def _(v):
     name = F.replace("prefix", F.lit("/"), F.lit("-")).alias("_experiment")
+    two = F.col("machine") % 2
     server = v.base.select(
-        name, F.concat(F.lit("0-"), F.col("machine")).alias("_directory"), "config_name"
+        name, F.concat(F.lit("0-"), two).alias("_directory"), "config_name"
     ).distinct()
     client = v.base.select(
         name,
-        F.col("machine").alias("_directory"),
+        two.alias("_directory"),
         F.lit(60).alias("duration"),
         F.lit(1000).alias("txns"),
         "clients",

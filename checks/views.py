@@ -5,6 +5,7 @@ values, Q(x) a quoted name. Order dates are whole days, so a day is counted as a
 """
 
 import re
+from functools import lru_cache
 
 VIEWS = {
     "base": """
@@ -114,10 +115,16 @@ def _sources(text):
     return [name for name in [*TABLES, *VIEWS] if name in used]
 
 
+@lru_cache(maxsize=None)
+def _schema(spark, path):
+    return spark.read.parquet(path).schema
+
+
 def view(spark, sf_dir, name):
     """One view (or given table) as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        return spark.read.schema(_schema(spark, path)).parquet(path)
     text = VIEWS[name]
     inputs = {source: view(spark, sf_dir, source) for source in _sources(text)}
     for source in inputs:
