@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions.paths import with_prefix, with_server_fields, with_source_fields
+from runlens.operators.clocks import with_deviation
 from runlens.sources.logs import typed_transactions
 
 LINES = "archive string, member string, line_no long, line string"
@@ -92,11 +93,17 @@ def read_archives(spark, glob, suffix=".tar.gz", batch_rows=20000, in_memory=IN_
 
 # How to read one kind of log out of the archives: its layout and where its keys come from.
 _TABLES = {
-    "transactions.csv": (schemas.TRANSACTIONS, with_source_fields),
+    "transactions.csv": (
+        schemas.TRANSACTIONS,
+        lambda df, path: typed_transactions(with_source_fields(df, path=path)),
+    ),
     "summary.csv": (schemas.SUMMARY, with_source_fields),
     "txn_events.csv": (schemas.CLIENT_EVENTS, with_prefix),
     "deadlocks.csv": (schemas.DEADLOCKS, with_prefix),
-    "txn_timestamps.csv": (schemas.TXN_TIMESTAMPS, with_server_fields),
+    "txn_timestamps.csv": (
+        schemas.TXN_TIMESTAMPS,
+        lambda df, path: with_deviation(with_server_fields(df, path)),
+    ),
     "generic.csv": (schemas.MEASUREMENTS, with_prefix),
     "events.csv": (schemas.SERVER_EVENTS, with_prefix),
     "forw_sequ_latency.csv": (
@@ -119,5 +126,4 @@ def archived_table(lines, file):
     rows = lines.where(path.rlike(rf"/{file.replace('.', '[.]')}(/[^/]+)?$") & (F.col("line_no") > 1))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.fields)
     parsed = rows.select(path.alias("_path"), F.from_csv("line", F.lit(fields)).alias("_row"))
-    keyed = with_keys(parsed.select("_path", "_row.*"), path=F.col("_path")).drop("_path")
-    return typed_transactions(keyed) if file == "transactions.csv" else keyed
+    return with_keys(parsed.select("_path", "_row.*"), path=F.col("_path")).drop("_path")
