@@ -4,7 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.operators.facts import as_list, attach, with_facts
-from runlens.operators.ordering import accumulated, in_pieces, ranked, value_counts
+from runlens.operators.ordering import (
+    accumulated,
+    in_pieces,
+    ranked,
+    value_counts,
+    with_ties_apart,
+)
 from runlens.sources.store import settle
 
 DEFAULT_ACCURACY = 10000
@@ -47,9 +53,10 @@ def cdf(df, keys, x, tiebreak=None):
     """
     keys, ties = as_list(keys), as_list(tiebreak)
     points = df.where(F.col(x).isNotNull()).select(*keys, x, *ties)
-    # Equal values cannot be told apart without a tiebreak, yet must spread over the cluster.
-    salted = points if ties else points.withColumn("_salt", F.rand(0))
-    placed = ranked(salted, keys, [x, *(ties or ["_salt"])])
+    if ties:
+        placed = ranked(points, keys, [x, *ties])
+    else:
+        placed = ranked(with_ties_apart(points), keys, [x, "_salt"])
     return placed.select(*keys, x, *ties, (F.col("rank") / F.col("group_size")).alias("y"))
 
 
@@ -158,10 +165,10 @@ def gaps(df, keys, t, tiebreak=None, drop_first=True):
     """
     keys, ties = as_list(keys), as_list(tiebreak)
     timed = df.where(F.col(t).isNotNull())
-    order = [t, *ties]
-    if not ties:
-        timed, order = timed.withColumn("_salt", F.rand(0)), [t, "_salt"]
-    placed = in_pieces(timed, keys, order).drop("_salt")
+    if ties:
+        placed = in_pieces(timed, keys, [t, *ties])
+    else:
+        placed = in_pieces(with_ties_apart(timed), keys, [t, "_salt"]).drop("_salt")
     by_key = Window.partitionBy(*keys)
     pieces = (
         placed.groupBy(*keys, "_piece")

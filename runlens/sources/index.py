@@ -9,8 +9,8 @@ from runlens.schemas import METADATA_INTS
 from runlens.sources.logs import client_path, server_path
 
 
-def _metadata(spark, path):
-    raw = spark.read.option("header", True).csv(path)
+def _metadata(spark, path, check_header):
+    raw = spark.read.option("header", True).option("enforceSchema", not check_header).csv(path)
     plain = raw.withColumnsRenamed({c: c.replace(":", "_") for c in raw.columns})
     # The path column is only known next to the scan, so it is added before the rename.
     return with_prefix(raw).withColumnsRenamed(dict(zip(raw.columns, plain.columns))).distinct()
@@ -31,19 +31,20 @@ def _one_per_prefix(df, conflicts, side):
     return grouped.select("prefix", *[F.col(f"_first.`{c}`").alias(c) for c in rest])
 
 
-def experiment_index(spark, root, experiment="*", conflicts="keep"):
+def experiment_index(spark, root, experiment="*", conflicts="keep", check_header=False):
     """One row per experiment with the metadata of its servers and clients.
 
     Colons in column names become underscores (``wl:mh`` to ``wl_mh``) and known numbers become
     ints. A column that both sides have keeps its name on the server side and is ``client_...`` on
     the other. All machines of an experiment should hold the same metadata; if they do not,
     ``conflicts`` says whether to ``keep`` a row for each, take the ``first``, or ``raise``.
+    The column names come from one file; ``check_header`` raises where another file differs.
     """
     if conflicts not in ("keep", "first", "raise"):
         raise ValueError("conflicts must be 'keep', 'first' or 'raise'")
     sides = {}
     for side, path in (("server", server_path), ("client", client_path)):
-        rows = _metadata(spark, path(root, experiment, "metadata.csv"))
+        rows = _metadata(spark, path(root, experiment, "metadata.csv"), check_header)
         sides[side] = _one_per_prefix(rows, conflicts, side)
     shared = set(sides["server"].columns) & set(sides["client"].columns) - {"prefix"}
     client = sides["client"].withColumnsRenamed({c: f"client_{c}" for c in shared})

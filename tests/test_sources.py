@@ -110,6 +110,16 @@ def test_index_conflicts(spark, tmp_path):
         index.experiment_index(spark, root, conflicts="raise").collect()
 
 
+def test_index_checks_headers(spark, tmp_path):
+    root = str(tmp_path)
+    write(f"{root}/e/server/0-0/metadata.csv", "config_name", "a.conf")
+    for machine, header in ((0, "duration,txns,clients,rate"), (1, "txns,duration,clients,rate")):
+        write(f"{root}/e/client/{machine}/metadata.csv", header, "60,5,1,0")
+    assert index.experiment_index(spark, root).count() == 1
+    with pytest.raises(Exception, match="(?i)header"):
+        index.experiment_index(spark, root, check_header=True).collect()
+
+
 def test_reports(spark, tmp_path):
     write(
         f"{tmp_path}/r.csv",
