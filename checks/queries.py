@@ -20,6 +20,8 @@ from runlens.operators import (
     throughput,
     window,
 )
+from runlens.plans import studies
+from runlens.plans.logs import RunLogs
 from runlens.sources import archives, index, logs, store
 from runlens.sources import reports as report_sources
 
@@ -413,12 +415,11 @@ def _theirs(v):
       (select wl_mh, wl_hot,
               round(max(throughput) filter (where config_name = 'write.conf'), 4) as "write.conf",
               round(max(throughput) filter (where config_name = 'deadlock.conf'), 4) as "deadlock.conf"
-       from ours where wl_mh < 100 group by 1, 2) p
-    left join (select * from theirs where wl_hot > 10) t on p.wl_mh = t.wl_mh and p.wl_hot = t.wl_hot""",
+       from ours group by 1, 2) p
+    left join theirs t on p.wl_mh = t.wl_mh and p.wl_hot = t.wl_hot""",
 )
 def _(v):
-    ours = _ours(v).where(F.col("wl_mh") < 100)
-    found = reports.compare_systems(ours, _theirs(v).where(F.col("wl_hot") > 10), _CONFIGS)
+    found = reports.compare_systems(_ours(v), _theirs(v), _CONFIGS)
     return found.select(
         "wl_mh",
         "wl_hot",
@@ -517,12 +518,11 @@ def _(v):
     "deadlock_totals",
     """select e.prefix, count(d.prefix) as deadlock_cnt, cast(sum(vertices) as bigint) as deadlock_sz
        from deadlock_experiments e
-       left join (select * from deadlocks where region = 0 and vertices > 45) d on e.prefix = d.prefix
+       left join (select * from deadlocks where region = 0) d on e.prefix = d.prefix
        group by e.prefix""",
 )
 def _(v):
-    big = v.deadlocks.where(F.col("vertices") > 45)
-    return deadlocks.deadlock_totals(big, v.deadlock_experiments)
+    return deadlocks.deadlock_totals(v.deadlocks, v.deadlock_experiments)
 
 
 @check(
@@ -714,11 +714,11 @@ def _(v):
 
 @check(
     "drop_constant_columns",
-    """select prefix, time, vertices, 'kept' as note from deadlocks where wl_mh = 10""",
+    "select prefix, time, vertices, 'kept' as note from deadlocks",
 )
 def _(v):
-    rows = v.deadlocks.where(F.col("wl_mh") == 10)
-    rows = rows.select("prefix", "wl_mh", "time", "vertices", F.lit(None).cast("int").alias("empty"))
+    rows = v.deadlocks.select("prefix", F.lit(100).alias("wl_mp"), "time", "vertices")
+    rows = rows.withColumn("empty", F.lit(None).cast("int"))
     return stats.drop_constant_columns(rows.withColumn("note", F.lit("kept")), ignore=["note"])
 
 
@@ -1036,6 +1036,95 @@ def _(v):
     return _experiment(index.experiment_index(v.spark, root))
 
 
+# ------------------------------------------------------------------- studies
+# From a tree of logs to the result table. The tree has an experiment per order status.
+
+_RUNS = """runs as (select concat('exp-', substr(prefix, 5, 1), '-sz5') as prefix, machine, txn_id,
+    coordinator, regions, sent_at, received_at from txns),
+counters as (select concat('exp-', substr(prefix, 5, 1), '-sz5') as prefix, machine,
+    cast(sum(committed) as bigint) as committed, cast(sum(elapsed_time) as bigint) as elapsed_time
+    from summary group by 1, 2)"""
+
+
+def _study_logs(v, *files):
+    """A tree with the named logs of the runs, and its metadata."""
+    status = F.substring("prefix", 5, 1)
+    name = F.concat(F.lit("exp-"), status, F.lit("-sz5")).alias("_experiment")
+    machine = F.col("machine").alias("_directory")
+    root = None
+    if "transactions" in files:
+        rows = v.txns.select(name, machine, *[
+            joined(c).alias(c) if c in ("regions", "partitions")
+            else F.col(c) if c in v.txns.columns else F.lit(0).alias(c)
+            for c in _TXN_COLS
+        ])
+        root = write_tree(rows, "client", "transactions.csv", _TXN_COLS)
+    if "summary" in files:
+        cols = [f.name for f in logs.schemas.SUMMARY.fields]
+        sums = v.summary.groupBy(name, machine).agg(
+            F.sum("committed").alias("committed"), F.sum("elapsed_time").alias("elapsed_time")
+        )
+        rows = sums.select("*", *[F.lit(0).alias(c) for c in cols if c not in sums.columns])
+        root = write_tree(rows, "client", "summary.csv", cols, root=root)
+    both = v.base.select(name, F.concat(status, F.lit(".conf")).alias("config_name")).distinct()
+    meta = {"duration": 60, "txns": 0, "clients": 100, "rate": 0}
+    client = both.withColumns({c: F.lit(x) for c, x in meta.items()})
+    write_tree(client.withColumn("_directory", F.lit(0)), "client", "metadata.csv", list(meta), root=root)
+    server = both.withColumn("_directory", F.lit("0-0"))
+    write_tree(server, "server", "metadata.csv", ["config_name"], root=root)
+    return RunLogs(v.spark, root, plain_names=True)
+
+
+_STUDY_INDEX = """round({0}, 6) as {0}, prefix as experiment, substr(prefix, 5, 1) as config_name,
+    cast(60 as int) as duration, cast(0 as int) as txns, cast(100 as int) as clients, cast(0 as int) as rate"""
+
+
+@check(
+    "study_throughput",
+    f"""with {_RUNS},
+    w as (select *, min(sent_at) over (partition by prefix, machine) as lo from runs),
+    rate as (select prefix, machine, count(*) as n, max(sent_at) - min(sent_at) as span
+             from w where sent_at >= lo + 10000000000 group by 1, 2),
+    smp as (select a.prefix, n / committed * 100 as sample
+            from (select prefix, count(*) as n from runs group by 1) a
+            join (select prefix, sum(committed) as committed from counters group by 1) c
+            on a.prefix = c.prefix),
+    t as (select rate.prefix, sum(rate.n * 1000000000 * (100 / smp.sample) / nullif(span, 0)) as throughput
+          from rate join smp on rate.prefix = smp.prefix group by 1)
+    select {_STUDY_INDEX.format("throughput")} from t""",
+)
+def _(v):
+    run = _study_logs(v, "transactions", "summary")
+    return _experiment(rounded(studies.throughput_study(run), "throughput"))
+
+
+@check(
+    "study_scalability",
+    f"""with {_RUNS}, t as (select prefix, sum(committed / elapsed_time * 1000000000) as throughput
+                            from counters group by 1)
+    select {_STUDY_INDEX.format("throughput")}, cast(5 as int) as scale from t""",
+)
+def _(v):
+    return _experiment(rounded(studies.scalability_study(_study_logs(v, "summary")), "throughput"))
+
+
+@check(
+    "study_latency_multi_home",
+    f"""with {_RUNS},
+    m as (select prefix, txn_id, (received_at - sent_at) / 1000000 as latency,
+                 count(*) over (partition by prefix, coordinator >> 24) as n
+          from runs where len(regions) > 1),
+    t as (select prefix, quantile_disc(latency, 0.5) as p50, quantile_disc(latency, 0.99) as p99
+          from m where ('0x' || substr(md5(concat('1000:', txn_id)), 1, 8))::bigint / 4294967296
+                       < least(1, 200 / n) group by prefix)
+    select p99, {_STUDY_INDEX.format("p50")} from t""",
+)
+def _(v):
+    run = _study_logs(v, "transactions")
+    found = studies.latency_study(run, homes="multi", probs=(0.5, 0.99))
+    return _experiment(rounded(found, "p50"))
+
+
 @check(
     "materialize",
     f"with {WINDOWED} select prefix, machine, round(throughput, 6) as throughput from rates",

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from runlens.operators.facts import as_list, attach
+from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.stats import box_stats
 from runlens.operators.throughput import committed
+from runlens.sources.store import settle
 
 
 def _in_region(deadlocks, region, region_col):
@@ -12,20 +13,20 @@ def _in_region(deadlocks, region, region_col):
 
 
 def deadlock_profile(
-    deadlocks, index, summary, condition=None, region=0, region_col="region"
+    deadlocks, index, summary, condition=None, region=0, region_col="region", stored=False
 ):
     """Deadlocks per configuration and share of multi-home transactions.
 
     Gives their number, the distribution of their sizes (box statistics) and the committed
     transactions of the same experiments. ``condition`` picks the experiments. Every server logs
     the deadlocks it sees, so one region's log is read. Experiments without a deadlock keep a row.
+    ``stored`` says that the index is a stored table already.
     """
     by = ["config_name", "wl_mh"]
-    chosen = index if condition is None else index.where(condition)
-    chosen = chosen.select("prefix", *by)
-    rows = attach(
-        _in_region(deadlocks, region, region_col).select("prefix", "vertices"), chosen, ["prefix"]
-    )
+    index = index if stored else settle(index, "index")
+    chosen = (index if condition is None else index.where(condition)).select("prefix", *by)
+    seen = _in_region(deadlocks, region, region_col).select("prefix", "vertices")
+    rows = with_metadata(seen, chosen, stored=True)
     totals = (
         chosen.join(committed(summary), "prefix", "left")
         .groupBy(*by)

@@ -22,6 +22,17 @@ def attach(df, facts, keys, how="inner", stored=False):
     return df.join(right, same, how).drop(*marked.values())
 
 
+def with_metadata(df, index, condition=None, how="inner", stored=False):
+    """Join the index of experiments to rows of their logs.
+
+    The index is settled first unless it is ``stored``, so that its real size decides the join.
+    ``condition`` picks experiments on the stored index; on logs that are laid out by experiment
+    Spark then skips the others' files.
+    """
+    small = index if stored else settle(index, "index")
+    return df.join(small if condition is None else small.where(condition), "prefix", how)
+
+
 def with_facts(df, keys, aggs):
     """``df`` with one more column per aggregate of its group; no keys means the whole table.
 

@@ -9,7 +9,7 @@ from runlens.functions.columns import (
     packed_region,
     single_home,
 )
-from runlens.operators.facts import as_list, attach
+from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.sampling import sample_rows, stratified_sample
 from runlens.operators.stats import DEFAULT_ACCURACY, percentiles
 from runlens.operators.window import run_window
@@ -66,15 +66,14 @@ def stratified_percentiles(latencies, index=None, n=200, key=None, seed=1000, sh
     return found if index is None else found.join(index, "prefix")
 
 
-def latency_by_region(latencies, index, shifts=None, condition=None):
+def latency_by_region(latencies, index, shifts=None, condition=None, stored=False):
     """Latencies with the metadata of their experiment and the coordinator's region.
 
     ``condition`` restricts the experiments (say one configuration and client count) before the
-    join, so that only their rows are read further.
+    join; ``stored`` says that the index is a stored table already.
     """
-    if condition is not None:
-        index = index.where(condition)
-    return coordinator_region(attach(latencies, index, ["prefix"]), shifts)
+    rows = with_metadata(latencies, index, condition, stored=stored)
+    return coordinator_region(rows, shifts)
 
 
 def throughput_latency_curve(

@@ -58,10 +58,17 @@ def ranked(df, keys, order):
     )
 
 
-def accumulated(df, keys, order, weight):
-    """``df`` with ``upto`` (running sum of ``weight`` in ``order``) and ``total`` of each group."""
+def spread(df, keys, order):
+    """``df`` range-shuffled by (keys, order), stored with the piece (``_piece``) of each row."""
     placed = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
-    placed = settle(placed, "ordered")
+    return settle(placed, "ordered")
+
+
+def accumulated(placed, keys, order, weight):
+    """``upto`` (running sum of ``weight`` in ``order``) and ``total`` of each group.
+
+    ``placed`` is a result of ``spread`` with the same keys and order.
+    """
     by_key = Window.partitionBy(*keys)
     pieces = (
         placed.groupBy(*keys, "_piece")

@@ -8,10 +8,10 @@ from runlens.operators.ordering import (
     accumulated,
     in_pieces,
     ranked,
+    spread,
     value_counts,
     with_ties_apart,
 )
-from runlens.sources.store import settle
 
 DEFAULT_ACCURACY = 10000
 
@@ -33,7 +33,8 @@ def percentiles(
     keys = as_list(keys)
     names = percentile_names(probs, prefix)
     if exact:
-        places = accumulated(value_counts(df, keys, value), keys, [value], "count")
+        values = spread(value_counts(df, keys, value), keys, [value])
+        places = accumulated(values, keys, [value], "count")
         reached = [
             F.min(F.when(F.col("upto") >= F.col("total") * p, F.col(value))).alias(name)
             for p, name in zip(probs, names)
@@ -113,7 +114,7 @@ def box_stats(df, keys, x, whisker=1.5):
     values are combined before they are moved.
     """
     keys = as_list(keys)
-    placed = settle(accumulated(value_counts(df, keys, x), keys, [x], "count"), "values")
+    values = spread(value_counts(df, keys, x), keys, [x])
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     spots = {q: (F.col("total") - 1) * p for q, p in quartiles.items()}
 
@@ -126,7 +127,7 @@ def box_stats(df, keys, x, whisker=1.5):
         ends.append(value_at(F.floor(spot)).alias(f"_{q}_a"))
         ends.append(value_at(F.ceil(spot)).alias(f"_{q}_b"))
         ends.append((F.max(spot) - F.floor(F.max(spot))).alias(f"_{q}_part"))
-    boxes = placed.groupBy(*keys).agg(*ends)
+    boxes = accumulated(values, keys, [x], "count").groupBy(*keys).agg(*ends)
     boxes = boxes.select(
         *keys,
         "n",
@@ -141,7 +142,7 @@ def box_stats(df, keys, x, whisker=1.5):
     below, above = F.col(x) < F.col("q1") - reach, F.col(x) > F.col("q3") + reach
     facts = ["n", "low", "high", *quartiles]
     return (
-        attach(placed.select(*keys, x, "count"), boxes, keys)
+        attach(values.select(*keys, x, "count"), boxes, keys)
         .groupBy(*keys, *facts)
         .agg(
             F.min(F.when(~below, F.col(x))).alias("_low"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import tag_from_name
-from runlens.operators.facts import as_list, attach
+from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.window import FOREVER_S, machine_spans, run_window, trims
 from runlens.sources.store import settle
 
@@ -81,8 +81,10 @@ def throughput_by_experiment(txns, summary, index, clients=None, **window):
     ``clients`` keeps the experiments with that number of clients.
     """
     if clients is not None:
-        index = index.where(F.col("clients") == clients)
-        txns = attach(txns, index.select("prefix").distinct(), ["prefix"], "left_semi")
+        chosen = F.col("clients") == clients
+        index = settle(index, "index")
+        txns = with_metadata(txns, index, chosen, "left_semi", stored=True)
+        index = index.where(chosen)
     return with_index(throughput(txns, summary, **window), index)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runlens.functions.paths import config_label, tag_from_name
 from runlens.sources import logs
 from runlens.sources.index import experiment_index
-from runlens.sources.store import materialize
+from runlens.sources.store import materialize, settle
 
 
 class RunLogs:
@@ -36,8 +36,13 @@ class RunLogs:
 
     @cached_property
     def index(self):
-        """One row per experiment, with the tags; ``plain_names`` drops ``.conf``."""
+        """One row per experiment, with the tags; ``plain_names`` drops ``.conf``.
+
+        It is a stored table in any case, so that its real size is known to the joins.
+        """
         index = self._table("index", experiment_index, None)
+        if self.store is None:
+            index = settle(index, "index")
         for name, pattern in self.tags.items():
             index = tag_from_name(index, name, pattern)
         return config_label(index) if self.plain_names else index

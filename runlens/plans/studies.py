@@ -11,7 +11,7 @@ from runlens.operators import deadlocks as dl
 from runlens.operators import events as ev
 from runlens.operators import latency as lat
 from runlens.operators import reports as rep
-from runlens.operators.facts import as_list, attach
+from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.sampling import sample_rows
 from runlens.operators.stats import cdf
 from runlens.operators.throughput import counter_throughput, throughput, with_index
@@ -23,7 +23,7 @@ def _of(rows, index, settings):
     """The rows of the chosen experiments; all of them if nothing was chosen."""
     if not settings:
         return rows
-    return attach(rows, index.select("prefix").distinct(), ["prefix"], "left_semi")
+    return with_metadata(rows, index.select("prefix"), how="left_semi", stored=True)
 
 
 def throughput_study(logs, start_s=10, dur_s=50, order=("prefix",), **settings):
@@ -59,7 +59,7 @@ def latency_study(logs, homes="all", probs=FOUR, order=("prefix",), contains=Non
 def deadlock_study(logs, region=0, **settings):
     """Number and sizes of deadlocks per configuration and share of multi-home transactions."""
     index = logs.experiments(**settings)
-    found = dl.deadlock_profile(logs.deadlocks, index, logs.summary, region=region)
+    found = dl.deadlock_profile(logs.deadlocks, index, logs.summary, region=region, stored=True)
     return found.orderBy("config_name", "wl_mh")
 
 
@@ -72,7 +72,9 @@ def deadlock_totals_study(logs, tag, region=0, **settings):
 
 def regional_latency(logs, shifts=None, condition=None):
     """Latencies with metadata and the coordinator's region."""
-    return lat.latency_by_region(lat.latency(logs.transactions), logs.index, shifts, condition)
+    return lat.latency_by_region(
+        lat.latency(logs.transactions), logs.index, shifts, condition, stored=True
+    )
 
 
 def latency_cdfs(latencies, settings, split=()):
@@ -98,7 +100,7 @@ def throughput_latency_study(logs, shifts=None, start_s=5, dur_s=20, **settings)
     rates = throughput_study(logs, start_s, dur_s, **settings)
     index = logs.experiments(**settings)
     rows = _of(logs.transactions, index, settings)
-    latencies = lat.latency_by_region(lat.latency(rows), index, shifts)
+    latencies = lat.latency_by_region(lat.latency(rows), index, shifts, stored=True)
     return lat.throughput_latency_curve(rates, latencies, probs=FOUR)
 
 

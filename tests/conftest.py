@@ -42,7 +42,7 @@ def tree(tmp_path_factory):
     """Two experiments with two client machines and two servers each."""
     root = str(tmp_path_factory.mktemp("logs"))
     for name, config, clients in (
-        ("ddr-sz3-asym_ratio60", "first.conf", 200),
+        ("alpha-sz3-asym_ratio60", "first.conf", 200),
         ("base-sz19", "second.conf", 3000),
     ):
         for machine in (0, 1):

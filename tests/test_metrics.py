@@ -18,15 +18,16 @@ def by_name(rows):
     return {r.prefix.split("/")[-1]: r for r in rows}
 
 
-FIRST, OTHER = "ddr-sz3-asym_ratio60", "base-sz19"
+FIRST, OTHER = "alpha-sz3-asym_ratio60", "base-sz19"
 
 
 def test_window_drops_warm_up(run):
     kept = run_window(run.transactions, start_s=10).collect()
     found = sorted((r.prefix.split("/")[-1], r.machine, r.txn_id) for r in kept)
     # Each machine sends at 1, 12 and 21 s; one of them sends at 1 s only and has no rows left.
-    assert found == [(OTHER, 0, 2), (OTHER, 0, 3)] + [
-        (FIRST, m, t) for m in (0, 1) for t in (2, 3)
+    assert found == [(FIRST, m, t) for m in (0, 1) for t in (2, 3)] + [
+        (OTHER, 0, 2),
+        (OTHER, 0, 3),
     ]
     assert "first_at" not in kept[0].asDict() and "last_at" not in kept[0].asDict()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import runlens as rl
 from checks.queries import QUERIES
 from checks.views import view
+from runlens.plans import studies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -119,3 +120,15 @@ def test_stored_logs_prune_experiments(spark, tree, tmp_path):
     run = rl.RunLogs(spark, tree, store=f"{tmp_path}/store")
     rows = run.transactions.where(F.col("prefix").endswith("base-sz19"))
     assert re.search(r"PartitionFilters: \[.*prefix", plan(rows))
+
+
+def test_chosen_experiments_prune_the_stored_log(spark, tree, tmp_path):
+    """The index picks the folders of the log that are read at all."""
+    run = rl.RunLogs(spark, tree, store=f"{tmp_path}/store")
+    rows = studies._of(run.transactions, run.experiments(clients=200), {"clients": 200})
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", plan(rows))
+    assert rows.select("prefix").distinct().count() == 1
+    found = rl.latency_by_region(
+        rl.latency(run.transactions), run.index, condition=F.col("clients") == 200, stored=True
+    )
+    assert re.search(r"PartitionFilters: \[.*dynamicpruning", plan(found))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlens as rl
-from runlens.operators.ordering import accumulated, in_pieces, ranked
+from runlens.operators.ordering import accumulated, in_pieces, ranked, spread
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,8 @@ def test_ranked(skewed):
 def test_accumulated(skewed):
     df, pdf = skewed
     weighted = df.where("x is not null").withColumn("w", F.col("id") % 5)
-    rows = accumulated(weighted, ["key"], ["x", "id"], "w").toPandas()
+    placed = spread(weighted, ["key"], ["x", "id"])
+    rows = accumulated(placed, ["key"], ["x", "id"], "w").toPandas()
     for key, group in pdf.groupby("key"):
         group = group.sort_values(["x", "id"])
         got = rows[rows.key == key].sort_values(["x", "id"])
