@@ -227,7 +227,13 @@ def _(v):
 )
 def _(v):
     rows = latency.latency(v.txns).withColumn("region", F.shiftright("coordinator", 24))
-    return latency.latency_percentiles(rows, "region", _FOUR, exact=True)
+    return latency.latency_percentiles(rows, "region", _FOUR, method="exact")
+
+
+@check("latency_percentiles_merged", f"with {LATENCY} select prefix, {_P4} from lat group by prefix")
+def _(v):
+    rows = latency.latency(v.txns)
+    return latency.latency_percentiles(rows, probs=_FOUR, method="merged")
 
 
 @check(

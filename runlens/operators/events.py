@@ -121,7 +121,7 @@ def diff_series(diffs, region, home=None, time="from", keys=()):
     stored, since a breakdown is costly to compute twice.
     """
     used = diffs.select(*as_list(keys), "coordinator_region", "home", time, "diff")
-    shifted = shift_to_zero(settle(used, "diffs"), keys, time)
+    shifted = shift_to_zero(settle(used, "diffs", packed=True), keys, time)
     shifted = shifted.where(F.col("coordinator_region") == region)
     if home is not None:
         shifted = shifted.where(F.col("home") == home)

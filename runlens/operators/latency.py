@@ -38,10 +38,10 @@ def named(df, text, name="prefix"):
 
 
 def latency_percentiles(
-    latencies, keys="prefix", probs=(0.5, 0.99), accuracy=DEFAULT_ACCURACY, exact=False
+    latencies, keys="prefix", probs=(0.5, 0.99), accuracy=DEFAULT_ACCURACY, method="approx"
 ):
     """M9 on latencies."""
-    return percentiles(latencies, keys, "latency", probs, accuracy, exact=exact)
+    return percentiles(latencies, keys, "latency", probs, accuracy, method=method)
 
 
 def single_home_percentiles(latencies, index, **options):
@@ -77,7 +77,7 @@ def latency_by_region(latencies, index, shifts=None, condition=None, stored=Fals
 
 
 def throughput_latency_curve(
-    throughputs, latencies, probs=(0.5, 0.9, 0.95, 0.99), accuracy=DEFAULT_ACCURACY, exact=False
+    throughputs, latencies, probs=(0.5, 0.9, 0.95, 0.99), accuracy=DEFAULT_ACCURACY, method="approx"
 ):
     """Throughput next to latency percentiles per configuration and client count.
 
@@ -85,7 +85,7 @@ def throughput_latency_curve(
     ``latency_by_region``.
     """
     by = ["config_name", "clients"]
-    found = percentiles(latencies, by, "latency", probs, accuracy, exact=exact)
+    found = percentiles(latencies, by, "latency", probs, accuracy, method=method)
     return (
         throughputs.select(*by, "throughput")
         .join(found, by)

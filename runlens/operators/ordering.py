@@ -19,7 +19,7 @@ def with_ties_apart(df):
 
     It is stored before it decides where a row goes, so that a repeated task draws nothing new.
     """
-    return settle(df.withColumn("_salt", F.rand(0)), "salted")
+    return settle(df.withColumn("_salt", F.rand(0)), "salted", packed=True)
 
 
 def in_pieces(df, keys, order):
@@ -33,7 +33,7 @@ def in_pieces(df, keys, order):
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_piece", F.shiftright("_pos", _PIECE_BITS))
     )
-    return settle(placed, "ordered")
+    return settle(placed, "ordered", packed=True)
 
 
 def ranked(df, keys, order):
@@ -61,7 +61,7 @@ def ranked(df, keys, order):
 def spread(df, keys, order):
     """``df`` range-shuffled by (keys, order), stored with the piece (``_piece``) of each row."""
     placed = df.repartitionByRange(*keys, *order).withColumn("_piece", F.spark_partition_id())
-    return settle(placed, "ordered")
+    return settle(placed, "ordered", packed=True)
 
 
 def accumulated(placed, keys, order, weight):

@@ -32,16 +32,21 @@ def scratch_dir(spark):
     return f"{base.rstrip('/')}/runlens-{context.applicationId}"
 
 
-def settle(df, name="table"):
+def settle(df, name="table", packed=False):
     """Write ``df`` to the scratch folder and read it back.
 
     This cuts the lineage, freezes values that depend on the partitioning, and gives the planner
     the real size of the table: a small one is broadcast in later joins because its files are
-    below ``spark.sql.autoBroadcastJoinThreshold``, a large one is sort-merge joined.
+    below ``spark.sql.autoBroadcastJoinThreshold``, a large one is sort-merge joined. The files
+    are neither compressed nor encoded, so that their size is about that in memory; tables that
+    only pass data on are ``packed``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if not packed:
+        writer = writer.option("compression", "none").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

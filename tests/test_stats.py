@@ -85,7 +85,7 @@ def test_cdf_of_whole_table(skewed):
 
 def test_exact_percentiles(skewed):
     df, pdf = skewed
-    rows = rl.percentiles(df, "key", "x", (0.01, 0.5, 0.999), exact=True).toPandas()
+    rows = rl.percentiles(df, "key", "x", (0.01, 0.5, 0.999), method="exact").toPandas()
     assert list(rows.columns) == ["key", "p1", "p50", "p99.9"]
     for key, group in pdf.groupby("key"):
         x = np.sort(group.x)
@@ -96,9 +96,27 @@ def test_exact_percentiles(skewed):
 
 def test_approximate_percentiles_of_small_groups_are_exact(skewed):
     df, _ = skewed
-    exact = rl.percentiles(df, "key", "x", exact=True)
-    near = rl.percentiles(df, "key", "x")
-    assert sorted(exact.collect()) == sorted(near.collect())
+    exact = rl.percentiles(df, "key", "x", method="exact")
+    for method in ("approx", "merged"):
+        near = rl.percentiles(df, "key", "x", method=method)
+        assert sorted(exact.collect()) == sorted(near.collect())
+    with pytest.raises(ValueError):
+        rl.percentiles(df, "key", "x", method="guess")
+
+
+def test_percentiles_of_nulls(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", None)], "key string, x double")
+    for method in ("approx", "merged"):
+        found = {r.key: r.p50 for r in rl.percentiles(df, "key", "x", method=method).collect()}
+        assert found == {"a": None, "b": 1.0}
+    assert rl.percentiles(df, "key", "x", method="exact").collect() == [("b", 1.0, 1.0, 1.0, 1.0)]
+
+
+def test_merged_percentiles_of_a_large_group(spark):
+    df = spark.range(0, 300000, 1, 16).withColumn("x", F.col("id") * 1.0)
+    row = rl.percentiles(df, [], "x", method="merged").first()
+    for got, share in zip(row, (0.5, 0.9, 0.95, 0.99)):
+        assert abs(got / 300000 - share) < 0.002
 
 
 def test_box_stats(skewed):
