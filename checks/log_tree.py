@@ -7,70 +7,93 @@ from pyspark.sql import functions as F
 from runlens.sources.store import scratch_dir
 
 
+def _uri(path):
+    """A path as ``pyarrow.fs`` wants it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path[len("file:") :]
+    return path
+
+
 def _file_writer(root, side, file, columns):
-    def write(batches):
-        import os
+    """Write the rows of each (experiment, directory) of a task to a file of its own.
+
+    The rows come sorted by directory, so one file is open at a time.
+    """
 
+    def write(batches):
         import pandas as pd
+        from pyarrow import fs
         from pyspark import TaskContext
 
+        filesystem, base = fs.FileSystem.from_uri(root)
         part = TaskContext.get().partitionId()
-        files, rows = set(), 0
+        path, out, rows = None, None, 0
         for pdf in batches:
             rows += len(pdf)
             for (experiment, directory), group in pdf.groupby(["_experiment", "_directory"]):
-                folder = f"{root}/{experiment}/{side}/{directory}/{file}"
-                path = f"{folder}/part-{part:05d}.csv"
-                os.makedirs(folder, exist_ok=True)
-                first = path not in files
-                group[columns].to_csv(path, mode="w" if first else "a", header=first, index=False)
-                files.add(path)
-        yield pd.DataFrame({"files": [len(files)], "rows": [rows]})
+                folder = f"{base}/{experiment}/{side}/{directory}/{file}"
+                first = path != f"{folder}/part-{part:05d}.csv"
+                if first:
+                    if out:
+                        out.close()
+                    filesystem.create_dir(folder, recursive=True)
+                    path = f"{folder}/part-{part:05d}.csv"
+                    out = filesystem.open_output_stream(path)
+                out.write(group[columns].to_csv(header=first, index=False).encode())
+        if out:
+            out.close()
+        yield pd.DataFrame({"rows": [rows]})
 
     return write
 
 
 def _archive_writer(root, side, file, columns):
+    """Write the rows of each experiment of a task to an archive of its own."""
+
     def write(batches):
         import io
-        import os
         import tarfile
 
         import pandas as pd
+        from pyarrow import fs
         from pyspark import TaskContext
 
+        filesystem, base = fs.FileSystem.from_uri(root)
         part = TaskContext.get().partitionId()
-        tars, rows = {}, 0
+        current, out, tar, rows = None, None, None, 0
         for number, pdf in enumerate(batches):
             rows += len(pdf)
             for (experiment, directory), group in pdf.groupby(["_experiment", "_directory"]):
-                if experiment not in tars:
-                    os.makedirs(f"{root}/{experiment}", exist_ok=True)
-                    tars[experiment] = tarfile.open(f"{root}/{experiment}/p{part}.tar.gz", "w:gz")
+                if experiment != current:
+                    if tar:
+                        tar.close()
+                        out.close()
+                    filesystem.create_dir(f"{base}/{experiment}", recursive=True)
+                    out = filesystem.open_output_stream(
+                        f"{base}/{experiment}/p{part}.tar.gz", compression=None
+                    )
+                    tar = tarfile.open(fileobj=out, mode="w|gz")
+                    current = experiment
                 data = group[columns].to_csv(index=False).encode()
                 entry = tarfile.TarInfo(f"{side}/{directory}/{file}/part-{number:05d}.csv")
                 entry.size = len(data)
-                tars[experiment].addfile(entry, io.BytesIO(data))
-        for tar in tars.values():
+                tar.addfile(entry, io.BytesIO(data))
+        if tar:
             tar.close()
-        yield pd.DataFrame({"files": [len(tars)], "rows": [rows]})
+            out.close()
+        yield pd.DataFrame({"rows": [rows]})
 
     return write
 
 
-def _new_root(spark):
-    path = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
-    return path.removeprefix("file://").removeprefix("file:")
-
-
 def write_tree(df, side, file, columns, archives=False, root=None):
     """Write ``df`` (with ``_experiment`` and ``_directory``) as logs; return the root.
 
     Rows of one directory lie together, yet a heavy directory is spread over several tasks.
     """
-    root = root or _new_root(df.sparkSession)
+    root = root or _uri(f"{scratch_dir(df.sparkSession)}/tree-{uuid.uuid4().hex}")
     writer = (_archive_writer if archives else _file_writer)(root, side, file, columns)
     by = ["_experiment", "_directory"]
-    placed = df.repartitionByRange(*by, F.rand(0)).sortWithinPartitions(*by)
-    placed.mapInPandas(writer, "files long, rows long").agg({"rows": "sum"}).collect()
+    placed = df.repartitionByRange(*by, F.xxhash64(*columns)).sortWithinPartitions(*by)
+    placed.mapInPandas(writer, "rows long").agg({"rows": "sum"}).collect()
     return root

@@ -12,10 +12,14 @@ def attach(df, facts, keys, how="inner", stored=False):
 
     The facts are settled first, unless they are ``stored`` already. Their real size then decides the join: below the broadcast
     threshold the rows of ``df`` stay where they are; beyond it both sides are shuffled and
-    adaptive execution splits the heavy keys. Null keys match each other, as in a window.
+    adaptive execution splits the heavy keys. Null keys match each other, as in a window. Without
+    keys the facts are a single row, whose values become constants.
     """
+    small = facts if stored else settle(facts, "facts")
+    if not keys:
+        return df.withColumns({c: small.select(c).scalar() for c in small.columns})
     marked = {key: f"__{key}" for key in keys}
-    right = (facts if stored else settle(facts, "facts")).withColumnsRenamed(marked)
+    right = small.withColumnsRenamed(marked)
     same = reduce(
         lambda a, b: a & b, [df[key].eqNullSafe(right[mark]) for key, mark in marked.items()]
     )
@@ -39,10 +43,6 @@ def with_facts(df, keys, aggs):
     A window over ``keys`` would move every row and put a heavy key into one task; here the
     aggregate is combined before its small shuffle.
     """
-    if not keys:
-        return df.withColumns(
-            {name: df.agg(expr.alias(name)).scalar() for name, expr in aggs.items()}
-        )
     facts = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
     return attach(df, facts, keys)
 

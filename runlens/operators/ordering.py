@@ -37,7 +37,7 @@ def in_pieces(df, keys, order):
 
 
 def ranked(df, keys, order):
-    """``df`` with ``rank`` (1, 2, ... in ``order``) and ``group_size`` of each group.
+    """``df`` with ``_rank`` (1, 2, ... in ``order``) and ``_size`` of each group.
 
     Rows that are equal in all of ``order`` are ranked in any order; add a column that tells them
     apart if many rows can be equal, since equal rows stay in one piece.
@@ -48,12 +48,12 @@ def ranked(df, keys, order):
         placed.groupBy(*keys, "_piece")
         .agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_first"))
         .withColumn("_before", F.sum("_rows").over(by_key.orderBy("_piece")) - F.col("_rows"))
-        .withColumn("group_size", F.sum("_rows").over(by_key))
+        .withColumn("_size", F.sum("_rows").over(by_key))
         .drop("_rows")
     )
     return (
         attach(placed, pieces, [*keys, "_piece"])
-        .withColumn("rank", F.col("_pos") - F.col("_first") + F.col("_before") + 1)
+        .withColumn("_rank", F.col("_pos") - F.col("_first") + F.col("_before") + 1)
         .drop("_pos", "_piece", "_first", "_before")
     )
 
@@ -65,7 +65,7 @@ def spread(df, keys, order):
 
 
 def accumulated(placed, keys, order, weight):
-    """``upto`` (running sum of ``weight`` in ``order``) and ``total`` of each group.
+    """``_upto`` (running sum of ``weight`` in ``order``) and ``_total`` of each group.
 
     ``placed`` is a result of ``spread`` with the same keys and order.
     """
@@ -74,7 +74,7 @@ def accumulated(placed, keys, order, weight):
         placed.groupBy(*keys, "_piece")
         .agg(F.sum(weight).alias("_sum"))
         .withColumn("_before", F.sum("_sum").over(by_key.orderBy("_piece")) - F.col("_sum"))
-        .withColumn("total", F.sum("_sum").over(by_key))
+        .withColumn("_total", F.sum("_sum").over(by_key))
         .drop("_sum")
     )
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
@@ -83,11 +83,11 @@ def accumulated(placed, keys, order, weight):
     )
     return (
         attach(running, pieces, [*keys, "_piece"])
-        .withColumn("upto", F.col("_before") + F.col("_running"))
+        .withColumn("_upto", F.col("_before") + F.col("_running"))
         .drop("_piece", "_before", "_running")
     )
 
 
 def value_counts(df, keys, x):
-    """How often each value of ``x`` occurs in its group, nulls left out."""
-    return df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("count"))
+    """How often (``_count``) each value of ``x`` occurs in its group, nulls left out."""
+    return df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_count"))

@@ -47,9 +47,9 @@ def percentiles(
     names = percentile_names(probs, prefix)
     if method == "exact":
         values = spread(value_counts(df, keys, value), keys, [value])
-        places = accumulated(values, keys, [value], "count")
+        places = accumulated(values, keys, [value], "_count")
         reached = [
-            F.min(F.when(F.col("upto") >= F.col("total") * p, F.col(value))).alias(name)
+            F.min(F.when(F.col("_upto") >= F.col("_total") * p, F.col(value))).alias(name)
             for p, name in zip(probs, names)
         ]
         return places.groupBy(*keys).agg(*reached)
@@ -87,7 +87,7 @@ def cdf(df, keys, x, tiebreak=None):
         placed = ranked(points, keys, [x, *ties])
     else:
         placed = ranked(with_ties_apart(points), keys, [x, "_salt"])
-    return placed.select(*keys, x, *ties, (F.col("rank") / F.col("group_size")).alias("y"))
+    return placed.select(*keys, x, *ties, (F.col("_rank") / F.col("_size")).alias("y"))
 
 
 def shift_to_zero(df, keys, cols):
@@ -145,18 +145,18 @@ def box_stats(df, keys, x, whisker=1.5):
     keys = as_list(keys)
     values = spread(value_counts(df, keys, x), keys, [x])
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    spots = {q: (F.col("total") - 1) * p for q, p in quartiles.items()}
+    spots = {q: (F.col("_total") - 1) * p for q, p in quartiles.items()}
 
     def value_at(spot):
-        here = (F.col("upto") - F.col("count") <= spot) & (spot < F.col("upto"))
+        here = (F.col("_upto") - F.col("_count") <= spot) & (spot < F.col("_upto"))
         return F.max(F.when(here, F.col(x)))
 
-    ends = [F.max("total").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")]
+    ends = [F.max("_total").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")]
     for q, spot in spots.items():
         ends.append(value_at(F.floor(spot)).alias(f"_{q}_a"))
         ends.append(value_at(F.ceil(spot)).alias(f"_{q}_b"))
         ends.append((F.max(spot) - F.floor(F.max(spot))).alias(f"_{q}_part"))
-    boxes = accumulated(values, keys, [x], "count").groupBy(*keys).agg(*ends)
+    boxes = accumulated(values, keys, [x], "_count").groupBy(*keys).agg(*ends)
     boxes = boxes.select(
         *keys,
         "n",
@@ -171,12 +171,12 @@ def box_stats(df, keys, x, whisker=1.5):
     below, above = F.col(x) < F.col("q1") - reach, F.col(x) > F.col("q3") + reach
     facts = ["n", "low", "high", *quartiles]
     return (
-        attach(values.select(*keys, x, "count"), boxes, keys)
+        attach(values.select(*keys, x, "_count"), boxes, keys)
         .groupBy(*keys, *facts)
         .agg(
             F.min(F.when(~below, F.col(x))).alias("_low"),
             F.max(F.when(~above, F.col(x))).alias("_high"),
-            F.sum(F.when(below | above, F.col("count")).otherwise(0)).alias("outliers"),
+            F.sum(F.when(below | above, F.col("_count")).otherwise(0)).alias("outliers"),
         )
         .select(
             *keys,

@@ -1,5 +1,7 @@
 """What the plans must and must not hold."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -14,14 +16,15 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def plan(df):
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
 
 
 def nodes(df, name):
     """Nodes of the plan, counted in the tree at its head."""
-    tree = plan(df).split("\n\n")[0]
+    tree = plan(df).split("\n\n\n")[0]
     return len(re.findall(rf"\b{name}\b", tree))
 
 

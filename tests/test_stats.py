@@ -46,9 +46,9 @@ def test_ranked(skewed):
     for key, group in pdf.groupby("key"):
         order = group.sort_values(["x", "id"]).id.tolist()
         got = rows[rows.key == key]
-        assert got.sort_values("rank").id.tolist() == order
-        assert sorted(got["rank"]) == list(range(1, len(order) + 1))
-        assert set(got.group_size) == {len(order)}
+        assert got.sort_values("_rank").id.tolist() == order
+        assert sorted(got["_rank"]) == list(range(1, len(order) + 1))
+        assert set(got._size) == {len(order)}
 
 
 def test_accumulated(skewed):
@@ -59,8 +59,8 @@ def test_accumulated(skewed):
     for key, group in pdf.groupby("key"):
         group = group.sort_values(["x", "id"])
         got = rows[rows.key == key].sort_values(["x", "id"])
-        assert got.upto.tolist() == (group.id % 5).cumsum().tolist()
-        assert set(got.total) == {(group.id % 5).sum()}
+        assert got._upto.tolist() == (group.id % 5).cumsum().tolist()
+        assert set(got._total) == {(group.id % 5).sum()}
 
 
 @pytest.mark.parametrize("tiebreak", [None, "id"])
@@ -135,6 +135,14 @@ def test_box_stats(skewed):
         assert got.outliers == len(x) - len(inside)
 
 
+def test_box_stats_of_whole_table(skewed):
+    df, pdf = skewed
+    row = rl.box_stats(df, [], "x").first()
+    assert (row.n, row.median) == (len(pdf), np.median(pdf.x))
+    counts = df.withColumn("count", F.col("x"))
+    assert rl.box_stats(counts, "key", "count").count() == pdf.key.nunique()
+
+
 @pytest.mark.parametrize("drop_first", [True, False])
 def test_gaps(skewed, drop_first):
     df, pdf = skewed
