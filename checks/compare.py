@@ -29,9 +29,8 @@ def connect(sf_dir):
     return con
 
 
-def compare(spark, con, sf_dir, name):
-    """None if query and SQL agree, else what differs."""
-    df = QUERIES[name](spark, sf_dir)
+def compare(df, con, name):
+    """None if the result of a query and its SQL agree, else what differs."""
     ours = rows_of(df.columns, df.collect())
     if name not in ORACLES:
         return None
@@ -70,7 +69,7 @@ def main():
     for name in names:
         start = time.time()
         try:
-            problem = compare(spark, con, sf_dir, name)
+            problem = compare(QUERIES[name](spark, sf_dir), con, name)
         except Exception as error:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None

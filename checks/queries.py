@@ -701,6 +701,17 @@ def _(v):
     )
 
 
+@check(
+    "cdf_points",
+    f"""with {LATENCY}, r as (select prefix, latency, txn_id,
+        row_number() over (partition by prefix order by latency, txn_id) as i,
+        count(*) over (partition by prefix) as n from lat)
+    select prefix, latency, txn_id, i / n as y from r where i * 50 % n < 50""",
+)
+def _(v):
+    return stats.cdf(latency.latency(v.txns), "prefix", "latency", "txn_id", points=50)
+
+
 @check(
     "shift_to_zero",
     """select region, txn_id, time - min(time) over (partition by region) as time from server_events""",

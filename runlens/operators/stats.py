@@ -75,18 +75,21 @@ def percentiles(
     return found.select(*keys, *[F.col("_found")[i].alias(n) for i, n in enumerate(names)])
 
 
-def cdf(df, keys, x, tiebreak=None):
+def cdf(df, keys, x, tiebreak=None, points=None):
     """The empirical distribution of ``x`` per key: sorted values and ``y`` = i / n.
 
     Every row gives one point, so equal values have several; nulls give none. ``tiebreak`` (a
-    column or list) fixes the order of equal values and is kept in the result.
+    column or list) fixes the order of equal values and is kept in the result. For figures,
+    ``points`` keeps that many evenly spaced points of each larger group, the last one included.
     """
     keys, ties = as_list(keys), as_list(tiebreak)
-    points = df.where(F.col(x).isNotNull()).select(*keys, x, *ties)
+    values = df.where(F.col(x).isNotNull()).select(*keys, x, *ties)
     if ties:
-        placed = ranked(points, keys, [x, *ties])
+        placed = ranked(values, keys, [x, *ties])
     else:
-        placed = ranked(with_ties_apart(points), keys, [x, "_salt"])
+        placed = ranked(with_ties_apart(values), keys, [x, "_salt"])
+    if points is not None:
+        placed = placed.where((F.col("_rank") * points) % F.col("_size") < points)
     return placed.select(*keys, x, *ties, (F.col("_rank") / F.col("_size")).alias("y"))
 
 

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlens as rl
-from checks.queries import QUERIES
 from checks.views import view
 from runlens.plans import studies
 
@@ -38,15 +37,6 @@ def summary(spark):
     return rl.settle(view(spark, SMALL, "summary"))
 
 
-def test_no_python_outside_archives(spark):
-    for name, query in QUERIES.items():
-        if name == "read_archives":
-            continue
-        text = plan(query(spark, SMALL))
-        assert "Python" not in text and "InPandas" not in text, name
-        assert "CartesianProduct" not in text, name
-
-
 def test_window_moves_no_log_rows(txns):
     """The bounds are broadcast, so the log is neither shuffled nor sorted."""
     kept = rl.run_window(txns, start_s=10)

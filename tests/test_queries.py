@@ -1,9 +1,10 @@
-"""Every registered query against its SQL."""
+"""Every registered query: no Python in its plan, and the same result as its SQL."""
 
 import pytest
 
 import __spark_entry__ as driver
 from checks.compare import compare, connect
+from tests.test_plans import plan
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,7 +20,12 @@ def test_every_query_has_its_sql():
 
 @pytest.mark.parametrize("name", list(driver.queries()))
 def test_query(spark, con, name):
-    assert compare(spark, con, SMALL, name) is None
+    df = driver.queries()[name](spark, SMALL)
+    text = plan(df)
+    assert "CartesianProduct" not in text
+    if name != "read_archives":
+        assert "Python" not in text and "InPandas" not in text
+    assert compare(df, con, name) is None
 
 
 def test_entry(spark):

@@ -83,6 +83,17 @@ def test_cdf_of_whole_table(skewed):
     assert Counter(zip(rows.x, rows.y)) == Counter(zip(x, np.arange(1, len(x) + 1) / len(x)))
 
 
+def test_cdf_with_fewer_points(skewed):
+    df, pdf = skewed
+    rows = rl.cdf(df, "key", "x", "id", points=7).toPandas()
+    whole = rl.cdf(df, "key", "x", "id").toPandas()
+    assert set(map(tuple, rows.to_numpy())) <= set(map(tuple, whole.to_numpy()))
+    for key, group in pdf.groupby("key"):
+        got = rows[rows.key == key]
+        assert len(got) == min(7, len(group)) and got.y.max() == 1.0
+        assert np.diff(np.sort(got.y)).max(initial=0) <= 1 / 7 + 1 / len(group)
+
+
 def test_exact_percentiles(skewed):
     df, pdf = skewed
     rows = rl.percentiles(df, "key", "x", (0.01, 0.5, 0.999), method="exact").toPandas()
