@@ -20,6 +20,7 @@ from runlens.operators import (
     throughput,
     window,
 )
+from runlens.operators.facts import with_metadata
 from runlens.plans import studies
 from runlens.plans.logs import RunLogs
 from runlens.sources import archives, index, logs, store
@@ -659,7 +660,7 @@ def _(v):
         from diffs where coordinator_region = 3 and home = 1""",
 )
 def _(v):
-    return events.diff_series(_home_diff(v), 3, 1)
+    return events.diff_series(_home_diff(v), 3, 1, keys=())
 
 
 @check(
@@ -830,7 +831,7 @@ def _(v):
     f"""with {LATENCY}, {_REGIONAL} select txn_id, config_name, coordinator_region from reg""",
 )
 def _(v):
-    rows = v.txns.join(v.experiments.select("prefix", "config_name"), "prefix")
+    rows = with_metadata(v.txns, v.experiments.select("prefix", "config_name"))
     return coordinator_region(rows, _SHIFTS).select("txn_id", "config_name", "coordinator_region")
 
 

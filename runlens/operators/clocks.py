@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from runlens.operators.facts import as_list
 from runlens.functions.columns import ms_between
+from runlens.operators.facts import as_list, run_keys
 
 
 def with_deviation(stamps):
@@ -11,9 +11,13 @@ def with_deviation(stamps):
     return stamps.withColumn("dev", ms_between("server_time", "txn_timestamp"))
 
 
-def clock_deviation(stamps, keys=("region", "partition")):
-    """The deviation per server: count, mean, smallest and largest."""
-    return stamps.groupBy(*as_list(keys)).agg(
+def clock_deviation(stamps, keys=None):
+    """The deviation per server: count, mean, smallest and largest.
+
+    ``keys`` are region and partition, with the experiment if the table knows it.
+    """
+    keys = run_keys(stamps) + ["region", "partition"] if keys is None else as_list(keys)
+    return stamps.groupBy(*keys).agg(
         F.count("dev").alias("n"),
         F.avg("dev").alias("mean_dev"),
         F.min("dev").alias("min_dev"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import txn_class
-from runlens.operators.facts import as_list
+from runlens.operators.facts import as_list, run_keys
 from runlens.operators.stats import gaps, shift_to_zero
 from runlens.sources.store import settle
 
@@ -43,9 +43,12 @@ def _last_times(events, keys, start, end, names):
     )
 
 
-def events_latency(events, start, end, name=None, keys=("txn_id", "machine")):
-    """Ms from the last ``start`` to the last ``end`` event of each transaction and machine."""
-    keys = as_list(keys)
+def events_latency(events, start, end, name=None, keys=None):
+    """Ms from the last ``start`` to the last ``end`` event of each transaction and machine.
+
+    ``keys`` are the transaction and machine, with the experiment if the events know it.
+    """
+    keys = run_keys(events) + ["txn_id", "machine"] if keys is None else as_list(keys)
     pairs = _last_times(events, keys, start, end, ["_from", "_to"])
     diff = ((F.col("_to") - F.col("_from")) / 1000000).alias(name or f"{start}_to_{end}")
     return pairs.select(*keys, diff)
@@ -63,30 +66,31 @@ def txn_facts(txns, keys=("txn_id",)):
     return facts.select(*keys, *[c for c in facts.columns if c not in dropped | set(keys)])
 
 
-def event_diff(events, txns, start, end, by_home=False, by_machine=True, keys=("txn_id",)):
+def event_diff(events, txns, start, end, by_home=False, by_machine=True, keys=None):
     """Ms between two events per transaction [and home] [and machine], with the transaction.
 
-    Give ``keys=("prefix", "txn_id")`` to treat many experiments at once. The facts of a
-    transaction repeat for each of its homes and machines.
+    ``keys`` tell transactions apart: their id, with the experiment if both tables know it. The
+    facts of a transaction repeat for each of its homes and machines.
     """
-    keys = as_list(keys)
+    keys = run_keys(events, txns) + ["txn_id"] if keys is None else as_list(keys)
     by = keys + ["home"] * by_home + ["machine"] * by_machine
     return _diff(events, by, start, end).join(txn_facts(txns, keys), keys)
 
 
-def event_diff_server(events, start, end, by_region=False, by_partition=True, keys=("txn_id",)):
+def event_diff_server(events, start, end, by_region=False, by_partition=True, keys=None):
     """Ms between two events of the servers per transaction [and region] [and partition]."""
-    by = as_list(keys) + ["region"] * by_region + ["partition"] * by_partition
+    keys = run_keys(events) + ["txn_id"] if keys is None else as_list(keys)
+    by = keys + ["region"] * by_region + ["partition"] * by_partition
     return _diff(events, by, start, end)
 
 
-def hop_diff(events, txns, start, end, region, keys=("txn_id",)):
+def hop_diff(events, txns, start, end, region, keys=None):
     """Ms between the first ``start`` and the first ``end`` event per transaction and home.
 
     ``from_machine`` and ``to_machine`` are the smallest machine ids that logged the event, not
     those of the first event. Only transactions coordinated in ``region``.
     """
-    keys = as_list(keys)
+    keys = run_keys(events, txns) + ["txn_id"] if keys is None else as_list(keys)
     hops = _pair(
         events,
         [*keys, "home"],
@@ -114,15 +118,16 @@ def region_counts(diffs, region="coordinator_region"):
     return diffs.groupBy(region).agg(*[F.count(c).alias(c) for c in rest])
 
 
-def diff_series(diffs, region, home=None, time="from", keys=()):
+def diff_series(diffs, region, home=None, time="from", keys=None):
     """The points (time, diff) of one region [and home] in time order.
 
-    Times start at 0, the earliest time of all ``diffs`` (per ``keys``). The columns in use are
+    Times start at 0, the earliest time of the experiment (or of ``keys``). The columns in use are
     stored, since a breakdown is costly to compute twice.
     """
-    used = diffs.select(*as_list(keys), "coordinator_region", "home", time, "diff")
+    keys = run_keys(diffs) if keys is None else as_list(keys)
+    used = diffs.select(*keys, "coordinator_region", "home", time, "diff")
     shifted = shift_to_zero(settle(used, "diffs", packed=True), keys, time)
     shifted = shifted.where(F.col("coordinator_region") == region)
     if home is not None:
         shifted = shifted.where(F.col("home") == home)
-    return shifted.select(*as_list(keys), "home", time, "diff").orderBy(time)
+    return shifted.select(*keys, "home", time, "diff").orderBy(*keys, time)

@@ -47,9 +47,10 @@ def with_facts(df, keys, aggs):
     return attach(df, facts, keys)
 
 
-def as_list(keys):
-    return [keys] if isinstance(keys, str) else list(keys or [])
+def run_keys(*dfs):
+    """The experiment as a key, if all the tables know theirs."""
+    return ["prefix"] if all("prefix" in df.columns for df in dfs) else []
 
 
-def col_or_name(value):
-    return F.col(value) if isinstance(value, str) else value
+def as_list(keys):
+    return [keys] if isinstance(keys, str) else list(keys or [])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import tag_from_name
-from runlens.operators.facts import as_list, with_metadata
+from runlens.operators.facts import as_list, run_keys, with_metadata
 from runlens.operators.window import FOREVER_S, machine_spans, run_window, trims
 from runlens.sources.store import settle
 
@@ -121,9 +121,13 @@ def throughput_over_time(txns, summary, keys="prefix"):
     )
 
 
-def event_throughput(events, sample=100, per_machine=False, keys=()):
-    """M7: events per second of each kind, scaled up from a sample of ``sample`` percent."""
-    by = [*as_list(keys), "event", "time"]
+def event_throughput(events, sample=100, per_machine=False, keys=None):
+    """M7: events per second of each kind, scaled up from a sample of ``sample`` percent.
+
+    ``keys`` are the experiment, if the events know it.
+    """
+    keys = run_keys(events) if keys is None else as_list(keys)
+    by = [*keys, "event", "time"]
     if per_machine:
         by += ["partition", "region"]
     return (

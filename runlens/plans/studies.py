@@ -134,7 +134,7 @@ def breakdown_study(
     if name is not None:
         in_run = F.col("prefix").endswith("/" + name)
         events, txns = events.where(in_run), txns.where(in_run)
-    diffs = ev.event_diff(events, txns, start, end, by_home, by_machine, ["prefix", "txn_id"])
+    diffs = ev.event_diff(events, txns, start, end, by_home, by_machine)
     return diffs if fraction >= 1.0 else sample_rows(diffs, fraction, key)
 
 
