@@ -50,9 +50,7 @@ def compare(df, con, name):
     return None
 
 
-def main():
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+def session():
     spark = get_session(
         master="local[8]",
         **{
@@ -64,6 +62,13 @@ def main():
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def main():
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or list(QUERIES)
+    spark = session()
     con = connect(sf_dir)
     bad = 0
     for name in names:

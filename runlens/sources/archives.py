@@ -14,31 +14,54 @@ IN_MEMORY = 512 * 1024 * 1024
 def _line_reader(batch_rows, suffix):
     """The function that turns archives into batches of lines.
 
-    Lines are streamed out of the archive, archives within it included, so a task holds one batch
-    at a time. It stands alone because it travels to the executors.
+    Archives are streamed in blocks, archives within them included, so a task holds a block and a
+    batch at a time. It stands alone because it travels to the executors.
     """
 
     def read(batches):
         import io
         import tarfile
 
+        import numpy as np
         import pyarrow as pa
         from pyarrow import fs
 
-        def lines_of(stream, archive):
+        block = 4 * 1024 * 1024
+
+        def text(lines):
+            try:
+                return pa.array(lines, pa.binary()).cast(pa.string())
+            except pa.ArrowInvalid:
+                return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
+
+        def blocks_of(body):
+            """(number of the first line, lines) of each block of a file."""
+            number, rest = 1, b""
+            while chunk := body.read(block):
+                *lines, rest = (rest + chunk).replace(b"\r\n", b"\n").split(b"\n")
+                yield number, lines
+                number += len(lines)
+            if rest:
+                yield number, [rest.removesuffix(b"\r")]
+
+        def pieces_of(stream, archive):
             with tarfile.open(fileobj=stream, mode="r|gz") as tar:
                 for entry in tar:
                     if not entry.isfile():
                         continue
-                    member = entry.name[2:] if entry.name.startswith("./") else entry.name
+                    member = entry.name.removeprefix("./")
                     body = tar.extractfile(entry)
                     if member.endswith(suffix):
-                        inner = f"{archive.removesuffix(suffix)}/{member}"
-                        yield from lines_of(body, inner)
-                    else:
-                        for number, line in enumerate(body, 1):
-                            text = line.decode("utf-8", "replace").rstrip("\r\n")
-                            yield archive, member, number, text
+                        yield from pieces_of(body, f"{archive.removesuffix(suffix)}/{member}")
+                        continue
+                    for number, lines in blocks_of(body):
+                        if lines:
+                            yield [
+                                pa.repeat(archive, len(lines)),
+                                pa.repeat(member, len(lines)),
+                                pa.array(np.arange(number, number + len(lines))),
+                                text(lines),
+                            ]
 
         def opened(row):
             if row.get("content") is not None:
@@ -49,29 +72,22 @@ def _line_reader(batch_rows, suffix):
             filesystem, inside = fs.FileSystem.from_uri(path)
             return filesystem.open_input_stream(inside, compression=None)
 
-        def batch(rows):
-            archive, member, number, line = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(archive, pa.string()),
-                    pa.array(member, pa.string()),
-                    pa.array(number, pa.int64()),
-                    pa.array(line, pa.string()),
-                ],
-                names=["archive", "member", "line_no", "line"],
-            )
-
-        rows = []
+        def batch(pieces):
+            columns = [pa.concat_arrays(column) for column in zip(*pieces)]
+            return pa.RecordBatch.from_arrays(columns, ["archive", "member", "line_no", "line"])
+
+        pieces, rows = [], 0
         for part in batches:
             for row in part.to_pylist():
                 with opened(row) as stream:
-                    for item in lines_of(stream, row["path"]):
-                        rows.append(item)
-                        if len(rows) == batch_rows:
-                            yield batch(rows)
-                            rows = []
-        if rows:
-            yield batch(rows)
+                    for piece in pieces_of(stream, row["path"]):
+                        pieces.append(piece)
+                        rows += len(piece[0])
+                        if rows >= batch_rows:
+                            yield batch(pieces)
+                            pieces, rows = [], 0
+        if pieces:
+            yield batch(pieces)
 
     return read
 

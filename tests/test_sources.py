@@ -176,6 +176,30 @@ def test_archive_in_archive(spark, tree, tmp_path):
     assert named == [("alpha-sz3-asym_ratio60", 1, 0, 2.0), ("base-sz19", 1, 0, 2.0)]
 
 
+def test_archive_lines(spark, tmp_path):
+    """Blocks, line ends and broken text do not change the lines."""
+    long = ["x" * 1000 + str(i) for i in range(6000)]
+    files = {
+        "long.csv": "\n".join(long).encode(),
+        "dos.csv": b"a,b\r\n1,2\r\n\r\n3,4\r",
+        "empty.csv": b"",
+        "odd.csv": b"ok\n\xff\xfe\n",
+    }
+    for name, data in files.items():
+        with open(f"{tmp_path}/{name}", "wb") as f:
+            f.write(data)
+    pack(f"{tmp_path}/a/one.tar.gz", [(n, f"{tmp_path}/{n}") for n in files])
+    rows = archives.read_archives(spark, f"{tmp_path}/a/*.tar.gz", batch_rows=100).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r.line_no):
+        found.setdefault(r.member, []).append((r.line_no, r.line))
+    assert found.pop("long.csv") == list(enumerate(long, 1))
+    assert found == {
+        "dos.csv": [(1, "a,b"), (2, "1,2"), (3, ""), (4, "3,4")],
+        "odd.csv": [(1, "ok"), (2, "\ufffd\ufffd")],
+    }
+
+
 def test_materialize(spark, tmp_path):
     path, calls = f"{tmp_path}/result", []
 
