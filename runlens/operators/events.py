@@ -23,7 +23,7 @@ __all__ = [
 def _pair(events, keys, start, end, aggs):
     """Aggregates of the start and the end event side by side; groups with both sides only.
 
-    ``aggs`` maps an output column to (aggregate, event, column). One pass over the two events.
+    Events without one of the keys are left out too. ``aggs`` maps an output column to (aggregate, event, column). One pass over the two events.
     """
     sides = [
         how(F.when(F.col("event") == event, F.col(col))).alias(name)
@@ -33,7 +33,7 @@ def _pair(events, keys, start, end, aggs):
         events.where(F.col("event").isin(start, end))
         .groupBy(*keys)
         .agg(*sides)
-        .dropna(subset=list(aggs))
+        .dropna(subset=[*keys, *aggs])
     )
 
 

@@ -22,7 +22,7 @@ def _one_per_prefix(df, conflicts, side):
         return df
     rest = [c for c in df.columns if c != "prefix"]
     grouped = df.groupBy("prefix").agg(
-        F.min(F.struct(*rest)).alias("_first"), F.count(F.lit(1)).alias("_rows")
+        F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     if conflicts == "raise":
         message = F.concat(F.lit(f"machines disagree on {side} metadata: "), F.col("prefix"))

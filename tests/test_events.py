@@ -17,6 +17,9 @@ def events(spark):
         (1, "C", 99 * MS, 4, 0),
         (2, "A", 10 * MS, 4, 1),
         (3, "B", 10 * MS, 4, 1),
+        # no home: dropped where the home is a key
+        (2, "A", 20 * MS, 9, None),
+        (2, "B", 30 * MS, 9, None),
     ]
     return spark.createDataFrame(
         [(t, e, float(w), m, h) for t, e, w, m, h in rows],
@@ -35,7 +38,7 @@ def txns(spark):
 
 def test_events_latency(events):
     rows = rl.events_latency(events, "A", "B").collect()
-    assert [(r.txn_id, r.machine, r.A_to_B) for r in rows] == [(1, 4, 60.0)]
+    assert sorted((r.txn_id, r.machine, r.A_to_B) for r in rows) == [(1, 4, 60.0), (2, 9, 10.0)]
     assert rl.events_latency(events, "A", "B", "gap").columns == ["txn_id", "machine", "gap"]
     assert rl.events_latency(events, "A", "MISSING").count() == 0
 

@@ -1,5 +1,6 @@
 import os
 import tarfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,27 @@ def test_settle_freezes_values(spark):
     assert stored.inputFiles(), "it is read from files, not computed again"
 
 
+def test_scratch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "scratch_dir", lambda spark: f"{tmp_path}/scratch")
+    store.settle(spark.range(3))
+    assert os.listdir(f"{tmp_path}/scratch")
+    assert store.clear_scratch(spark) and not os.path.exists(f"{tmp_path}/scratch")
+
+
+def test_scratch_folder_comes_from_the_session():
+    def session(master, setting=None, context_dir=None):
+        context = SimpleNamespace(
+            master=master, applicationId="app", getCheckpointDir=lambda: context_dir
+        )
+        conf = SimpleNamespace(get=lambda name, default: setting)
+        return SimpleNamespace(sparkContext=context, conf=conf)
+
+    assert store.scratch_dir(session("yarn", "hdfs:///shared/")) == "hdfs:///shared/runlens-app"
+    assert store.scratch_dir(session("yarn", None, "hdfs:///set")) == "hdfs:///set/runlens-app"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.scratch_dir(session("yarn"))
+
+
 def test_run_logs_store_matches_csv(spark, tree, tmp_path):
     plain = rl.RunLogs(spark, tree, tags={"asym_ratio": r"asym_ratio(\d+)"}, plain_names=True)
     kept = rl.RunLogs(spark, tree, store=f"{tmp_path}/store")
