@@ -126,6 +126,21 @@ def comparison_study(logs, report, configs, name, base_hot=1000000, window=None)
     return both, rep.relative_to(both, "wl_mh", F.col("wl_hot") == base_hot, columns)
 
 
+def scaled_comparison(logs, report, config, name, mh_values, window=None):
+    """Throughput over the largest of each system, per contention and share of multi-home."""
+    ours = throughput_study(logs, **(window or {}), config_name=config)
+    ours = ours.select("wl_mh", "wl_hot", F.col("throughput").alias(config))
+    scaled = rep.scale_by_max_wide(ours, config, mh_values)
+    theirs = rep.scale_by_max_wide(rep.report_throughput(report, name), name, mh_values)
+    return scaled.join(theirs, "hot", "left").orderBy("hot")
+
+
+def latency_comparison(logs, report, name, **options):
+    """Latency percentiles of our experiments and of another system's report, stacked."""
+    ours = latency_study(logs, probs=(0.5, 0.95, 0.99), **options)
+    return rep.stack_systems(ours, rep.report_latency(report, name))
+
+
 def breakdown_study(
     logs, start, end, name=None, by_home=True, by_machine=True, fraction=1.0, key="txn_id"
 ):

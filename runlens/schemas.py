@@ -16,36 +16,37 @@ from pyspark.sql.types import (
 _TYPES = {"int": IntegerType, "long": LongType, "double": DoubleType, "string": StringType}
 
 
-def _layout(text):
+def layout(text):
+    """A schema from ``name type, name type, ...``."""
     pairs = (field.split() for field in text.split(","))
     return StructType([StructField(name, _TYPES[kind](), True) for name, kind in pairs])
 
 
-TRANSACTIONS = _layout(
+TRANSACTIONS = layout(
     "txn_id long, coordinator int, regions string, partitions string, generator long, "
     "restarts int, global_log_pos string, sent_at double, received_at double"
 )
-SUMMARY = _layout(
+SUMMARY = layout(
     "committed long, aborted long, not_started long, restarted long, single_home long, "
     "multi_home long, single_partition long, multi_partition long, remaster long, "
     "elapsed_time long"
 )
-DEADLOCKS = _layout("time long, partition int, region int, vertices int")
-TXN_TIMESTAMPS = _layout("txn_id long, from int, txn_timestamp long, server_time long")
-MEASUREMENTS = _layout("type int, time long, data long, partition int, region int")
-LEGACY_MEASUREMENTS = _layout("type long, time long, data long, partition int, replica int")
-CLIENT_EVENTS = _layout("txn_id long, event string, time double, machine int, home int")
-SERVER_EVENTS = _layout("txn_id long, event string, time double, partition int, region int")
-LINK_LATENCY = _layout("dst int, send_time long, recv_time long, avg_latency long")
-RESOLVER = _layout(
+DEADLOCKS = layout("time long, partition int, region int, vertices int")
+TXN_TIMESTAMPS = layout("txn_id long, from int, txn_timestamp long, server_time long")
+MEASUREMENTS = layout("type int, time long, data long, partition int, region int")
+LEGACY_MEASUREMENTS = layout("type long, time long, data long, partition int, replica int")
+CLIENT_EVENTS = layout("txn_id long, event string, time double, machine int, home int")
+SERVER_EVENTS = layout("txn_id long, event string, time double, partition int, region int")
+LINK_LATENCY = layout("dst int, send_time long, recv_time long, avg_latency long")
+RESOLVER = layout(
     "time long, partition int, region int, runtime long, unstable_graph_sz int, "
     "stable_graph_sz int, deadlocks_resolved int, graph_update_time int"
 )
-REPORT = _layout(
+REPORT = layout(
     "wl_mh int, wl_hot int, region string, type string, count int, throughput double, "
     "avg double, p50 double, p95 double, p99 double, pMax double"
 )
-LATENCY_REPORT = _layout(
+LATENCY_REPORT = layout(
     "wl_mh int, wl_hot int, region string, throughput double, avg double, p50 double, "
     "p95 double, p99 double, pMax double"
 )

@@ -56,11 +56,11 @@ def read_summary(spark, root, experiment="*", check_header=False):
 
 def read_deadlocks(spark, root, experiment="*", region_col="region", check_header=False):
     """S3: resolved deadlocks; old logs call the region ``replica``."""
-    layout = schemas.DEADLOCKS
+    fields = schemas.DEADLOCKS
     if region_col != "region":
-        layout = schemas._layout(f"time long, partition int, {region_col} int, vertices int")
+        fields = schemas.layout(f"time long, partition int, {region_col} int, vertices int")
     path = server_path(root, experiment, "deadlocks.csv")
-    return with_prefix(scan(spark, path, layout, check_header))
+    return with_prefix(scan(spark, path, fields, check_header))
 
 
 def read_txn_timestamps(spark, root, experiment="*", check_header=False):

@@ -105,3 +105,8 @@ def test_comparison_study(spark, tree, report):
     row = both.first()
     assert (row.wl_mh, row.wl_hot) == (50, 1000) and None not in (row.first, row.second, row.other)
     assert tuple(relative.first())[2:] == (1.0, 1.0, 1.0)
+    scaled = studies.scaled_comparison(run, rows, "first", "other", [50]).first()
+    assert (scaled.hot, scaled.first_50, scaled.other_50) == (0.001, 1.0, 1.0)
+    stacked = studies.latency_comparison(run, rows, "other", clients=200)
+    assert {r.config_name for r in stacked.collect()} == {"first", "other"}
+    assert set(stacked.columns) > {"p50", "p95", "p99", "clients", "wl_mh"}
