@@ -56,6 +56,36 @@ def test_window_beyond_the_broadcast_size(spark, txns):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_heavy_machine_is_split(spark):
+    """Beyond the broadcast size the rows of a heavy machine are joined by several tasks."""
+    rows = spark.range(0, 400000, 1, 8).select(
+        F.lit("run").alias("prefix"),
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5003).alias("machine"),
+        (F.col("id") * 100000.0).alias("sent_at"),
+        F.md5(F.col("id").cast("string")).alias("pad"),
+    )
+    rows = rl.settle(rows)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        kept = rl.run_window(rows, start_s=10).agg(F.count("pad"))
+        counted = kept.collect()[0][0]
+        assert "SortMergeJoin(skew=true)" in plan(kept)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    first = rows.groupBy("machine").agg(F.min("sent_at").alias("low"))
+    wanted = rows.join(first, "machine").where("sent_at >= low + 10000000000").count()
+    assert counted == wanted
+
+
 def test_plain_window_is_a_filter(txns):
     kept = rl.run_window(txns)
     assert nodes(kept, "Exchange") == 0 and nodes(kept, "BroadcastHashJoin") == 0
