@@ -46,7 +46,9 @@ def compare(df, con, name):
         return f"types {odd}"
     if ours[1] != theirs[1]:
         left, right = list((ours[1] - theirs[1]).items()), list((theirs[1] - ours[1]).items())
-        return f"rows {sum(ours[1].values())}/{sum(theirs[1].values())}, differ {len(left)}/{len(right)}: {sorted(left, key=str)[:2]} {sorted(right, key=str)[:2]}"
+        counts = f"{sum(ours[1].values())}/{sum(theirs[1].values())}"
+        samples = [sorted(side, key=str)[:2] for side in (left, right)]
+        return f"rows {counts}, differ {len(left)}/{len(right)}: {samples}"
     return None
 
 
@@ -78,7 +80,8 @@ def main():
         except Exception as error:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
+        mark = "ok " if problem is None else "BAD"
+        print(f"{mark} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} agree")
 
 

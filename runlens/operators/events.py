@@ -23,7 +23,8 @@ __all__ = [
 def _pair(events, keys, start, end, aggs):
     """Aggregates of the start and the end event side by side; groups with both sides only.
 
-    Events without one of the keys are left out too. ``aggs`` maps an output column to (aggregate, event, column). One pass over the two events.
+    Events without one of the keys are left out too. ``aggs`` maps an output column to
+    (aggregate, event, column). One pass over the two events.
     """
     sides = [
         how(F.when(F.col("event") == event, F.col(col))).alias(name)
@@ -60,7 +61,10 @@ def _diff(events, keys, start, end):
 
 
 def txn_facts(txns, keys=("txn_id",)):
-    """The facts of a transaction that the breakdowns carry; the coordinator's region is its machine."""
+    """The facts of a transaction that the breakdowns carry.
+
+    The coordinator's region is the machine that sent the transaction.
+    """
     facts = txn_class(txns).withColumn("coordinator_region", F.col("machine").cast("int"))
     dropped = {"sent_at", "received_at", "machine"}
     return facts.select(*keys, *[c for c in facts.columns if c not in dropped | set(keys)])

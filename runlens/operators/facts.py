@@ -10,10 +10,10 @@ from runlens.sources.store import settle
 def attach(df, facts, keys, how="inner", stored=False):
     """Join ``facts`` (one row per key) to ``df``.
 
-    The facts are settled first, unless they are ``stored`` already. Their real size then decides the join: below the broadcast
-    threshold the rows of ``df`` stay where they are; beyond it both sides are shuffled and
-    adaptive execution splits the heavy keys. Null keys match each other, as in a window. Without
-    keys the facts are a single row, whose values become constants.
+    The facts are settled first, unless they are ``stored`` already. Their real size then decides
+    the join: below the broadcast threshold the rows of ``df`` stay where they are; beyond it both
+    sides are shuffled and adaptive execution splits the heavy keys. Null keys match each other,
+    as in a window. Without keys the facts are a single row, whose values become constants.
     """
     small = facts if stored else settle(facts, "facts")
     if not keys:

@@ -18,7 +18,9 @@ def series(df, condition, x, y, scale=None, config_prefix=None):
     return rows.orderBy(x)
 
 
-def throughput_wide(df, configs, index="clients", columns="config_name", value="throughput", labels=None):
+def throughput_wide(
+    df, configs, index="clients", columns="config_name", value="throughput", labels=None
+):
     """One column per configuration, one row per client count, named by ``labels``."""
     wide = df.groupBy(index).pivot(columns, list(configs)).agg(F.first(value))
     return wide.withColumnsRenamed(labels or {}).orderBy(index)

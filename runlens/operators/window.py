@@ -38,7 +38,8 @@ def run_window(
     (``from_end``, which no row exceeds) or from the first (``from_start``, which cuts the tail).
 
     First and last send times are aggregated and joined back; pass ``spans`` (a result of
-    ``machine_spans`` that is stored) to use ones already computed. A window that drops nothing is a plain filter.
+    ``machine_spans`` that is stored) to use ones already computed. A window that drops nothing is
+    a plain filter.
     """
     present = txns.where(F.col(time).isNotNull())
     if not trims(start_s, dur_s, upper):

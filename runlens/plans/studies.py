@@ -34,7 +34,9 @@ def throughput_study(logs, start_s=10, dur_s=50, order=("prefix",), **settings):
     return with_index(rates, index).orderBy(*as_list(order))
 
 
-def latency_study(logs, homes="all", probs=FOUR, order=("prefix",), contains=None, window=None, **settings):
+def latency_study(
+    logs, homes="all", probs=FOUR, order=("prefix",), contains=None, window=None, **settings
+):
     """Latency percentiles of the experiments with their metadata.
 
     ``homes`` is ``"all"``, ``"single"``, or ``"multi"`` for multi-home transactions with regions
@@ -89,7 +91,9 @@ def latency_cdfs(latencies, settings, split=()):
         chosen = match if chosen is None else chosen | match
     divided = F.col("config_name").isin(list(split))
     homes = (
-        F.when(divided & single_home(), "single").when(divided & multi_home(), "multi").otherwise("all")
+        F.when(divided & single_home(), "single")
+        .when(divided & multi_home(), "multi")
+        .otherwise("all")
     )
     rows = latencies.where(chosen).withColumn("homes", homes)
     return cdf(rows, ["config_name", "homes", "coordinator_region"], "latency")
@@ -106,7 +110,8 @@ def throughput_latency_study(logs, shifts=None, start_s=5, dur_s=20, **settings)
 
 def scalability_study(logs, pattern=r"sz(\d+)"):
     """Throughput from the clients' counters against the cluster size in the experiment name."""
-    return with_index(counter_throughput(logs.summary, scale_pattern=pattern), logs.index).orderBy("scale")
+    rates = counter_throughput(logs.summary, scale_pattern=pattern)
+    return with_index(rates, logs.index).orderBy("scale")
 
 
 def graph_study(logs, name, t0, t1):

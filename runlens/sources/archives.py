@@ -139,7 +139,8 @@ def archived_table(lines, file):
     layout, with_keys = _TABLES[file]
     folder = F.regexp_replace("archive", r"\.tar\.gz$", "")
     path = F.concat_ws("/", folder, F.col("member"))
-    rows = lines.where(path.rlike(rf"/{file.replace('.', '[.]')}(/[^/]+)?$") & (F.col("line_no") > 1))
+    is_log = path.rlike(rf"/{file.replace('.', '[.]')}(/[^/]+)?$")
+    rows = lines.where(is_log & (F.col("line_no") > 1))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.fields)
     parsed = rows.select(path.alias("_path"), F.from_csv("line", F.lit(fields)).alias("_row"))
     return with_keys(parsed.select("_path", "_row.*"), path=F.col("_path")).drop("_path")

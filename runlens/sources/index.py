@@ -26,7 +26,8 @@ def _one_per_prefix(df, conflicts, side):
     )
     if conflicts == "raise":
         message = F.concat(F.lit(f"machines disagree on {side} metadata: "), F.col("prefix"))
-        checked = F.when(F.col("_rows") == 1, F.col("_first")).otherwise(F.raise_error(message))
+        checked = F.when(F.col("_rows") == 1, F.col("_first"))
+        checked = checked.otherwise(F.raise_error(message))
         grouped = grouped.withColumn("_first", checked)
     return grouped.select("prefix", *[F.col(f"_first.`{c}`").alias(c) for c in rest])
 
