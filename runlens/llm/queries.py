@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from runlens.llm import bottom_k, bpe, line_frequency, mixing, secrets
+from runlens.llm import bottom_k, bpe, line_frequency, mixing, secrets, substring, wrappers
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +23,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_wrappers")
+def _(spark, sf_dir):
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op3_byte_bpe")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -80,3 +85,8 @@ def _(spark, sf_dir):
 @query("op9_secret_guess_cost")
 def _(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_difference_cover")
+def _(spark, sf_dir):
+    return substring.deduplicated(table(spark, sf_dir, "documents"), digest=True)
