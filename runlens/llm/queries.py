@@ -2,7 +2,16 @@
 
 import public_tokenizers
 
-from runlens.llm import bottom_k, bpe, line_frequency, mixing, secrets, substring, wrappers
+from runlens.llm import (
+    bottom_k,
+    bpe,
+    line_frequency,
+    mixing,
+    ngram_join,
+    secrets,
+    substring,
+    wrappers,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -72,6 +81,11 @@ def _(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+@query("op5_ngram_jaccard_join")
+def _(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_bottom_k")
 def _(spark, sf_dir):
     return bottom_k.compare_with_edited(table(spark, sf_dir, "documents"))
