@@ -452,11 +452,16 @@ def near_duplicates(docs, words=WORDS):
 
 
 def one_of_each(docs, words=WORDS):
-    """``docs`` without the documents that are not the least doc_id of their component.
+    """``docs`` with one document of each component, that of the least doc_id.
 
-    All rows of a doc_id that stays are kept, less repeats of it; rows without doc_id stay.
+    Of several rows of that doc_id one stays; rows without doc_id all stay.
     """
-    found = near_duplicates(docs, words).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    found = near_duplicates(docs, words)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    many = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    many = settle(many.where("rows > 1").select("doc_id"), "many")
+    gone = settle(gone, "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    single = kept.join(many, "doc_id", "left_anti").select(docs.columns)
+    one = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return single.unionByName(one)

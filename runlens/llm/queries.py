@@ -1,13 +1,17 @@
 """The registered queries of the operators in this package, and their SQL where there is any."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runlens.llm import (
     bottom_k,
     bpe,
+    language_id,
     line_frequency,
     mixing,
     ngram_join,
+    quality_gam,
     secrets,
     substring,
     wrappers,
@@ -37,6 +41,15 @@ def _(spark, sf_dir):
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op2_kneser_ney_language_id")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 3, 1)
+    tool = language_id.train(docs.where(~out & F.col("doc_id").isNotNull()))
+    found = language_id.identify(docs, tool)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "entropy", "accepted")
+
+
 @query("op3_byte_bpe")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -91,6 +104,16 @@ def _(spark, sf_dir):
     return bottom_k.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+@query("op7_additive_quality")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 5, 0)
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels").where(~out))
+    found = quality_gam.scored(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", out.alias("held_out"), "score", predicted)
+
+
 @query("op8_line_frequency")
 def _(spark, sf_dir):
     return line_frequency.verdicts(table(spark, sf_dir, "documents"))
@@ -104,3 +127,8 @@ def _(spark, sf_dir):
 @query("op10_difference_cover")
 def _(spark, sf_dir):
     return substring.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
