@@ -137,6 +137,8 @@ class Encoder:
     def _rank(index, keys):
         """The rank of each pair, -1 if it is none."""
         known, merged = index
+        if not len(known):
+            return np.full(len(keys), -1)
         at = np.searchsorted(known, keys)
         at[at == len(known)] = 0
         return np.where(known[at] == keys, merged[at], -1)
