@@ -298,15 +298,15 @@ def train(docs, order=ORDER, max_grams=MAX_GRAMS, calibration=CALIBRATION):
                 )
 
     chosen = rows.join(sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    own = settle(chosen.mapInArrow(run, "lang string, own double, n long"), "calibration")
+    own = chosen.mapInArrow(run, "lang string, own double, n long").where("own is not null")
+    own = settle(own, "calibration")
     limits = own.groupBy("lang").agg(F.avg("own").alias("mean"), F.var_pop("own").alias("var"))
     spread = F.sqrt(F.col("var") + 4.0 / F.col("n"))
     widest = own.join(F.broadcast(limits), "lang").groupBy("lang", "mean", "var")
     for lang, mean, variance, z in widest.agg(
         F.max((F.col("own") - F.col("mean")) / spread).alias("z")
     ).collect():  # a row for each language that the model has
-        if mean is not None:
-            tool.limits[lang] = (mean, variance, max(Z, 1.25 * (z or 0.0)))
+        tool.limits[lang] = (mean, variance, max(Z, 1.25 * z))
     return tool
 
 

@@ -283,15 +283,23 @@ def expression(node):
     return f"({text}){mark}" if mark else text
 
 
+def _slots(node):
+    """Whether a slot lies at ``node`` or below, outside of what is dropped."""
+    own = node["d"] == 0 and node["t"] == ["slot"]
+    return own or any(_slots(c) for c in node["c"])
+
+
 def plan(wrapper, least_pages=3):
     """Where the main text lies: {"r": region paths or None, "f": fixed texts to leave out}.
 
-    ``None`` stands for the blocks inside ``article`` or ``main``.
+    ``None`` stands for the blocks inside ``article`` or ``main``. A host without any slot has
+    only copies of a page, whose texts are then no template.
     """
     regions, fixed, totals = [], set(), {}
+    least_pages = least_pages if _slots(wrapper) else float("inf")
 
     def walk(node, path):
-        """Characters of slots below ``node``; fills the tables."""
+        """Characters below ``node`` that are not fixed text; fills the tables."""
         chars = 0
         if node["d"] == 2 and node["n"]:
             regions.append(path)
