@@ -26,7 +26,7 @@ def write_logs(spark, sf_dir):
     rest = {c: F.lit(0) for c in _TXN_COLS if c not in txns.columns}
     rows = txns.select(name, machine, "*").withColumns({**lists, **rest})
     root = write_tree(rows, "client", "transactions.csv", _TXN_COLS)
-    cols = [f.name for f in logs.schemas.SUMMARY.fields]
+    cols = logs.schemas.names(logs.schemas.SUMMARY)
     rows = summary.select(name, machine, "*")
     rows = rows.withColumns({c: F.lit(0) for c in cols if c not in summary.columns})
     write_tree(rows, "client", "summary.csv", cols, root=root)

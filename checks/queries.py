@@ -55,7 +55,8 @@ def rounded(df, *cols, digits=6):
 
 def joined(col):
     """A list column as text, so that it compares the same everywhere."""
-    return F.concat_ws(";", F.col(col).cast("array<string>"))
+    column = F.col(col) if isinstance(col, str) else col
+    return F.concat_ws(";", column.cast("array<string>"))
 
 
 # The latencies and the per-machine rates that several oracles share.
@@ -210,7 +211,7 @@ def _(v):
 @check(
     "latency_sampled",
     f"""with {LATENCY} select prefix, txn_id, latency from lat
-        where ('0x' || substr(md5(concat('0:', txn_id)), 1, 8))::bigint / 4294967296 < 0.2""",
+        where ('0x' || substr(md5(concat('0:', txn_id)), 1, 13))::bigint / 4503599627370496 < 0.2""",
 )
 def _(v):
     return latency.latency(v.txns, fraction=0.2, key="txn_id").select("prefix", "txn_id", "latency")
@@ -231,10 +232,14 @@ def _(v):
     return latency.latency_percentiles(rows, "region", _FOUR, method="exact")
 
 
-@check("latency_percentiles_merged", f"with {LATENCY} select prefix, {_P4} from lat group by prefix")
+@check(
+    "latency_percentiles_overall",
+    f"with {LATENCY} select 'all' as of, {_P4} from lat",
+)
 def _(v):
     rows = latency.latency(v.txns)
-    return latency.latency_percentiles(rows, probs=_FOUR, method="merged")
+    rows = rows.withColumn("of", F.lit("all"))  # one key with all rows
+    return latency.latency_percentiles(rows, "of", _FOUR, method="exact")
 
 
 @check(
@@ -256,7 +261,7 @@ def _(v):
               from lat where len(regions) > 1)
         select e.*, p50, p99
         from (select prefix, {_P} from m
-              where ('0x' || substr(md5(concat('1000:', txn_id)), 1, 8))::bigint / 4294967296
+              where ('0x' || substr(md5(concat('1000:', txn_id)), 1, 13))::bigint / 4503599627370496
                     < least(1, 20 / n)
               group by prefix) p
         join experiments e on p.prefix = e.prefix""",
@@ -434,6 +439,28 @@ def _(v):
     )
 
 
+@check(
+    "compare_systems_aggregated",
+    f"""with o as (select wl_mh, wl_hot, concat(lower(type), '.conf') as config_name, throughput from report),
+    {_THEIRS}
+    select p.*, round(t.crossref, 4) as crossref from
+      (select wl_mh, wl_hot,
+              round(avg(throughput) filter (where config_name = 'write.conf'), 4) as "write.conf",
+              round(avg(throughput) filter (where config_name = 'deadlock.conf'), 4) as "deadlock.conf"
+       from o group by 1, 2) p
+    left join theirs t on p.wl_mh = t.wl_mh and p.wl_hot = t.wl_hot""",
+)
+def _(v):
+    name = F.concat(F.lower("type"), F.lit(".conf")).alias("config_name")
+    ours = v.report.select("wl_mh", "wl_hot", name, "throughput")
+    found = reports.compare_systems(ours, _theirs(v), _CONFIGS, agg=F.avg)
+    return found.select(
+        "wl_mh",
+        "wl_hot",
+        *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in [*_CONFIGS, "crossref"]],
+    )
+
+
 @check(
     "relative_to_base",
     f"""with {_THEIRS}
@@ -601,15 +628,26 @@ def _(v):
 @check(
     "event_diff_server",
     f"""select *, ("to" - "from") / 1000000 as diff
-        from ({_pair_sql("(select region as txn_id, event, time, 'partition' as x, \"partition\" from server_events)", 'txn_id, "partition"')})
+        from ({_pair_sql("(select txn_id // 16 as txn_id, event, time, \"partition\" from server_events)", 'txn_id, "partition"')})
         where "from" is not null and "to" is not null""",
 )
 def _(v):
-    # A server event has a transaction of its own in this view; the region stands in for it.
-    rows = v.server_events.withColumn("txn_id", F.col("region"))
+    # Sixteen events in a row are those of a transaction.
+    rows = v.server_events.withColumn("txn_id", F.floor(F.col("txn_id") / 16))
     return events.event_diff_server(rows, "click", "purchase")
 
 
+@check(
+    "event_diff_server_region",
+    f"""select *, ("to" - "from") / 1000000 as diff
+        from ({_pair_sql("(select txn_id // 64 as txn_id, event, time, region from server_events)", "txn_id, region")})
+        where "from" is not null and "to" is not null""",
+)
+def _(v):
+    rows = v.server_events.withColumn("txn_id", F.floor(F.col("txn_id") / 64))
+    return events.event_diff_server(rows, "click", "purchase", by_region=True, by_partition=False)
+
+
 _HOME_DIFF = f"""{_FACTS}, p as ({_pair_sql("client_events", "txn_id, home")}),
     diffs as (select p.home, p."from", p."to", ("to" - "from") / 1000000 as diff, f.*
               from p join f on p.txn_id = f.txn_id where "from" is not null and "to" is not null)"""
@@ -702,17 +740,6 @@ def _(v):
     )
 
 
-@check(
-    "cdf_points",
-    f"""with {LATENCY}, r as (select prefix, latency, txn_id,
-        row_number() over (partition by prefix order by latency, txn_id) as i,
-        count(*) over (partition by prefix) as n from lat)
-    select prefix, latency, txn_id, i / n as y from r where i * 50 % n < 50""",
-)
-def _(v):
-    return stats.cdf(latency.latency(v.txns), "prefix", "latency", "txn_id", points=50)
-
-
 @check(
     "shift_to_zero",
     """select region, txn_id, time - min(time) over (partition by region) as time from server_events""",
@@ -753,7 +780,7 @@ def _(v):
 @check(
     "sample_rows",
     """select o_orderkey from orders
-       where ('0x' || substr(md5(concat('0:', o_orderkey)), 1, 8))::bigint / 4294967296 < 0.1""",
+       where ('0x' || substr(md5(concat('0:', o_orderkey)), 1, 13))::bigint / 4503599627370496 < 0.1""",
 )
 def _(v):
     return sampling.sample_rows(v.orders, 0.1, "o_orderkey").select("o_orderkey")
@@ -763,7 +790,7 @@ def _(v):
     "stratified_sample",
     """select o_orderpriority, o_orderkey from (select o_orderpriority, o_orderkey,
               count(*) over (partition by o_orderpriority) as n from orders)
-       where ('0x' || substr(md5(concat('1000:', o_orderkey)), 1, 8))::bigint / 4294967296
+       where ('0x' || substr(md5(concat('1000:', o_orderkey)), 1, 13))::bigint / 4503599627370496
              < least(1, 200 / n)""",
 )
 def _(v):
@@ -790,19 +817,32 @@ def _(v):
     )
 
 
+_WIDE = """round(max(throughput) filter (where config_name = 'f.conf'), 6) as "First",
+           round(max(throughput) filter (where config_name = 'o.conf'), 6) as "Second",
+           round(max(throughput) filter (where config_name = 'p.conf'), 6) as "Third\""""
+
+
 @check(
     "throughput_wide",
-    f"""with {WINDOWED}, t as (select e.*, throughput from thr join experiments e on thr.prefix = e.prefix
-                               where wl_mh = 10)
-    select clients, round(max(throughput) filter (where config_name = 'f.conf'), 6) as "First",
-           round(max(throughput) filter (where config_name = 'o.conf'), 6) as "Second",
-           round(max(throughput) filter (where config_name = 'p.conf'), 6) as "Third"
-    from t group by clients""",
+    f"""with {WINDOWED}, t as (select e.*, throughput from thr join experiments e on thr.prefix = e.prefix)
+    select clients, wl_mh, {_WIDE} from t group by clients, wl_mh""",
+)
+def _(v):
+    thr = throughput.throughput_by_experiment(v.txns, v.summary, v.experiments, **WINDOW)
+    labels = {"f.conf": "First", "o.conf": "Second", "p.conf": "Third"}
+    found = frames.throughput_wide(thr, list(labels), ["clients", "wl_mh"], labels=labels)
+    return rounded(found, *labels.values())
+
+
+@check(
+    "throughput_wide_all",
+    f"""with {WINDOWED}, t as (select e.*, throughput from thr join experiments e on thr.prefix = e.prefix)
+    select clients, {_WIDE} from t group by clients""",
 )
 def _(v):
     thr = throughput.throughput_by_experiment(v.txns, v.summary, v.experiments, **WINDOW)
     labels = {"f.conf": "First", "o.conf": "Second", "p.conf": "Third"}
-    found = frames.throughput_wide(thr.where(F.col("wl_mh") == 10), list(labels), labels=labels)
+    found = frames.throughput_wide(thr, list(labels), labels=labels, agg=F.max)
     return rounded(found, *labels.values())
 
 
@@ -835,6 +875,16 @@ def _(v):
     return coordinator_region(rows, _SHIFTS).select("txn_id", "config_name", "coordinator_region")
 
 
+@check(
+    "coordinator_region_plain",
+    f"""with {LATENCY}, {_REGIONAL}
+    select txn_id, replace(config_name, '.conf', '') as config_name, coordinator_region from reg""",
+)
+def _(v):
+    rows = with_metadata(v.txns, config_label(v.experiments.select("prefix", "config_name")))
+    return coordinator_region(rows, _SHIFTS).select("txn_id", "config_name", "coordinator_region")
+
+
 # ------------------------------------------------------------------- sources
 # Each check writes a view as a tree of logs in the shared folder and reads it back.
 
@@ -850,11 +900,11 @@ def _txn_logs(v):
         F.col("machine").alias("_directory"),
         "txn_id",
         "coordinator",
-        joined("regions").alias("regions"),
-        joined("partitions").alias("partitions"),
-        F.lit(0).alias("generator"),
-        F.lit(0).alias("restarts"),
-        F.lit("2;1").alias("global_log_pos"),
+        joined(F.reverse("regions")).alias("regions"),  # the reader sorts them
+        joined(F.reverse("partitions")).alias("partitions"),
+        (F.col("txn_id") * 3 + 1).alias("generator"),
+        (F.col("txn_id") % 5).alias("restarts"),
+        F.concat_ws(";", F.col("txn_id") % 7, F.col("txn_id") % 3).alias("global_log_pos"),
         "sent_at",
         "received_at",
     )
@@ -866,7 +916,8 @@ _TXN_COLS = [
 ]
 _TXN_SQL = """select concat('exp-', coordinator % 4) as experiment, machine, txn_id, coordinator,
     array_to_string(regions, ';') as regions, array_to_string(partitions, ';') as partitions,
-    cast(0 as bigint) as generator, cast(0 as int) as restarts, '2;1' as global_log_pos,
+    txn_id * 3 + 1 as generator, cast(txn_id % 5 as int) as restarts,
+    concat(txn_id % 7, ';', txn_id % 3) as global_log_pos,
     sent_at, received_at from txns"""
 
 
@@ -884,8 +935,7 @@ def _(v):
 @check("read_archives", _TXN_SQL)
 def _(v):
     root = write_tree(_txn_logs(v), "client", "transactions.csv", _TXN_COLS, archives=True)
-    lines = archives.read_archives(v.spark, f"{root}/*/*.tar.gz")
-    found = archives.archived_table(lines, "transactions.csv")
+    found = archives.read_archived(v.spark, f"{root}/*/*.tar.gz", "transactions.csv")
     # An archive p0.tar.gz stands for a directory p0 of its experiment.
     named = found.withColumn("prefix", F.regexp_replace("prefix", "/p[0-9]+$", ""))
     return _txn_text(named)
@@ -894,17 +944,21 @@ def _(v):
 @check(
     "read_log_tree_summary",
     """select concat('exp-', substr(prefix, 5, 1)) as experiment, machine, committed, aborted,
-              cast(0 as bigint) as not_started, cast(0 as bigint) as restarted,
-              cast(0 as bigint) as single_home, cast(0 as bigint) as multi_home,
-              cast(0 as bigint) as single_partition, cast(0 as bigint) as multi_partition,
-              cast(0 as bigint) as remaster, elapsed_time from summary""",
+              committed + 1 as not_started, committed + 2 as restarted,
+              committed + 3 as single_home, committed + 4 as multi_home,
+              committed + 5 as single_partition, committed + 6 as multi_partition,
+              committed + 7 as remaster, elapsed_time from summary""",
 )
 def _(v):
-    cols = [f.name for f in logs.schemas.SUMMARY.fields]
+    cols = logs.schemas.names(logs.schemas.SUMMARY)
+    rest = [c for c in cols if c not in v.summary.columns]
     rows = v.summary.select(
         F.concat(F.lit("exp-"), F.substring("prefix", 5, 1)).alias("_experiment"),
         F.col("machine").alias("_directory"),
-        *[F.col(c) if c in v.summary.columns else F.lit(0).alias(c) for c in cols],
+        "committed",
+        "aborted",
+        "elapsed_time",
+        *[(F.col("committed") + i).alias(c) for i, c in enumerate(rest, 1)],
     )
     return _experiment(logs.read_summary(v.spark, write_tree(rows, "client", "summary.csv", cols)))
 
@@ -1004,7 +1058,7 @@ def _(v):
               deadlocks_resolved, graph_update_time from resolver""",
 )
 def _(v):
-    cols = [f.name for f in logs.schemas.RESOLVER.fields]
+    cols = logs.schemas.names(logs.schemas.RESOLVER)
     rows = _server_rows(v.resolver, cols).withColumn("_directory", F.lit("0-0"))
     return _experiment(logs.read_resolver(v.spark, write_tree(rows, "server", "deadlock_resolver.csv", cols)))
 
@@ -1029,7 +1083,7 @@ def _(v):
 @check(
     "read_log_tree_index",
     """select replace(prefix, '/', '-') as experiment, config_name, clients, wl_hot, wl_mh,
-              cast(60 as int) as duration, cast(1000 as int) as txns, cast(0 as int) as rate
+              clients + 1 as duration, wl_hot + 2 as txns, wl_mh + 3 as rate
        from experiments""",
 )
 def _(v):
@@ -1041,16 +1095,19 @@ def _(v):
     client = v.base.select(
         name,
         two.alias("_directory"),
-        F.lit(60).alias("duration"),
-        F.lit(1000).alias("txns"),
+        (F.col("clients") + 1).alias("duration"),
+        (F.col("wl_hot") + 2).alias("txns"),
         "clients",
-        F.lit(0).alias("rate"),
+        (F.col("wl_mh") + 3).alias("rate"),
         F.col("wl_hot").alias("wl:hot"),
         F.col("wl_mh").alias("wl:mh"),
     ).distinct()
     root = write_tree(server, "server", "metadata.csv", ["config_name"])
     cols = ["duration", "txns", "clients", "rate", "wl:hot", "wl:mh"]
-    write_tree(client, "client", "metadata.csv", cols, root=root)
+    # The machines of an experiment write the same columns in different orders.
+    for machine, order in ((0, cols), (1, cols[::-1])):
+        own = client.where(F.col("_directory") == machine)
+        write_tree(own, "client", "metadata.csv", order, root=root)
     return _experiment(index.experiment_index(v.spark, root))
 
 
@@ -1078,7 +1135,7 @@ def _study_logs(v, *files):
         ])
         root = write_tree(rows, "client", "transactions.csv", _TXN_COLS)
     if "summary" in files:
-        cols = [f.name for f in logs.schemas.SUMMARY.fields]
+        cols = logs.schemas.names(logs.schemas.SUMMARY)
         sums = v.summary.groupBy(name, machine).agg(
             F.sum("committed").alias("committed"), F.sum("elapsed_time").alias("elapsed_time")
         )
@@ -1133,7 +1190,7 @@ def _(v):
                  count(*) over (partition by prefix, coordinator >> 24) as n
           from runs where len(regions) > 1),
     t as (select prefix, quantile_disc(latency, 0.5) as p50, quantile_disc(latency, 0.99) as p99
-          from m where ('0x' || substr(md5(concat('1000:', txn_id)), 1, 8))::bigint / 4294967296
+          from m where ('0x' || substr(md5(concat('1000:', prefix, '|', txn_id)), 1, 13))::bigint / 4503599627370496
                        < least(1, 200 / n) group by prefix)
     select p99, {_STUDY_INDEX.format("p50")} from t""",
 )
@@ -1143,6 +1200,110 @@ def _(v):
     return _experiment(rounded(found, "p50"))
 
 
+_RUN_LAT = f"""{_RUNS}, lat as (select *, (received_at - sent_at) / 1000000 as latency,
+    substr(prefix, 5, 1) as config_name,
+    cast(case substr(prefix, 5, 1) when 'f' then coordinator >> 24 when 'o' then coordinator >> 16
+         else floor(coordinator / 4) end as int) as coordinator_region from runs)"""
+
+
+@check(
+    "study_latency_exact",
+    f"""with {_RUN_LAT}, t as (select prefix, {_P4} from lat group by prefix)
+    select p90, p95, p99, {_STUDY_INDEX.format("p50")} from t""",
+)
+def _(v):
+    found = studies.latency_study(_study_logs(v, "transactions"), method="exact")
+    return _experiment(rounded(found, "p50"))
+
+
+@check(
+    "study_latency_single_home",
+    f"""with {_RUN_LAT}, t as (select prefix, {_P4} from lat where len(regions) = 1 group by prefix)
+    select p90, p95, p99, {_STUDY_INDEX.format("p50")} from t""",
+)
+def _(v):
+    found = studies.latency_study(_study_logs(v, "transactions"), "single", accuracy=EXACT)
+    return _experiment(rounded(found, "p50"))
+
+
+@check(
+    "study_throughput_latency",
+    f"""with {_RUN_LAT},
+    w as (select *, min(sent_at) over (partition by prefix, machine) as lo from runs),
+    rate as (select prefix, machine, count(*) as n, max(sent_at) - min(sent_at) as span
+             from w where sent_at >= lo + 5000000000 group by 1, 2),
+    smp as (select a.prefix, n / committed * 100 as sample
+            from (select prefix, count(*) as n from runs group by 1) a
+            join (select prefix, sum(committed) as committed from counters group by 1) c
+            on a.prefix = c.prefix),
+    t as (select substr(rate.prefix, 5, 1) as config_name,
+                 sum(rate.n * 1000000000 * (100 / smp.sample) / nullif(span, 0)) as throughput
+          from rate join smp on rate.prefix = smp.prefix group by 1)
+    select t.config_name, cast(100 as int) as clients, round(throughput, 6) as throughput, p50, p90, p95, p99
+    from t join (select config_name, {_P4} from lat group by 1) p on p.config_name = t.config_name""",
+)
+def _(v):
+    run = _study_logs(v, "transactions", "summary")
+    found = studies.throughput_latency_study(run, _SHIFTS, method="exact")
+    return rounded(found, "throughput")
+
+
+@check(
+    "study_latency_cdfs",
+    f"""with {_RUN_LAT}, h as (select *, case when config_name <> 'f' then 'all'
+        when len(regions) = 1 then 'single' when len(regions) > 1 then 'multi' else 'all' end as homes from lat)
+    select config_name, homes, coordinator_region, latency,
+           row_number() over (partition by config_name, homes, coordinator_region order by latency)
+           / count(*) over (partition by config_name, homes, coordinator_region) as y
+    from h where config_name in ('f', 'o')""",
+)
+def _(v):
+    rows = studies.regional_latency(_study_logs(v, "transactions"), _SHIFTS)
+    return studies.latency_cdfs(rows, {"f": 100, "o": 100}, split=["f"])
+
+
+@check(
+    "study_rate",
+    f"""with {_RUNS},
+    smp as (select a.prefix, n / committed * 100 as sample
+            from (select prefix, count(*) as n from runs group by 1) a
+            join (select prefix, sum(committed) as committed from counters group by 1) c
+            on a.prefix = c.prefix),
+    s as (select prefix, cast(floor(sent_at / 1000000000) as bigint) as time, count(*) as n
+          from runs group by 1, 2)
+    select s.prefix as experiment, time - min(time) over (partition by s.prefix) as time,
+           round(n * (100 / sample), 6) as throughput from s join smp on s.prefix = smp.prefix""",
+)
+def _(v):
+    run = _study_logs(v, "transactions", "summary")
+    return _experiment(rounded(studies.rate_study(run), "throughput"))
+
+
+@check(
+    "study_comparison",
+    f"""with {_RUNS}, {_THEIRS},
+    w as (select *, min(sent_at) over (partition by prefix, machine) as lo from runs),
+    rate as (select prefix, machine, count(*) as n, max(sent_at) - min(sent_at) as span
+             from w where sent_at >= lo + 10000000000 group by 1, 2),
+    smp as (select a.prefix, n / committed * 100 as sample
+            from (select prefix, count(*) as n from runs group by 1) a
+            join (select prefix, sum(committed) as committed from counters group by 1) c
+            on a.prefix = c.prefix),
+    t as (select substr(rate.prefix, 5, 1) as config_name,
+                 sum(rate.n * 1000000000 * (100 / smp.sample) / nullif(span, 0)) as throughput
+          from rate join smp on rate.prefix = smp.prefix group by 1),
+    o as (select 50 as wl_mh, 1000000 as wl_hot, max(throughput) filter (where config_name = 'f') as f,
+                 max(throughput) filter (where config_name = 'o') as o from t)
+    select o.wl_mh, o.wl_hot, round(f, 6) as f, round(o.o, 6) as o, round(crossref, 4) as crossref
+    from o left join theirs on o.wl_mh = theirs.wl_mh and o.wl_hot = theirs.wl_hot""",
+)
+def _(v):
+    run = _study_logs(v, "transactions", "summary")
+    run.index = run.index.withColumns({"wl_mh": F.lit(50), "wl_hot": F.lit(1000000)})
+    found, _ = studies.comparison_study(run, v.report, ["f", "o"], "crossref")
+    return rounded(rounded(found, "f", "o"), "crossref", digits=4)
+
+
 @check(
     "materialize",
     f"with {WINDOWED} select prefix, machine, round(throughput, 6) as throughput from rates",

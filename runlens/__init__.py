@@ -70,7 +70,7 @@ from runlens.operators.throughput import (
 from runlens.operators.window import run_window
 from runlens.plans.logs import RunLogs
 from runlens.session import get_session
-from runlens.sources.archives import archived_table, read_archives
+from runlens.sources.archives import archived_table, read_archived, read_archives
 from runlens.sources.index import experiment_index
 from runlens.sources.logs import (
     read_client_events,
@@ -84,6 +84,6 @@ from runlens.sources.logs import (
     read_txn_timestamps,
 )
 from runlens.sources.reports import read_latency_report, read_report
-from runlens.sources.store import clear_scratch, materialize, settle
+from runlens.sources.store import clear_scratch, materialize, scratch, settle
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -20,12 +20,12 @@ def coordinator_region(df, shifts=None, config="config_name", coordinator="coord
     """P5: the region of the coordinator, by the rule of the row's configuration.
 
     ``shifts`` maps a configuration to its number of low bits; for all others the id divided by
-    four, cut to a whole number, is the region.
+    four, cut to a whole number, is the region. Names count with or without ``.conf``.
     """
-    region = None
+    region, plain = None, F.regexp_replace(F.col(config), r"\.conf", "")
     for conf, bits in (REGION_SHIFT if shifts is None else shifts).items():
         shifted = F.shiftright(F.col(coordinator), bits)
-        matches = F.col(config) == conf
+        matches = plain == conf.replace(".conf", "")
         region = F.when(matches, shifted) if region is None else region.when(matches, shifted)
     quarter = (F.col(coordinator) / 4).cast("int")
     return df.withColumn(

@@ -3,9 +3,8 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import txn_class
-from runlens.operators.facts import as_list, run_keys
-from runlens.operators.stats import gaps, shift_to_zero
-from runlens.sources.store import settle
+from runlens.operators.facts import as_list, attach, run_keys
+from runlens.operators.stats import gaps
 
 __all__ = [
     "diff_series",
@@ -125,13 +124,14 @@ def region_counts(diffs, region="coordinator_region"):
 def diff_series(diffs, region, home=None, time="from", keys=None):
     """The points (time, diff) of one region [and home] in time order.
 
-    Times start at 0, the earliest time of the experiment (or of ``keys``). The columns in use are
-    stored, since a breakdown is costly to compute twice.
+    Times start at 0, the earliest time of the experiment (or of ``keys``) over all regions. That
+    time is an aggregate, attached to the rows of the region; no breakdown is stored.
     """
     keys = run_keys(diffs) if keys is None else as_list(keys)
-    used = diffs.select(*keys, "coordinator_region", "home", time, "diff")
-    shifted = shift_to_zero(settle(used, "diffs", packed=True), keys, time)
-    shifted = shifted.where(F.col("coordinator_region") == region)
+    starts = diffs.groupBy(*keys).agg(F.min(time).alias("_start"))
+    rows = diffs.where(F.col("coordinator_region") == region)
     if home is not None:
-        shifted = shifted.where(F.col("home") == home)
-    return shifted.select(*keys, "home", time, "diff").orderBy(*keys, time)
+        rows = rows.where(F.col("home") == home)
+    shifted = attach(rows.select(*keys, "home", time, "diff"), starts, keys)
+    shifted = shifted.withColumn(time, F.col(time) - F.col("_start")).drop("_start")
+    return shifted.orderBy(*keys, time)

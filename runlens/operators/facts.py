@@ -52,5 +52,17 @@ def run_keys(*dfs):
     return ["prefix"] if all("prefix" in df.columns for df in dfs) else []
 
 
+def cell(value, agg=None):
+    """The aggregate of a pivoted cell: its one value, or ``agg`` of several.
+
+    Without ``agg`` a cell with more than one row raises, since any choice would lose rows.
+    """
+    if agg is not None:
+        return agg(value)
+    rows = F.count(F.when(F.col(value).isNotNull(), F.lit(1)))
+    message = f"a cell of the table has several rows of {value}; name an aggregate"
+    return F.when(rows > 1, F.raise_error(F.lit(message))).otherwise(F.max(value))
+
+
 def as_list(keys):
     return [keys] if isinstance(keys, str) else list(keys or [])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import config_label
+from runlens.operators.facts import as_list, cell
 
 
 def series(df, condition, x, y, scale=None, config_prefix=None):
@@ -19,11 +20,16 @@ def series(df, condition, x, y, scale=None, config_prefix=None):
 
 
 def throughput_wide(
-    df, configs, index="clients", columns="config_name", value="throughput", labels=None
+    df, configs, index="clients", columns="config_name", value="throughput", labels=None, agg=None
 ):
-    """One column per configuration, one row per client count, named by ``labels``."""
-    wide = df.groupBy(index).pivot(columns, list(configs)).agg(F.first(value))
-    return wide.withColumnsRenamed(labels or {}).orderBy(index)
+    """One column per configuration, one row per client count, named by ``labels``.
+
+    ``index`` may be several columns. Two rows for a cell raise, unless ``agg`` (such as ``F.max``)
+    says what to make of them.
+    """
+    keys = as_list(index)
+    wide = df.groupBy(*keys).pivot(columns, list(configs)).agg(cell(value, agg))
+    return wide.withColumnsRenamed(labels or {}).orderBy(*keys)
 
 
 def axis_values(df, col, desc=False):

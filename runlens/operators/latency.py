@@ -59,7 +59,7 @@ def stratified_percentiles(latencies, index=None, n=200, key=None, seed=1000, sh
         "prefix",
         "latency",
         packed_region("coordinator", shift).alias("region"),
-        *as_list(key),
+        *[k for k in as_list(key) if k not in ("prefix", "latency")],
     )
     even = stratified_sample(rows, ["prefix", "region"], n, key, seed)
     found = latency_percentiles(even, **options)

@@ -14,14 +14,6 @@ from runlens.sources.store import settle
 _PIECE_BITS = 33  # monotonically_increasing_id holds the row's number below these bits
 
 
-def with_ties_apart(df):
-    """``df`` with a stored random column ``_salt`` that tells equal rows apart.
-
-    It is stored before it decides where a row goes, so that a repeated task draws nothing new.
-    """
-    return settle(df.withColumn("_salt", F.rand(0)), "salted", packed=True)
-
-
 def in_pieces(df, keys, order):
     """``df`` sorted over the cluster, with the piece (``_piece``) and place (``_pos``) of a row.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runlens.operators.facts import as_list, with_facts
+from runlens.operators.facts import as_list, cell, with_facts
 from runlens.sources.store import settle
 
 _WORKLOAD = ["wl_mh", "wl_hot"]
@@ -42,7 +42,7 @@ def outcome_mix(report):
 
 def outcome_counts_wide(mix, types=OUTCOMES):
     """One count column per outcome and their sum; null where an outcome is missing."""
-    wide = mix.groupBy(*_WORKLOAD).pivot("type", list(types)).agg(F.first("count"))
+    wide = mix.groupBy(*_WORKLOAD).pivot("type", list(types)).agg(cell("count"))
     total = sum((F.col(t) for t in types[1:]), F.col(types[0]))
     return _by_workload(wide.withColumn("sum", total))
 
@@ -54,21 +54,24 @@ def outcome_pct_wide(mix, types=OUTCOMES, mh_values=None):
     the key is the contention ``hot`` = 1 / ``wl_hot``.
     """
     if mh_values is None:
-        wide = mix.groupBy(*_WORKLOAD).pivot("type", list(types)).agg(F.first("pct"))
+        wide = mix.groupBy(*_WORKLOAD).pivot("type", list(types)).agg(cell("pct"))
         return _by_workload(wide)
     names = [f"{t}_{mh}" for t in types for mh in mh_values]
     wide = (
         mix.withColumn("_name", F.concat_ws("_", "type", "wl_mh"))
         .groupBy("wl_hot")
         .pivot("_name", names)
-        .agg(F.first("pct"))
+        .agg(cell("pct"))
     )
     return wide.select(F.try_divide(F.lit(1), "wl_hot").alias("hot"), *names).orderBy("hot")
 
 
-def compare_systems(ours, other, configs, value="throughput"):
-    """One column per configuration, next to the columns of the other system's report."""
-    wide = ours.groupBy(*_WORKLOAD).pivot("config_name", list(configs)).agg(F.first(value))
+def compare_systems(ours, other, configs, value="throughput", agg=None):
+    """One column per configuration, next to the columns of the other system's report.
+
+    Two rows of a configuration and workload raise, unless ``agg`` says what to make of them.
+    """
+    wide = ours.groupBy(*_WORKLOAD).pivot("config_name", list(configs)).agg(cell(value, agg))
     return _by_workload(wide.join(other, _WORKLOAD, "left"))
 
 
@@ -86,10 +89,11 @@ def relative_to(df, keys, base, values):
     ).drop(*bases)
 
 
-def scale_by_max_wide(df, value, mh_values):
+def scale_by_max_wide(df, value, mh_values, agg=None):
     """Values divided by the largest of all, one column per multi-home share.
 
-    The key is the contention ``hot`` = 1 / ``wl_hot``.
+    The key is the contention ``hot`` = 1 / ``wl_hot``. Two rows of a workload raise, unless
+    ``agg`` says what to make of their shares.
     """
     frame = settle(df.select("wl_mh", "wl_hot", value), "frame")
     scaled = with_facts(frame, [], {"_max": F.max(value)}).select(
@@ -98,7 +102,7 @@ def scale_by_max_wide(df, value, mh_values):
         F.try_divide(F.col(value), F.col("_max")).alias("_share"),
     )
     names = [f"{value}_{mh}" for mh in mh_values]
-    return scaled.groupBy("hot").pivot("_name", names).agg(F.first("_share")).orderBy("hot")
+    return scaled.groupBy("hot").pivot("_name", names).agg(cell("_share", agg)).orderBy("hot")
 
 
 def stack_systems(ours, other):

@@ -9,8 +9,8 @@ from runlens.operators.facts import as_list, with_facts
 def sample_rows(df, fraction, key=None, seed=0):
     """Keep each row with probability ``fraction``.
 
-    With ``key`` the choice depends on that column and the seed alone, so it is the same in every
-    run; without it Spark's own sampler is used.
+    With ``key`` (a column or several) the choice depends on these and the seed alone, so it is the
+    same in every run; without it Spark's own sampler is used.
     """
     if key is None:
         return df.sample(fraction=fraction, seed=seed)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from runlens.operators.facts import as_list, attach, with_facts
 from runlens.operators.ordering import (
@@ -10,12 +11,9 @@ from runlens.operators.ordering import (
     ranked,
     spread,
     value_counts,
-    with_ties_apart,
 )
 
 DEFAULT_ACCURACY = 10000
-SKETCH_SIZE = 8192
-MERGE_WAYS = 64  # sketches of a key are merged in this many groups first
 
 
 def percentile_names(probs, prefix="p"):
@@ -36,61 +34,93 @@ def percentiles(
     ``approx`` keeps a summary of bounded size per key. The rank error is below
     rows / ``accuracy``, so it is exact while a key has fewer rows than ``accuracy``.
 
-    ``merged`` is for keys whose rows lie in very many tasks: sketches are merged in two steps, so
-    that no task merges those of all others. The rank error is about 0.1 percent, and none while a
-    key has at most ``SKETCH_SIZE`` rows; repeated runs may differ within it.
-
     ``exact`` finds the smallest value with at least that share of the rows at or below it, for
-    keys of any size; a key without a value gets no row.
+    keys of any size and alike in every run; a key without a value gets no row. ``df`` is read
+    twice: counts per bin tell in which bins the wanted ranks lie, and only the values of these
+    bins are ordered.
     """
     keys, probs = as_list(keys), list(probs)
     names = percentile_names(probs, prefix)
     if method == "exact":
-        values = spread(value_counts(df, keys, value), keys, [value])
-        places = accumulated(values, keys, [value], "_count")
-        reached = [
-            F.min(F.when(F.col("_upto") >= F.col("_total") * p, F.col(value))).alias(name)
-            for p, name in zip(probs, names)
-        ]
-        return places.groupBy(*keys).agg(*reached)
-    if method == "merged":
-        part = F.spark_partition_id() % MERGE_WAYS
-        sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_SIZE)
-        parts = df.groupBy(*keys, part.alias("_part")).agg(sketch.alias("_sketch"))
-        merged = parts.groupBy(*keys).agg(
-            F.kll_merge_agg_double("_sketch", SKETCH_SIZE).alias("_sketch")
-        )
-        ranks = F.array(*[F.lit(float(p)) for p in probs])
-        found = merged.withColumn(
-            "_found",
+        return _exact_percentiles(df, keys, value, probs, names)
+    if method != "approx":
+        raise ValueError("method must be 'approx' or 'exact'")
+    found = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_found"))
+    return found.select(*keys, *[F.col("_found")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _bin(value):
+    """A whole number that never falls as the value grows; a bin spans less than one percent."""
+    x = F.col(value).cast("double")
+    finite = F.when(F.abs(x) < float("inf"), F.abs(x))
+    size = F.floor(F.ln(F.when(finite > 0, finite)) * 128).cast("long") + 100_000
+    size = F.coalesce(size, F.lit(1_000_000))
+    return F.when(F.isnan(x), 2_000_000).when(x == 0, 0).when(x > 0, size).otherwise(-size)
+
+
+def _exact_percentiles(df, keys, value, probs, names):
+    valued = df.where(F.col(value).isNotNull()).select(*keys, value, _bin(value).alias("_bin"))
+    by_key = Window.partitionBy(*keys)  # over bins, of which a key has a bounded number
+    bins = (
+        valued.groupBy(*keys, "_bin")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_to", F.sum("_n").over(by_key.orderBy("_bin")))
+        .withColumn("_all", F.sum("_n").over(by_key))
+    )
+    wanted = [
+        F.min(
             F.when(
-                F.kll_sketch_get_n_double("_sketch") > 0,
-                F.kll_sketch_get_quantile_double("_sketch", ranks),
-            ),
+                F.col("_to") >= F.col("_all") * p,
+                F.struct("_bin", (F.col("_to") - F.col("_n")).alias("_below"), "_all"),
+            )
         )
-    elif method == "approx":
-        found = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_found"))
-    else:
-        raise ValueError("method must be 'approx', 'merged' or 'exact'")
-    return found.select(*keys, *[F.col("_found")[i].alias(n) for i, n in enumerate(names)])
+        for p in probs
+    ]
+    places = (
+        bins.groupBy(*keys)
+        .agg(F.array_distinct(F.array(*wanted)).alias("_places"))
+        .select(*keys, F.explode("_places").alias("_place"))
+        .select(*keys, "_place.*")
+    )
+    inside = attach(valued, places, [*keys, "_bin"])
+    by = [*keys, "_bin", "_below", "_all"]
+    placed = accumulated(spread(value_counts(inside, by, value), by, [value]), by, [value], "_count")
+    rank = F.col("_below") + F.col("_upto")
+    return placed.groupBy(*keys).agg(
+        *[
+            F.min(F.when(rank >= F.col("_all") * p, F.col(value))).alias(name)
+            for p, name in zip(probs, names)
+        ]
+    )
+
+
+def _points(counted):
+    """The rows of counted values again, numbered by ``_rank``, in chunks of a bounded size."""
+    chunk = 10_000
+    first = F.col("_upto") - F.col("_count")
+    some = counted.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / F.lit(chunk))))
+    )
+    low = first + F.col("_chunk") * chunk + 1
+    high = F.least(first + (F.col("_chunk") + 1) * chunk, F.col("_upto"))
+    return some.withColumn("_rank", F.explode(F.sequence(low, high)))
 
 
-def cdf(df, keys, x, tiebreak=None, points=None):
+def cdf(df, keys, x, tiebreak=None):
     """The empirical distribution of ``x`` per key: sorted values and ``y`` = i / n.
 
-    Every row gives one point, so equal values have several; nulls give none. ``tiebreak`` (a
-    column or list) fixes the order of equal values and is kept in the result. For figures,
-    ``points`` keeps that many evenly spaced points of each larger group, the last one included.
+    Every row gives one point, so equal values have several; nulls give none. Equal values are
+    counted before they are ordered and expanded at the end. ``tiebreak`` (a column or list) fixes
+    the order of equal values and is kept in the result. One copy of the values is stored.
     """
     keys, ties = as_list(keys), as_list(tiebreak)
-    values = df.where(F.col(x).isNotNull()).select(*keys, x, *ties)
     if ties:
-        placed = ranked(values, keys, [x, *ties])
+        values = df.where(F.col(x).isNotNull()).select(*keys, x, *ties)
+        placed = ranked(values, keys, [x, *ties]).withColumnRenamed("_size", "_total")
     else:
-        placed = ranked(with_ties_apart(values), keys, [x, "_salt"])
-    if points is not None:
-        placed = placed.where((F.col("_rank") * points) % F.col("_size") < points)
-    return placed.select(*keys, x, *ties, (F.col("_rank") / F.col("_size")).alias("y"))
+        values = spread(value_counts(df, keys, x), keys, [x])
+        placed = _points(accumulated(values, keys, [x], "_count"))
+    return placed.select(*keys, x, *ties, (F.col("_rank") / F.col("_total")).alias("y"))
 
 
 def shift_to_zero(df, keys, cols):
@@ -195,13 +225,17 @@ def gaps(df, keys, t, tiebreak=None, drop_first=True):
     """The time from each row to the next of its series (``gap``), null at the end.
 
     ``drop_first`` leaves out the earliest row of each series. Rows without a time are left out.
+    Without ``tiebreak`` rows of one time are ordered by a hash of their columns. One copy of the
+    rows is stored.
     """
     keys, ties = as_list(keys), as_list(tiebreak)
     timed = df.where(F.col(t).isNotNull())
     if ties:
         placed = in_pieces(timed, keys, [t, *ties])
     else:
-        placed = in_pieces(with_ties_apart(timed), keys, [t, "_salt"]).drop("_salt")
+        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+        salted = timed.withColumn("_salt", F.xxhash64(*hashed))
+        placed = in_pieces(salted, keys, [t, "_salt"]).drop("_salt")
     by_key = Window.partitionBy(*keys)
     pieces = (
         placed.groupBy(*keys, "_piece")

@@ -15,20 +15,32 @@ class RunLogs:
 
     With ``store`` a table is converted to Parquet once, laid out by experiment, and read from
     there: studies then read only the columns and experiments they use. ``tags`` maps a column
-    name to the pattern of a number in the experiment names.
+    name to the pattern of a number in the experiment names. ``options`` maps the name of a table
+    to more arguments of its reader, for logs of an old layout: ``{"deadlocks": {"region_col":
+    "replica"}, "measurements": {"legacy": True}, "resolver": {"server": "1-0"}}``.
     """
 
-    def __init__(self, spark, root, store=None, experiment="*", tags=None, plain_names=False):
+    def __init__(
+        self,
+        spark,
+        root,
+        store=None,
+        experiment="*",
+        tags=None,
+        plain_names=False,
+        options=None,
+    ):
         self.spark = spark
         self.root = root
         self.store = store
         self.experiment = experiment
         self.tags = tags or {}
         self.plain_names = plain_names
+        self.options = options or {}
 
     def _table(self, name, read, partition_by="prefix"):
         def build():
-            return read(self.spark, self.root, self.experiment)
+            return read(self.spark, self.root, self.experiment, **self.options.get(name, {}))
 
         if self.store is None:
             return build()

@@ -13,8 +13,15 @@ from runlens.operators import latency as lat
 from runlens.operators import reports as rep
 from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.sampling import sample_rows
-from runlens.operators.stats import cdf
-from runlens.operators.throughput import counter_throughput, throughput, with_index
+from runlens.operators.stats import DEFAULT_ACCURACY, cdf, shift_to_zero
+from runlens.operators.throughput import (
+    counter_throughput,
+    event_throughput,
+    throughput,
+    throughput_over_time,
+    with_index,
+)
+from runlens.sources.store import settle
 
 FOUR = (0.5, 0.9, 0.95, 0.99)
 
@@ -35,26 +42,37 @@ def throughput_study(logs, start_s=10, dur_s=50, order=("prefix",), **settings):
 
 
 def latency_study(
-    logs, homes="all", probs=FOUR, order=("prefix",), contains=None, window=None, **settings
+    logs,
+    homes="all",
+    probs=FOUR,
+    order=("prefix",),
+    contains=None,
+    window=None,
+    method="approx",
+    accuracy=DEFAULT_ACCURACY,
+    **settings,
 ):
     """Latency percentiles of the experiments with their metadata.
 
     ``homes`` is ``"all"``, ``"single"``, or ``"multi"`` for multi-home transactions with regions
-    weighted alike. ``contains`` restricts the experiment names.
+    weighted alike. ``contains`` restricts the experiment names; ``method`` and ``accuracy`` are
+    those of ``percentiles``.
     """
     if homes not in ("all", "single", "multi"):
         raise ValueError("homes must be 'all', 'single' or 'multi'")
+    how = {"method": method, "accuracy": accuracy}
     index = logs.experiments(**settings)
     if contains is not None:
         index = lat.named(index, contains)
     rows = _of(logs.transactions, index, settings or contains)
     rows = lat.latency(rows, **(window or {}))
     if homes == "single":
-        found = lat.single_home_percentiles(rows, index, probs=probs)
+        found = lat.single_home_percentiles(rows, index, probs=probs, **how)
     elif homes == "multi":
-        found = lat.stratified_percentiles(rows, index, key="txn_id", probs=probs)
+        key = ["prefix", "txn_id"]  # ids repeat between experiments, draws shall not
+        found = lat.stratified_percentiles(rows, index, key=key, probs=probs, **how)
     else:
-        found = lat.latency_percentiles(rows, probs=probs).join(index, "prefix")
+        found = lat.latency_percentiles(rows, probs=probs, **how).join(index, "prefix")
     return found.orderBy(*as_list(order))
 
 
@@ -99,13 +117,32 @@ def latency_cdfs(latencies, settings, split=()):
     return cdf(rows, ["config_name", "homes", "coordinator_region"], "latency")
 
 
-def throughput_latency_study(logs, shifts=None, start_s=5, dur_s=20, **settings):
-    """Throughput against latency percentiles per configuration and client count."""
+def throughput_latency_study(
+    logs, shifts=None, start_s=5, dur_s=20, method="approx", accuracy=DEFAULT_ACCURACY, **settings
+):
+    """Throughput against latency percentiles per configuration and client count.
+
+    ``method`` and ``accuracy`` are those of ``percentiles``.
+    """
     rates = throughput_study(logs, start_s, dur_s, **settings)
     index = logs.experiments(**settings)
     rows = _of(logs.transactions, index, settings)
     latencies = lat.latency_by_region(lat.latency(rows), index, shifts, stored=True)
-    return lat.throughput_latency_curve(rates, latencies, probs=FOUR)
+    return lat.throughput_latency_curve(rates, latencies, FOUR, accuracy, method)
+
+
+def rate_study(logs, **settings):
+    """Throughput over time of the experiments, each with its times shifted to 0."""
+    index = logs.experiments(**settings)
+    rows = _of(logs.transactions, index, settings)
+    rates = throughput_over_time(rows, logs.summary)
+    return shift_to_zero(settle(rates, "rates"), "prefix", "time").orderBy("prefix", "time")
+
+
+def event_rate_study(logs, sample=100, per_machine=False):
+    """Events per second at the servers, each experiment with its times shifted to 0."""
+    rates = event_throughput(logs.server_events, sample, per_machine)
+    return shift_to_zero(settle(rates, "rates"), "prefix", "time").orderBy("prefix", "time")
 
 
 def scalability_study(logs, pattern=r"sz(\d+)"):

@@ -1,83 +1,39 @@
-"""Column layouts of the log files.
+"""Column layouts of the log files, as Spark's readers take them.
 
 CSV columns bind by position, so the order of the fields is the order in the files. The readers
 cannot make a column non-null, so every field is nullable.
 """
 
-from pyspark.sql.types import (
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
-
-_TYPES = {"int": IntegerType, "long": LongType, "double": DoubleType, "string": StringType}
-
-
-def layout(text):
-    """A schema from ``name type, name type, ...``."""
-    pairs = (field.split() for field in text.split(","))
-    return StructType([StructField(name, _TYPES[kind](), True) for name, kind in pairs])
-
-
-TRANSACTIONS = layout(
+# The columns of the log files and reports, in the order of the files.
+TRANSACTIONS = (
     "txn_id long, coordinator int, regions string, partitions string, generator long, "
     "restarts int, global_log_pos string, sent_at double, received_at double"
 )
-SUMMARY = layout(
+SUMMARY = (
     "committed long, aborted long, not_started long, restarted long, single_home long, "
     "multi_home long, single_partition long, multi_partition long, remaster long, "
     "elapsed_time long"
 )
-DEADLOCKS = layout("time long, partition int, region int, vertices int")
-TXN_TIMESTAMPS = layout("txn_id long, from int, txn_timestamp long, server_time long")
-MEASUREMENTS = layout("type int, time long, data long, partition int, region int")
-LEGACY_MEASUREMENTS = layout("type long, time long, data long, partition int, replica int")
-CLIENT_EVENTS = layout("txn_id long, event string, time double, machine int, home int")
-SERVER_EVENTS = layout("txn_id long, event string, time double, partition int, region int")
-LINK_LATENCY = layout("dst int, send_time long, recv_time long, avg_latency long")
-RESOLVER = layout(
+DEADLOCKS = "time long, partition int, region int, vertices int"
+TXN_TIMESTAMPS = "txn_id long, `from` int, txn_timestamp long, server_time long"
+MEASUREMENTS = "type int, time long, data long, partition int, region int"
+LEGACY_MEASUREMENTS = "type long, time long, data long, partition int, replica int"
+CLIENT_EVENTS = "txn_id long, event string, time double, machine int, home int"
+SERVER_EVENTS = "txn_id long, event string, time double, partition int, region int"
+LINK_LATENCY = "dst int, send_time long, recv_time long, avg_latency long"
+RESOLVER = (
     "time long, partition int, region int, runtime long, unstable_graph_sz int, "
     "stable_graph_sz int, deadlocks_resolved int, graph_update_time int"
 )
-REPORT = layout(
+REPORT = (
     "wl_mh int, wl_hot int, region string, type string, count int, throughput double, "
     "avg double, p50 double, p95 double, p99 double, pMax double"
 )
-LATENCY_REPORT = layout(
+LATENCY_REPORT = (
     "wl_mh int, wl_hot int, region string, throughput double, avg double, p50 double, "
     "p95 double, p99 double, pMax double"
 )
 
-# The event names that the servers write.
-EVENTS = [
-    "ENTER_SERVER",
-    "EXIT_SERVER_TO_FORWARDER",
-    "ENTER_FORWARDER",
-    "EXIT_FORWARDER_TO_SEQUENCER",
-    "EXIT_FORWARDER_TO_MULTI_HOME_ORDERER",
-    "ENTER_MULTI_HOME_ORDERER",
-    "ENTER_MULTI_HOME_ORDERER_IN_BATCH",
-    "EXIT_MULTI_HOME_ORDERER",
-    "ENTER_LOCAL_BATCH",
-    "ENTER_SEQUENCER",
-    "EXIT_SEQUENCER_IN_BATCH",
-    "ENTER_LOG_MANAGER_IN_BATCH",
-    "EXIT_LOG_MANAGER",
-    "ENTER_SCHEDULER",
-    "ENTER_SCHEDULER_LO",
-    "ENTER_LOCK_MANAGER",
-    "DISPATCHED_FAST",
-    "DISPATCHED_SLOW",
-    "DISPATCHED_SLOW_DEADLOCKED",
-    "ENTER_WORKER",
-    "EXIT_WORKER",
-    "RETURN_TO_SERVER",
-    "EXIT_SERVER_TO_CLIENT",
-]
-
 # How many low bits of a coordinator id lie below its region, by configuration.
 REGION_SHIFT = {
     "calvin.conf": 16,
@@ -88,3 +44,8 @@ REGION_SHIFT = {
 
 # The metadata columns that hold whole numbers.
 METADATA_INTS = ["duration", "txns", "clients", "rate", "sample", "wl_hot", "wl_mh", "wl_mp"]
+
+
+def names(layout):
+    """The column names of a layout."""
+    return [field.split()[0].strip("`") for field in layout.split(",")]

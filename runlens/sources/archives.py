@@ -8,10 +8,10 @@ from runlens.operators.clocks import with_deviation
 from runlens.sources.logs import typed_transactions
 
 LINES = "archive string, member string, line_no long, line string"
-IN_MEMORY = 512 * 1024 * 1024
+SUFFIX = ".tar.gz"
 
 
-def _line_reader(batch_rows, suffix):
+def _line_reader(batch_rows, suffix, members):
     """The function that turns archives into batches of lines.
 
     Archives are streamed in blocks, archives within them included, so a task holds a block and a
@@ -19,7 +19,7 @@ def _line_reader(batch_rows, suffix):
     """
 
     def read(batches):
-        import io
+        import re
         import tarfile
 
         import numpy as np
@@ -27,6 +27,7 @@ def _line_reader(batch_rows, suffix):
         from pyarrow import fs
 
         block = 4 * 1024 * 1024
+        wanted = re.compile(members) if members else None
 
         def text(lines):
             try:
@@ -50,8 +51,11 @@ def _line_reader(batch_rows, suffix):
                     if not entry.isfile():
                         continue
                     member = entry.name.removeprefix("./")
+                    inner = member.endswith(suffix)
+                    if wanted and not inner and not wanted.search(f"/{member}"):
+                        continue  # passed over in the stream, neither decoded nor sent on
                     body = tar.extractfile(entry)
-                    if member.endswith(suffix):
+                    if inner:
                         yield from pieces_of(body, f"{archive.removesuffix(suffix)}/{member}")
                         continue
                     for number, lines in blocks_of(body):
@@ -63,13 +67,13 @@ def _line_reader(batch_rows, suffix):
                                 text(lines),
                             ]
 
-        def opened(row):
-            if row.get("content") is not None:
-                return io.BytesIO(row["content"])
-            path = row["path"]
+        def opened(path):
             if path.startswith("file:/") and not path.startswith("file://"):
                 path = "file://" + path[len("file:") :]
-            filesystem, inside = fs.FileSystem.from_uri(path)
+            try:
+                filesystem, inside = fs.FileSystem.from_uri(path)
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as error:
+                raise ValueError(f"pyarrow.fs cannot open {path}: {error}") from error
             return filesystem.open_input_stream(inside, compression=None)
 
         def batch(pieces):
@@ -78,9 +82,9 @@ def _line_reader(batch_rows, suffix):
 
         pieces, rows = [], 0
         for part in batches:
-            for row in part.to_pylist():
-                with opened(row) as stream:
-                    for piece in pieces_of(stream, row["path"]):
+            for path in part.column(0).to_pylist():
+                with opened(path) as stream:
+                    for piece in pieces_of(stream, path):
                         pieces.append(piece)
                         rows += len(piece[0])
                         if rows >= batch_rows:
@@ -92,19 +96,17 @@ def _line_reader(batch_rows, suffix):
     return read
 
 
-def read_archives(spark, glob, suffix=".tar.gz", batch_rows=20000, in_memory=IN_MEMORY):
+def read_archives(spark, glob, suffix=SUFFIX, batch_rows=20000, members=None):
     """The lines of all files in all archives: (archive, member, line_no, line).
 
-    Archives are spread over the tasks; a compressed archive can only be read from its start, so
-    one archive is one task's work. Spark hands over the bytes of archives up to ``in_memory``;
-    larger ones are streamed from their path. An archive inside an archive is read too, its path
-    being that of the outer one without suffix plus its own.
+    Spark lists the archives and spreads them over the tasks; each is streamed from its path with
+    ``pyarrow.fs``, whatever its size, and a scheme that it does not know is an error. A compressed
+    archive can only be read from its start, so one archive is one task's work. ``members`` is a
+    pattern of the member paths (after a leading ``/``); others are passed over. An archive inside
+    an archive is read too, its path being that of the outer one without suffix plus its own.
     """
-    files = spark.read.format("binaryFile").load(glob)
-    read = _line_reader(batch_rows, suffix)
-    small = files.where(F.col("length") <= in_memory).select("path", "content")
-    large = files.where(F.col("length") > in_memory).select("path")
-    return small.mapInArrow(read, LINES).unionByName(large.mapInArrow(read, LINES))
+    files = spark.read.format("binaryFile").load(glob).select("path")
+    return files.mapInArrow(_line_reader(batch_rows, suffix, members), LINES)
 
 
 # How to read one kind of log out of the archives: its layout and where its keys come from.
@@ -130,17 +132,27 @@ _TABLES = {
 }
 
 
-def archived_table(lines, file):
+def _member_pattern(file):
+    """Matches a log's path, or that of a part in a folder named like it."""
+    return rf"/{file.replace('.', '[.]')}(/[^/]+)?$"
+
+
+def archived_table(lines, file, suffix=SUFFIX):
     """The typed rows of one kind of log (``"transactions.csv"``, ...) among archived lines.
 
     An archive stands for the directory it would be unpacked to: its path without the suffix.
     Files may also lie in a folder of parts named like the file.
     """
     layout, with_keys = _TABLES[file]
-    folder = F.regexp_replace("archive", r"\.tar\.gz$", "")
+    cut = F.when(F.col("archive").endswith(suffix), F.length("archive") - len(suffix))
+    folder = F.substring(F.col("archive"), F.lit(1), F.coalesce(cut, F.length("archive")))
     path = F.concat_ws("/", folder, F.col("member"))
-    is_log = path.rlike(rf"/{file.replace('.', '[.]')}(/[^/]+)?$")
-    rows = lines.where(is_log & (F.col("line_no") > 1))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.fields)
-    parsed = rows.select(path.alias("_path"), F.from_csv("line", F.lit(fields)).alias("_row"))
+    rows = lines.where(path.rlike(_member_pattern(file)) & (F.col("line_no") > 1))
+    parsed = rows.select(path.alias("_path"), F.from_csv("line", F.lit(layout)).alias("_row"))
     return with_keys(parsed.select("_path", "_row.*"), path=F.col("_path")).drop("_path")
+
+
+def read_archived(spark, glob, file, suffix=SUFFIX, batch_rows=20000):
+    """One kind of log out of all archives; members of other kinds are passed over."""
+    lines = read_archives(spark, glob, suffix, batch_rows, _member_pattern(file))
+    return archived_table(lines, file, suffix)

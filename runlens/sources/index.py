@@ -9,11 +9,36 @@ from runlens.schemas import METADATA_INTS
 from runlens.sources.logs import client_path, server_path
 
 
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # outside of quotes
+
+
+def _cells(line):
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"|"\s*$', ""), '""', '"')
+    return F.transform(F.split(line, _COMMA), bare)
+
+
 def _metadata(spark, path, check_header):
-    raw = spark.read.option("header", True).option("enforceSchema", not check_header).csv(path)
-    plain = raw.withColumnsRenamed({c: c.replace(":", "_") for c in raw.columns})
-    # The path column is only known next to the scan, so it is added before the rename.
-    return with_prefix(raw).withColumnsRenamed(dict(zip(raw.columns, plain.columns))).distinct()
+    """The distinct metadata rows of each experiment, each file's values bound by its own header.
+
+    The files are tiny, and their column names are all that comes to the driver.
+    """
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
+    files = with_prefix(spark.read.text(path, wholetext=True)).withColumn("_lines", lines)
+    rows = files.where(F.size("_lines") > 0).select(
+        "prefix",
+        F.transform(_cells(F.col("_lines")[0]), lambda x: F.regexp_replace(x, ":", "_")).alias("_names"),
+        F.explode_outer(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))).alias("_line"),
+    )
+    headers = rows.select("_names").distinct()
+    if check_header and headers.limit(2).count() > 1:
+        raise ValueError(f"the metadata files at {path} have different columns")
+    named = headers.select(F.posexplode("_names").alias("i", "name"))
+    order = named.groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()
+    cells = F.map_from_entries(F.arrays_zip("_names", _cells("_line")))
+    values = rows.where("_line is not null").select("prefix", cells.alias("_cells"))
+    return values.select(
+        "prefix", *[F.nullif(F.col("_cells")[r.name], F.lit("")).alias(r.name) for r in order]
+    ).distinct()
 
 
 def _one_per_prefix(df, conflicts, side):
@@ -32,14 +57,15 @@ def _one_per_prefix(df, conflicts, side):
     return grouped.select("prefix", *[F.col(f"_first.`{c}`").alias(c) for c in rest])
 
 
-def experiment_index(spark, root, experiment="*", conflicts="keep", check_header=False):
+def experiment_index(spark, root, experiment="*", conflicts="raise", check_header=False):
     """One row per experiment with the metadata of its servers and clients.
 
     Colons in column names become underscores (``wl:mh`` to ``wl_mh``) and known numbers become
     ints. A column that both sides have keeps its name on the server side and is ``client_...`` on
     the other. All machines of an experiment should hold the same metadata; if they do not,
-    ``conflicts`` says whether to ``keep`` a row for each, take the ``first``, or ``raise``.
-    The column names come from one file; ``check_header`` raises where another file differs.
+    ``conflicts`` says whether to ``raise``, to take the ``first``, or to ``keep`` a row for each,
+    which multiplies the rows of joins by ``prefix``. Values bind by the names in their file's
+    header, whatever its order; ``check_header`` raises where headers differ.
     """
     if conflicts not in ("keep", "first", "raise"):
         raise ValueError("conflicts must be 'keep', 'first' or 'raise'")

@@ -58,7 +58,7 @@ def read_deadlocks(spark, root, experiment="*", region_col="region", check_heade
     """S3: resolved deadlocks; old logs call the region ``replica``."""
     fields = schemas.DEADLOCKS
     if region_col != "region":
-        fields = schemas.layout(f"time long, partition int, {region_col} int, vertices int")
+        fields = f"time long, partition int, `{region_col}` int, vertices int"
     path = server_path(root, experiment, "deadlocks.csv")
     return with_prefix(scan(spark, path, fields, check_header))
 

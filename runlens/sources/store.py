@@ -1,9 +1,14 @@
 """Stored results: the result cache (S14) and short-lived tables in the shared folder."""
 
+import json
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+_SETTLED = []  # the paths that the innermost ``scratch`` block has to delete
 
 
 def _hadoop_path(spark, path):
@@ -47,9 +52,26 @@ def settle(df, name="table", packed=False):
     if not packed:
         writer = writer.option("compression", "none").option("parquet.enable.dictionary", "false")
     writer.parquet(path)
+    if _SETTLED:
+        _SETTLED[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark):
+    """Delete the tables that are settled inside the ``with`` block when it ends.
+
+    Results have to be consumed (written, collected) inside the block.
+    """
+    _SETTLED.append([])
+    try:
+        yield
+    finally:
+        for path in _SETTLED.pop():
+            jpath, fs = _hadoop_path(spark, path)
+            fs.delete(jpath, True)
+
+
 def clear_scratch(spark):
     """Delete the tables this application settled; call it when their results are consumed."""
     jpath, fs = _hadoop_path(spark, scratch_dir(spark))
@@ -64,8 +86,12 @@ def materialize(spark, path, build, refresh=False, partition_by=None):
     rows out by a column without moving them between tasks, which suits rows that lie together
     already, as those of an experiment do in its log files.
     """
-    if refresh or not exists(spark, f"{path}/_SUCCESS"):
+    if refresh or not all(exists(spark, f"{path}/{x}_SUCCESS") for x in ("", "_schema/")):
         result: DataFrame = build()
         writer = result.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.parquet(path)
+        # The schema lies beside the rows, since an empty table has no file that knows it.
+        kept = spark.createDataFrame([(result.schema.json(),)], "value string")
+        kept.coalesce(1).write.text(f"{path}/_schema")
+    schema = json.loads(spark.read.text(f"{path}/_schema").first()[0])
+    return spark.read.schema(StructType.fromJson(schema)).parquet(path)

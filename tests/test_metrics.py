@@ -119,6 +119,8 @@ def test_latency_by_region(spark):
     )
     found = rl.latency_by_region(rows, index).collect()
     assert {r.prefix: r.coordinator_region for r in found} == {"a": 1, "b": 3, "c": 2}
+    plain = rl.latency_by_region(rows, rl.config_label(index)).collect()
+    assert {r.prefix: r.coordinator_region for r in plain} == {"a": 1, "b": 3, "c": 2}
     only = rl.latency_by_region(rows, index, condition=F.col("prefix") == "b")
     assert [r.prefix for r in only.collect()] == ["b"]
 

@@ -56,6 +56,37 @@ def test_window_beyond_the_broadcast_size(spark, txns):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+def test_heavy_experiment_is_split(spark):
+    """A choice of experiments too large to broadcast splits a heavy one, aggregate or not."""
+    rows = spark.range(0, 400000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.md5((F.col("id") % 5003).cast("string"))).alias("prefix"),
+        (F.col("id") % 7).cast("int").alias("machine"),
+        F.md5(F.col("id").cast("string")).alias("pad"),
+    )
+    rows = rl.settle(rows)
+    index = rl.settle(rows.select("prefix").distinct())
+    for name, value in SPLIT.items():
+        spark.conf.set(name, value)
+    try:
+        chosen = studies._of(rows, index, {"any": 1})
+        found = chosen.groupBy("prefix", "machine").agg(F.count("pad").alias("n"))
+        assert found.agg(F.sum("n")).first()[0] == 400000
+        found.collect()
+        assert "SortMergeJoin(skew=true)" in plan(found)
+    finally:
+        for name in SPLIT:
+            spark.conf.unset(name)
+
+
 def test_heavy_machine_is_split(spark):
     """Beyond the broadcast size the rows of a heavy machine are joined by several tasks."""
     rows = spark.range(0, 400000, 1, 8).select(
@@ -128,9 +159,12 @@ def test_percentiles_combine_before_the_shuffle(txns):
 
 
 def test_cdf_does_not_gather_a_key(txns):
-    """The result reads the stored order; no window over the rows of a key is left."""
-    curve = rl.cdf(rl.latency(txns), "prefix", "latency")
+    """The result reads the stored order; windows see a piece of a key at a time."""
+    curve = rl.cdf(rl.latency(txns), "prefix", "latency", "txn_id")
     assert nodes(curve, "Window") == 0 and nodes(curve, "Exchange") == 0
+    curve = rl.cdf(rl.latency(txns), "prefix", "latency")
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", plan(curve))
+    assert windows and all("_piece" in spec for spec in windows)
 
 
 def test_machine_filter_reaches_the_csv_scan(spark, tree):

@@ -2,6 +2,7 @@ import os
 import tarfile
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,25 +103,32 @@ def test_index_conflicts(spark, tmp_path):
             "duration,txns,clients,rate,note",
             f"60,x,{clients},0,c",
         )
-    kept = index.experiment_index(spark, root).collect()
+    kept = index.experiment_index(spark, root, conflicts="keep").collect()
     assert sorted(r.clients for r in kept) == [5, 7]
     assert kept[0].note == "s" and kept[0].client_note == "c" and kept[0].txns is None
     first = index.experiment_index(spark, root, conflicts="first").collect()
     assert [r.clients for r in first] == [5]
     with pytest.raises(Exception, match="disagree on client metadata"):
-        index.experiment_index(spark, root, conflicts="raise").collect()
+        index.experiment_index(spark, root).collect()
 
 
 def test_index_checks_headers(spark, tmp_path):
     root = str(tmp_path)
     write(f"{root}/e/server/0-0/metadata.csv", "config_name", "a.conf")
-    for machine, header in ((0, "duration,txns,clients,rate"), (1, "txns,duration,clients,rate")):
-        write(f"{root}/e/client/{machine}/metadata.csv", header, "60,5,1,0")
-    assert index.experiment_index(spark, root).count() == 1
-    with pytest.raises(Exception, match="(?i)header"):
+    write(f"{root}/e/client/0/metadata.csv", "duration,txns,clients,wl:hot", "60,5,1,")
+    write(f"{root}/e/client/1/metadata.csv", "wl:hot,clients,duration,txns", ",1,60,5")
+    row = index.experiment_index(spark, root).collect()
+    assert [(r.duration, r.txns, r.clients, r.wl_hot) for r in row] == [(60, 5, 1, None)]
+    with pytest.raises(Exception, match="different columns"):
         index.experiment_index(spark, root, check_header=True).collect()
 
 
+def test_index_reads_quoted_values(spark, tmp_path):
+    write(f"{tmp_path}/e/server/0-0/metadata.csv", "config_name,note", 'a.conf,"x, ""y"""')
+    write(f"{tmp_path}/e/client/0/metadata.csv", "duration,clients", "60,1")
+    assert index.experiment_index(spark, str(tmp_path)).first().note == 'x, "y"'
+
+
 def test_reports(spark, tmp_path):
     write(
         f"{tmp_path}/r.csv",
@@ -145,23 +153,46 @@ def pack(path, members):
             tar.add(source, arcname=name)
 
 
-@pytest.mark.parametrize("in_memory", [archives.IN_MEMORY, 0])
-def test_archives(spark, tree, tmp_path, in_memory):
-    """Archived logs give the same rows as the tree, streamed or handed over by Spark."""
+@pytest.mark.parametrize("suffix", [".tar.gz", ".tgz"])
+def test_archives(spark, tree, tmp_path, suffix):
+    """Archived logs give the same rows as the tree, and members of other kinds are not read."""
     for name in os.listdir(tree):
         for machine in (0, 1):
             source = f"{tree}/{name}/client/{machine}"
             pack(
-                f"{tmp_path}/{name}/client/{machine}.tar.gz",
+                f"{tmp_path}/{name}/client/{machine}{suffix}",
                 [(f"./{f}", f"{source}/{f}") for f in os.listdir(source)],
             )
-    lines = archives.read_archives(spark, f"{tmp_path}/*/client/*.tar.gz", in_memory=in_memory)
+    glob = f"{tmp_path}/*/client/*{suffix}"
+    lines = archives.read_archives(spark, glob, suffix)
     assert lines.columns == ["archive", "member", "line_no", "line"]
-    found = named(archives.archived_table(lines, "transactions.csv")).drop("prefix")
+    found = named(archives.archived_table(lines, "transactions.csv", suffix)).drop("prefix")
     wanted = named(logs.read_transactions(spark, tree)).drop("prefix").select(*found.columns)
     assert sorted(found.collect(), key=str) == sorted(wanted.collect(), key=str)
-    counters = archives.archived_table(lines, "summary.csv")
+    counters = archives.archived_table(lines, "summary.csv", suffix)
     assert counters.count() == 4 and counters.agg(F.sum("committed")).first()[0] == 120
+    assert all(r.prefix.split("/")[-1] in os.listdir(tree) for r in counters.collect())
+    direct = archives.read_archived(spark, glob, "summary.csv", suffix)
+    assert sorted(direct.collect(), key=str) == sorted(counters.collect(), key=str)
+    few = archives.read_archives(spark, glob, suffix, members=archives._member_pattern("summary.csv"))
+    assert {r.member for r in few.collect()} == {"summary.csv"}
+
+
+def test_archives_on_an_unknown_file_system():
+    read = archives._line_reader(10, ".tar.gz", None)
+    batch = pa.RecordBatch.from_pydict({"path": ["odd://store/a.tar.gz"]})
+    with pytest.raises(ValueError, match="odd://store/a.tar.gz"):
+        list(read([batch]))
+
+
+def test_store_of_an_empty_table(spark, tree, tmp_path):
+    path = str(tmp_path / "stored")
+    for _ in range(2):
+        rows = store.materialize(
+            spark, path, lambda: logs.read_deadlocks(spark, tree).where("false"), partition_by="prefix"
+        )
+        assert rows.count() == 0
+        assert set(rows.columns) == {"time", "partition", "region", "vertices", "prefix"}
 
 
 def test_archive_in_archive(spark, tree, tmp_path):

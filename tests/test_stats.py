@@ -1,6 +1,7 @@
 """Distributions and series against brute force, with heavy keys, heavy values and many pieces."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlens as rl
+from runlens.functions.sampling import draw
 from runlens.operators.ordering import accumulated, in_pieces, ranked, spread
+from runlens.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -83,15 +86,26 @@ def test_cdf_of_whole_table(skewed):
     assert Counter(zip(rows.x, rows.y)) == Counter(zip(x, np.arange(1, len(x) + 1) / len(x)))
 
 
-def test_cdf_with_fewer_points(skewed):
-    df, pdf = skewed
-    rows = rl.cdf(df, "key", "x", "id", points=7).toPandas()
-    whole = rl.cdf(df, "key", "x", "id").toPandas()
-    assert set(map(tuple, rows.to_numpy())) <= set(map(tuple, whole.to_numpy()))
-    for key, group in pdf.groupby("key"):
-        got = rows[rows.key == key]
-        assert len(got) == min(7, len(group)) and got.y.max() == 1.0
-        assert np.diff(np.sort(got.y)).max(initial=0) <= 1 / 7 + 1 / len(group)
+def test_cdf_of_a_value_in_many_rows(spark):
+    df = spark.range(25_001).select((F.col("id") > 25_000 - 10).cast("int").alias("x"))
+    rows = rl.cdf(df, [], "x")
+    assert rows.count() == 25_001
+    assert rows.where("x = 0").agg(F.max("y")).first()[0] == 24_991 / 25_001
+    assert rows.select("y").distinct().count() == 25_001
+
+
+def test_stored_copies(spark, skewed):
+    """A distribution and the gaps store one copy of their rows, deleted by ``scratch``."""
+    df, _ = skewed
+    base = store.scratch_dir(spark).removeprefix("file://").removeprefix("file:")
+    listed = lambda: set(os.listdir(base)) if os.path.isdir(base) else set()
+    for call in (lambda: rl.cdf(df, "key", "x"), lambda: rl.gaps(df, "key", "x")):
+        before = listed()
+        with rl.scratch(spark):
+            assert call().count() > 0
+            made = sorted(name.split("-")[0] for name in listed() - before)
+            assert made == ["facts", "ordered"]
+        assert listed() == before
 
 
 def test_exact_percentiles(skewed):
@@ -108,26 +122,36 @@ def test_exact_percentiles(skewed):
 def test_approximate_percentiles_of_small_groups_are_exact(skewed):
     df, _ = skewed
     exact = rl.percentiles(df, "key", "x", method="exact")
-    for method in ("approx", "merged"):
-        near = rl.percentiles(df, "key", "x", method=method)
-        assert sorted(exact.collect()) == sorted(near.collect())
+    near = rl.percentiles(df, "key", "x")
+    assert sorted(exact.collect()) == sorted(near.collect())
     with pytest.raises(ValueError):
         rl.percentiles(df, "key", "x", method="guess")
 
 
 def test_percentiles_of_nulls(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", None)], "key string, x double")
-    for method in ("approx", "merged"):
-        found = {r.key: r.p50 for r in rl.percentiles(df, "key", "x", method=method).collect()}
-        assert found == {"a": None, "b": 1.0}
+    found = {r.key: r.p50 for r in rl.percentiles(df, "key", "x").collect()}
+    assert found == {"a": None, "b": 1.0}
     assert rl.percentiles(df, "key", "x", method="exact").collect() == [("b", 1.0, 1.0, 1.0, 1.0)]
 
 
-def test_merged_percentiles_of_a_large_group(spark):
-    df = spark.range(0, 300000, 1, 16).withColumn("x", F.col("id") * 1.0)
-    row = rl.percentiles(df, [], "x", method="merged").first()
-    for got, share in zip(row, (0.5, 0.9, 0.95, 0.99)):
-        assert abs(got / 300000 - share) < 0.002
+def test_exact_percentiles_of_a_large_group(spark):
+    df = spark.range(0, 300_000, 1, 16).withColumn("x", (F.col("id") - 100_000) * 1.0)
+    row = rl.percentiles(df, [], "x", (0.0, 0.25, 0.5, 0.9, 1.0), method="exact").first()
+    assert list(row) == [-100_000, -25_001, 49_999, 169_999, 199_999]
+    odd = spark.createDataFrame([(x,) for x in (float("-inf"), -2.5, 0.0, 0.0, 3e300, float("inf"))], "x double")
+    assert rl.percentiles(odd, [], "x", (0.1, 0.3, 0.5, 0.8, 1.0), method="exact").first() == (
+        float("-inf"), -2.5, 0.0, 3e300, float("inf"),
+    )
+
+
+def test_draws_are_fine_and_keyed_by_several_columns(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 2).alias("run"))
+    one = df.select(draw("id", 3).alias("d"), draw(["run", "id"], 3).alias("e")).collect()
+    assert len({r.d for r in one}) == 2000 and all(0 <= r.d < 1 for r in one)
+    assert any(r.d * 2**33 % 1 for r in one) and [r.d for r in one] != [r.e for r in one]
+    same = df.select(draw(["run", "id"], 3).alias("e")).collect()
+    assert [r.e for r in one] == [r.e for r in same]
 
 
 def test_box_stats(skewed):
@@ -227,5 +251,10 @@ def test_frames(spark):
     assert [(r.clients, r.throughput) for r in rows] == [(5, 1.0), (10, 2.0)]
     wide = rl.throughput_wide(df, ["first.conf", "second.conf"], labels={"first.conf": "First"})
     assert wide.columns == ["clients", "First", "second.conf"]
+    twice = df.unionByName(df.withColumn("throughput", F.col("throughput") + 1))
+    with pytest.raises(Exception, match="several rows"):
+        rl.throughput_wide(twice, ["first.conf"]).collect()
+    best = rl.throughput_wide(twice, ["first.conf"], agg=F.max).collect()
+    assert [tuple(r) for r in best] == [(5, None), (10, 2001.0)]
     assert [tuple(r) for r in wide.collect()] == [(5, None, None), (10, 2000.0, 500.0)]
     assert [r.clients for r in rl.axis_values(df, "clients", desc=True).collect()] == [10, 5]
