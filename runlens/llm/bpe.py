@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The texts of a window (16 MB, or one longer text) are cut into pieces by ``PATTERN``; each
+The texts of a window (4 MB, or one longer text) are cut into pieces by ``PATTERN``; each
 distinct piece is encoded once. A piece that is a token is that token. All others lie in one array
 of symbols, linked to their neighbours, with an inverted index from the rank of a token pair to the
 positions where it occurs. Ranks are replayed from the lowest to the highest: a merge rewrites all
@@ -28,7 +28,7 @@ from runlens.llm.text import chunks, hasher
 
 # Fixed values of the vocabularies of this kind: the pattern that cuts texts into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WINDOW = 16 << 20
+WINDOW = 4 << 20
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER = range(5)
 _CLASSES = []
 
