@@ -35,7 +35,7 @@ CALIBRATION = 4_000
 Z = 10.0
 MIN_SCORE = 0.5
 _PAD = 0x20
-_WINDOW = 4 << 20
+_WINDOW = 2 << 20
 
 
 @functools.cache
