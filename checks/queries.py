@@ -1304,6 +1304,63 @@ def _(v):
     return rounded(rounded(found, "f", "o"), "crossref", digits=4)
 
 
+@check(
+    "study_graph",
+    """select 'exp-sz8' as experiment, time, "partition", region, runtime,
+              round(unstable_graph_sz / 1000 - stable_graph_sz / 1000, 6) as unstable_graph_sz,
+              stable_graph_sz / 1000 as stable_graph_sz, deadlocks_resolved, graph_update_time
+       from resolver where region = 0 and "partition" = 0
+            and time >= 820454400000000000 and time < 852076800000000000""",
+)
+def _(v):
+    cols = logs.schemas.names(logs.schemas.RESOLVER)
+    rows = _server_rows(v.resolver, cols).withColumn("_experiment", F.lit("exp-sz8"))
+    root = write_tree(rows, "server", "deadlock_resolver.csv", cols)
+    found = studies.graph_study(
+        RunLogs(v.spark, root), "exp-sz8", 820454400000000000, 852076800000000000
+    )
+    return _experiment(rounded(found, "unstable_graph_sz"))
+
+
+@check(
+    "study_breakdown",
+    f"""with {_FACTS}, p as ({_pair_sql("client_events", "txn_id, home, machine")})
+    select 'exp' as experiment, p.txn_id, p.home, p.machine, p."from", p."to",
+           ("to" - "from") / 1000000 as diff, f.num_regions, f.coordinator_region
+    from p join f on p.txn_id = f.txn_id where "from" is not null and "to" is not null""",
+)
+def _(v):
+    name, machine = F.lit("exp").alias("_experiment"), F.col("machine").alias("_directory")
+    cols = logs.schemas.names(logs.schemas.CLIENT_EVENTS)
+    root = write_tree(v.client_events.select(name, machine, *cols), "client", "txn_events.csv", cols)
+    rows = _txn_logs(v).withColumn("_experiment", F.lit("exp"))
+    write_tree(rows, "client", "transactions.csv", _TXN_COLS, root=root)
+    found = studies.breakdown_study(RunLogs(v.spark, root), "click", "purchase", name="exp")
+    return _experiment(found).select(
+        "experiment", "txn_id", "home", "machine", "from", "to", "diff",
+        F.col("num_regions").cast("long").alias("num_regions"), "coordinator_region",
+    )
+
+
+@check(
+    "study_deadlock_totals",
+    """select concat('exp-mh', wl_mh) as experiment, cast(wl_mh as int) as mh, count(*) as deadlock_cnt,
+              cast(sum(vertices) as bigint) as deadlock_sz from deadlocks where region = 0 group by wl_mh""",
+)
+def _(v):
+    cols = ["time", "partition", "region", "vertices"]
+    name = F.concat(F.lit("exp-mh"), F.col("wl_mh")).alias("_experiment")
+    rows = _server_rows(v.deadlocks, ["wl_mh", *cols]).withColumn("_experiment", name)
+    root = write_tree(rows, "server", "deadlocks.csv", cols)
+    meta = v.deadlocks.select(name).distinct()
+    server = meta.select("*", F.lit("0-0").alias("_directory"), F.lit("a.conf").alias("config_name"))
+    client = meta.select("*", F.lit(0).alias("_directory"), F.lit(3000).alias("clients"))
+    write_tree(server, "server", "metadata.csv", ["config_name"], root=root)
+    write_tree(client, "client", "metadata.csv", ["clients"], root=root)
+    run = RunLogs(v.spark, root, tags={"mh": r"mh(\d+)"})
+    return _experiment(studies.deadlock_totals_study(run, "mh", clients=3000))
+
+
 @check(
     "materialize",
     f"with {WINDOWED} select prefix, machine, round(throughput, 6) as throughput from rates",

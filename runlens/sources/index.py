@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runlens.functions.paths import with_prefix
 from runlens.schemas import METADATA_INTS
 from runlens.sources.logs import client_path, server_path
+from runlens.sources.store import settle
 
 
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # outside of quotes
@@ -29,12 +30,18 @@ def _metadata(spark, path, check_header):
         F.transform(_cells(F.col("_lines")[0]), lambda x: F.regexp_replace(x, ":", "_")).alias("_names"),
         F.explode_outer(F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(1)))).alias("_line"),
     )
-    headers = rows.select("_names").distinct()
-    if check_header and headers.limit(2).count() > 1:
+    rows = settle(rows, "metadata")  # each file is opened once
+    named = rows.select("_names").distinct().select(F.posexplode("_names").alias("i", "name"))
+    order = (
+        named.groupBy("name")
+        .agg(F.min("i").alias("i"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n"))
+        .orderBy("i", "name")
+        .collect()
+    )
+    if check_header and any(r.n > 1 or r.i != r.last for r in order):
         raise ValueError(f"the metadata files at {path} have different columns")
-    named = headers.select(F.posexplode("_names").alias("i", "name"))
-    order = named.groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()
-    cells = F.map_from_entries(F.arrays_zip("_names", _cells("_line")))
+    own = F.slice(_cells("_line"), 1, F.size("_names"))
+    cells = F.map_from_entries(F.arrays_zip("_names", own))
     values = rows.where("_line is not null").select("prefix", cells.alias("_cells"))
     return values.select(
         "prefix", *[F.nullif(F.col("_cells")[r.name], F.lit("")).alias(r.name) for r in order]
