@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The texts of a window (4 MB, or one longer text) are cut into pieces by ``PATTERN``; each
+The texts of a window (2 MB, or one longer text) are cut into pieces by ``PATTERN``; each
 distinct piece is encoded once. A piece that is a token is that token. All others lie in one array
 of symbols, linked to their neighbours, with an inverted index from the rank of a token pair to the
 positions where it occurs. Ranks are replayed from the lowest to the highest: a merge rewrites all
@@ -19,16 +19,17 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from runlens.llm.text import chunks, hasher
+from runlens.llm.text import chunks, hasher, lean
 
 # Fixed values of the vocabularies of this kind: the pattern that cuts texts into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER = range(5)
 _CLASSES = []
 
@@ -39,11 +40,13 @@ def _classes():
         import regex
 
         table = np.full(0x110000, _OTHER, dtype=np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _BLANK)):
-            for m in regex.finditer(pattern, every):
-                table[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
-        table[0xD800:0xE000] = _OTHER
+        for low in range(0, 0x110000, 4096):
+            if 0xD800 <= low < 0xE000:
+                continue
+            block = "".join(map(chr, range(low, low + 4096)))
+            for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\s+", _BLANK)):
+                for m in regex.finditer(pattern, block):
+                    table[low + m.start() : low + m.end()] = kind
         table[0x20] = _SPACE
         _CLASSES.append(table)
     return _CLASSES[0]
@@ -111,14 +114,14 @@ class Encoder:
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        left, right, merged = [], [], []
+        left, right, merged = array("q"), array("q"), array("i")
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        left, right = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-        merged = np.array(merged, dtype=np.int32)
+        left, right = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
+        merged = np.frombuffer(merged, np.int32)
         self.by_left = self._index(left << 32 | right, merged)
         self.by_right = self._index(right << 32 | left, merged)
 
@@ -291,6 +294,7 @@ def encoded(docs, path):
     """doc_id, n_tokens and ``ids`` (array of int) of each text."""
     data = _ranks_of(path)
 
+    @lean
     def run(batches):
         for batch in batches:
             for row, buf, offs in chunks(batch.column(1), WINDOW):
@@ -310,6 +314,7 @@ def decoded(tokens, path):
     """doc_id and ``data`` (the bytes) of rows of doc_id and ids; null ids give no bytes."""
     data = _ranks_of(path)
 
+    @lean
     def run(batches):
         for batch in batches:
             out = [
@@ -327,6 +332,7 @@ def digest(docs, path):
     """doc_id, n_tokens, hash of the ids, and hash of what they decode to."""
     data = _ranks_of(path)
 
+    @lean
     def run(batches):
         for batch in batches:
             for row, buf, offs in chunks(batch.column(1), WINDOW):

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from runlens.llm.text import U64, char_counts, chunks, mix, sequence_hashes
+from runlens.llm.text import U64, char_counts, chunks, lean, mix, sequence_hashes
 from runlens.sources.store import settle
 
 ORDER = 4
@@ -35,7 +35,7 @@ CALIBRATION = 4_000
 Z = 10.0
 MIN_SCORE = 0.5
 _PAD = 0x20
-_WINDOW = 2 << 20
+_WINDOW = 1 << 20
 
 
 @functools.cache
@@ -101,6 +101,7 @@ def gram_hashes(symbols, at, order):
 def gram_counts(docs, order=ORDER):
     """(lang, gram, n) over all rows of ``docs`` (lang, text)."""
 
+    @lean
     def run(batches):
         found = {}
 
@@ -282,6 +283,7 @@ def train(docs, order=ORDER, max_grams=MAX_GRAMS, calibration=CALIBRATION):
     sample = F.broadcast(sample.distinct())  # ``calibration`` rows at most
     shared = docs.sparkSession.sparkContext.broadcast(tool)
 
+    @lean
     def run(batches):
         for batch in batches:
             names = shared.value.names
@@ -314,6 +316,7 @@ def identify(docs, tool, und="und"):
     """doc_id, lang_pred, score, entropy and accepted of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(tool)
 
+    @lean
     def run(batches):
         for batch in batches:
             for row, buf, offs in chunks(batch.column(1), _WINDOW):
@@ -338,6 +341,7 @@ def accepted_rows(docs, tool):
     """``docs`` without the rows that the identifier rejects."""
     shared = docs.sparkSession.sparkContext.broadcast(tool)
 
+    @lean
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -139,7 +139,7 @@ def frequent_lines(counted, min_docs=10, share=0.01):
     )
 
 
-def verdicts(docs, host="source", min_docs=10, share=0.01, min_left=0.5):
+def verdicts(docs, host="source", min_docs=10, share=0.01, min_left=0.3):
     """One row per document: the base counts, base_failed, left_words and kept."""
     counted = settle(
         base_counts(docs, host).withColumn("uid", F.monotonically_increasing_id()),

@@ -32,7 +32,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.llm.substring import _dense, _keys, _raw, _sent, _sizes, _zstd, units, unpack
-from runlens.llm.text import U64, mix, shingles
+from runlens.llm.text import U64, lean, mix, shingles
 from runlens.sources.store import settle
 
 WORDS = 5
@@ -68,6 +68,7 @@ def _tags(hashes, buckets):
 def shared_shingles(stored, buckets, words=WORDS):
     """(unit, keys, counts): shingles of a unit that two documents have, and how many have them."""
 
+    @lean
     def send(batches):
         for batch in batches:
             for unit, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,6 +131,7 @@ def document_sets(stored, shared, buckets, words=WORDS):
     how many documents have it (an eighth of a doubling each), so that numbers sort as the order.
     """
 
+    @lean
     def run(batches):
         for batch in batches:
             for data, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -271,6 +273,7 @@ def block_links(blocks):
 def prefixes(sets):
     """(node, n, own, token, place) of the tokens in each set's prefix."""
 
+    @lean
     def run(batches):
         for batch in batches:
             nodes, sizes, owns = (batch.column(i).to_numpy() for i in range(3))
@@ -360,6 +363,7 @@ def open_pairs(postings, label):
 def compared(pairs, sets):
     """The pairs that link."""
 
+    @lean
     def run(batches):
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 4))

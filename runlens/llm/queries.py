@@ -94,7 +94,27 @@ def _(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-@query("op5_ngram_jaccard_join")
+# A set's pairs are counted by shared shingles; components are closed over their links.
+JOIN_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents),
+s as (select distinct doc_id, md5(array_to_string(w[i:i + 4], ' ')) as h
+    from d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k
+    from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b
+    where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from n union select r.doc_id, e.b from r join e on e.a = r.other),
+c as (select doc_id, min(other) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id
+from d left join n using (doc_id) left join c using (doc_id)
+"""
+
+
+@query("op5_ngram_jaccard_join", JOIN_SQL)
 def _(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -114,7 +134,39 @@ def _(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), "score", predicted)
 
 
-@query("op8_line_frequency")
+LINES_SQL = r"""
+with d as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''),
+        '[^\x20\x09-\x0D]+') as w from documents),
+k as (select doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) as h
+    from d, unnest(range(1, len(w) - 3)) t(i) where len(w) >= 5),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, h) as n from k) where n > 1),
+again as (select doc_id, count(distinct i + j) as n_repeat_words
+    from twice, unnest(range(5)) t(j) group by doc_id),
+lines as (select doc_id, source, md5(text) as m, unnest(string_split(text, chr(10))) as line from d),
+real as (select *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as norm
+    from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from real group by doc_id),
+hosts as (select source, count(distinct md5(text)) as host_docs from d group by source),
+often as (select r.source, norm from (select source, norm, count(distinct m) as n from real group by 1, 2) r
+    join hosts h on r.source is not distinct from h.source
+    where n > 10 and n > host_docs * 0.01),
+gone as (select doc_id, sum(len(r.norm)) as removed from real r
+    join often o on r.source is not distinct from o.source and r.norm = o.norm group by doc_id),
+b as (select d.doc_id, cast(len(w) as bigint) as n_words,
+        cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+        cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+        cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
+        cast(len(w) - coalesce(removed, 0) as bigint) as left_words
+    from d left join again using (doc_id) left join dup using (doc_id) left join gone using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and left_words >= n_words * 0.3 as kept
+from b
+"""
+
+
+@query("op8_line_frequency", LINES_SQL)
 def _(spark, sf_dir):
     return line_frequency.verdicts(table(spark, sf_dir, "documents"))
 
@@ -124,7 +176,25 @@ def _(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-@query("op10_difference_cover")
+SUBSTRING_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as h
+    from d, unnest(range(1, len(w) - 18)) t(i) where len(w) >= 20),
+late as (select doc_id, i from (select *, min(doc_id) over (partition by h) as least,
+        row_number() over (partition by h, doc_id order by i) as n from k)
+    where doc_id > least or n > 1),
+gone as (select distinct doc_id, i + j as i from late, unnest(range(20)) t(j)),
+x as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+t as (select x.doc_id, count(gone.i) as n_removed,
+        string_agg(word, ' ' order by x.i) filter (where gone.i is null) as kept
+    from x left join gone on gone.doc_id = x.doc_id and gone.i = x.i group by x.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from d left join t using (doc_id)
+"""
+
+
+@query("op10_difference_cover", SUBSTRING_SQL)
 def _(spark, sf_dir):
     return substring.deduplicated(table(spark, sf_dir, "documents"), digest=True)
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from runlens.llm.text import column_bytes
+from runlens.llm.text import column_bytes, lean
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -173,6 +173,7 @@ def scan(docs, min_log10=10.0, common=COMMON):
         pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     )
 
+    @lean
     def run(batches):
         for batch in batches:
             rows = [
@@ -210,6 +211,7 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
     """
     ranks = {w: i + 1 for i, w in enumerate(common)}
 
+    @lean
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")

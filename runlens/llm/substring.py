@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from runlens.llm.text import U64, column_bytes, hasher, rows_of, sequence_hashes, windows, words
+from runlens.llm.text import U64, column_bytes, hasher, lean, rows_of, sequence_hashes, windows, words
 from runlens.sources.store import settle
 
 WINDOW = 20
@@ -64,6 +64,7 @@ def unpack(data):
 def units(docs):
     """(unit, pack): stored runs of documents."""
 
+    @lean
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -184,6 +185,7 @@ def _sizes(column, width):
 def shared_anchors(stored, buckets, window=WINDOW):
     """(unit, keys): the anchors of each unit that other units have as well."""
 
+    @lean
     def send(batches):
         for batch in batches:
             for unit, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -230,6 +232,7 @@ def shared_anchors(stored, buckets, window=WINDOW):
 def earlier_windows(stored, shared, buckets, window=WINDOW):
     """(unit, earlier): the windows of each unit that occur under a smaller doc_id elsewhere."""
 
+    @lean
     def send(batches):
         for batch in batches:
             for unit, data, keys in zip(
@@ -333,6 +336,7 @@ def deduplicated(docs, window=WINDOW, digest=False):
     earlier = earlier_windows(stored, shared, buckets, window)
     name = "kept_sha256" if digest else "text"
 
+    @lean
     def run(batches):
         for batch in batches:
             for data, keys, found in zip(

@@ -6,6 +6,9 @@ about ``CHUNK`` bytes, which bounds memory (about 60 bytes per byte of the chunk
 than a chunk is a chunk of its own and is never cut.
 """
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,6 +30,23 @@ def mix(h):
     return h
 
 
+def lean(run):
+    """``run`` (batches to batches) that gives freed memory back to the system when it ends.
+
+    Python workers live on from stage to stage, and what one stage freed would else stay theirs.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 class _Hasher:
     """A polynomial hash of byte ranges; all ranges of a buffer cost one running sum."""
 

@@ -58,7 +58,7 @@ def line_rule(rows, min_docs, share, min_left):
 
 def test_line_rules(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
-    want = line_rule([(r.doc_id, r.text, r.source) for r in docs], 10, 0.01, 0.5)
+    want = line_rule([(r.doc_id, r.text, r.source) for r in docs], 10, 0.01, 0.3)
     assert rows_of(QUERIES["op8_line_frequency"](spark, SMALL)) == want
 
 
@@ -72,7 +72,7 @@ def test_frequent_lines_and_depleted_documents(spark):
     plain = [(r[0], r[1], r[3]) for r in rows]
     docs = documents(spark, rows)
     got = rows_of(R.verdicts(docs, min_docs=5, share=0.1))
-    assert got == line_rule(plain, 5, 0.1, 0.5)
+    assert got == line_rule(plain, 5, 0.1, 0.3)
     kept = {r[0]: r[-1] for r in got}
     assert not kept[0] and kept[1] and kept[100]
     cleaned = {r.doc_id: r.text for r in R.cleaned(docs, min_docs=5, share=0.1).collect()}
@@ -83,7 +83,7 @@ def test_frequent_lines_and_depleted_documents(spark):
 def test_line_rule_edges(spark):
     rows = edge_rows()
     docs = documents(spark, rows)
-    want = line_rule([(r[0], r[1], r[3]) for r in rows], 10, 0.01, 0.5)
+    want = line_rule([(r[0], r[1], r[3]) for r in rows], 10, 0.01, 0.3)
     assert rows_of(R.verdicts(docs)) == want
     assert R.verdicts(docs.limit(0)).count() == 0
     texts = rows_of(R.cleaned(docs))
