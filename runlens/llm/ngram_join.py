@@ -345,6 +345,7 @@ def open_pairs(postings, label):
         .where("low <> high")
         .select("token")
     )
+    mixed = settle(mixed, "mixed", packed=True)
     left = settle(known.join(mixed, "token"), "open", packed=True)
     right = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns])
     total = F.col("n") + F.col("n_b")
@@ -397,7 +398,8 @@ def near_duplicates(docs, words=WORDS):
     every = settle(document_sets(stored, shared, buckets, words), "sets", packed=True)
     known = every.where("doc_id is not null and n > 0")
     ids = ["n", "h1", "h2"]
-    classes = known.groupBy(*ids).agg(F.min("doc_id").alias("node"))
+    # Stored, these facts of a heavy class or shingle are joined by several tasks.
+    classes = settle(known.groupBy(*ids).agg(F.min("doc_id").alias("node")), "nodes", packed=True)
     members = settle(
         known.select("doc_id", *ids).join(classes, ids).select("doc_id", "node").distinct(),
         "members",
@@ -418,6 +420,7 @@ def near_duplicates(docs, words=WORDS):
     )
     postings = prefixes(sets)
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    counts = settle(counts, "counts", packed=True)
     postings = settle(postings.join(counts, "token"), "postings", packed=True)
     ranked = Window.partitionBy("node").orderBy(F.desc("docs"), "token")
     keys = (
