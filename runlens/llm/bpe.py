@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from runlens.llm.text import chunks, hasher, lean
+from runlens.llm.text import chunks, hasher, lean, parts
 
 # Fixed values of the vocabularies of this kind: the pattern that cuts texts into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -218,7 +218,7 @@ class Encoder:
     def encode(self, buf, offs):
         """Ids of all rows (uint32) and the n + 1 offsets of the rows."""
         starts, hashes, firsts, done = [], [], [np.zeros(1, dtype=np.int64)], 0
-        for row, part, own in _parts(buf, offs):
+        for row, part, own in parts(buf, offs, 1 << 19):
             at, first = split(part, own)
             ends = np.append(at[1:], len(part)) if len(at) else at
             hashes.append(hasher(3).ranges(part, at, ends))
@@ -259,16 +259,6 @@ class Encoder:
         return self.blob[_gather(self.starts[ids], lengths)]
 
 
-def _parts(buf, offs, limit=1 << 20):
-    """(first row, bytes, offsets) of runs of rows that are small enough to split at once."""
-    row, n = 0, len(offs) - 1
-    while row < n:
-        end = int(np.searchsorted(offs, offs[row] + limit, side="right")) - 1
-        end = min(max(end, row + 1), n)
-        yield row, buf[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
-        row = end
-
-
 _ENCODERS = {}
 
 

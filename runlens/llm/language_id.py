@@ -345,11 +345,9 @@ def accepted_rows(docs, tool):
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            keep = [
-                shared.value.predict(buf, offs)[3]
-                for _, buf, offs in chunks(batch.column(at), _WINDOW)
-            ]
-            yield batch.filter(pa.array(np.concatenate(keep or [np.zeros(0, dtype=bool)])))
+            for row, buf, offs in chunks(batch.column(at), _WINDOW):
+                keep = shared.value.predict(buf, offs)[3]
+                yield batch.slice(row, len(keep)).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

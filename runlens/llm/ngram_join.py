@@ -32,7 +32,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.llm.substring import _dense, _keys, _raw, _sent, _sizes, _zstd, units, unpack
-from runlens.llm.text import U64, lean, mix, shingles
+from runlens.llm.text import U64, lean, mix, parts, same_in_row, shingles
 from runlens.sources.store import settle
 
 WORDS = 5
@@ -50,15 +50,17 @@ def least_overlap(a, b):
 def unit_sets(data, words):
     """(doc_id column, row, hash) of a unit: each row's distinct shingles, rows in order."""
     ids, buf, offs = unpack(data)
-    row, hashes = shingles(buf, offs, words)
-    if len(row) and (row[1:] < row[:-1]).any():
-        order = np.argsort(row, kind="stable")
-        row, hashes = row[order], hashes[order]
-    key = mix(hashes ^ mix(row.astype(U64) + U64(1)))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(key), dtype=bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return ids, row[~again], hashes[~again]
+    rows, sets = [], []
+    for at, part, own in parts(buf, offs, 1 << 19):
+        row, hashes = shingles(part, own, words)
+        if len(row) and (row[1:] < row[:-1]).any():
+            order = np.argsort(row, kind="stable")
+            row, hashes = row[order], hashes[order]
+        _, again = same_in_row(row, hashes)
+        rows.append(row[~again] + at)
+        sets.append(hashes[~again])
+    none = np.zeros(0, dtype=np.int64)
+    return ids, np.concatenate(rows or [none]), np.concatenate(sets or [none.view(U64)])
 
 
 def _tags(hashes, buckets):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from runlens.llm.text import column_bytes, lean
+from runlens.llm.text import chunks, column_bytes, lean
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -166,6 +166,13 @@ def _spans_of_rows(column, min_log10, ranks):
         yield found
 
 
+def _small(batches, at):
+    """The rows of ``batches`` in slices whose texts (column ``at``) have about a megabyte."""
+    for batch in batches:
+        for row, _, offs in chunks(batch.column(at)):
+            yield batch.slice(row, len(offs) - 1)
+
+
 def scan(docs, min_log10=10.0, common=COMMON):
     """doc_id and ``spans``: an array of (kind, start, end), by start and then kind."""
     ranks = {w: i + 1 for i, w in enumerate(common)}
@@ -175,7 +182,7 @@ def scan(docs, min_log10=10.0, common=COMMON):
 
     @lean
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches, 1):
             rows = [
                 [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
                 for found in _spans_of_rows(batch.column(1), min_log10, ranks)
@@ -210,11 +217,11 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
     Texts without spans stay as they are; all rows stay, with all their columns.
     """
     ranks = {w: i + 1 for i, w in enumerate(common)}
+    at = docs.columns.index("text")
 
     @lean
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
+        for batch in _small(batches, at):
             texts, sizes = [], []
             for text, found in zip(
                 batch.column(at).to_pylist(),

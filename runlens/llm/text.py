@@ -65,7 +65,7 @@ class _Hasher:
 
     def reach(self, n):
         if len(self.powers) < n:
-            size = max(n, CHUNK + CHUNK // 2)
+            size = n + n // 4
             self.powers = self._powers(self.base, size)
             self.inverses = self._powers(self.inverse, size)
 
@@ -106,7 +106,11 @@ def column_bytes(column):
 
 def chunks(column, limit=CHUNK):
     """Yield (first row, bytes, offsets) for runs of rows of at most ``limit`` bytes or one row."""
-    buf, offs = column_bytes(column)
+    yield from parts(*column_bytes(column), limit)
+
+
+def parts(buf, offs, limit=CHUNK):
+    """``chunks`` of a column's bytes and offsets."""
     n, row = len(offs) - 1, 0
     while row < n:
         end = int(np.searchsorted(offs, offs[row] + limit, side="right")) - 1
