@@ -8,18 +8,23 @@ each other in turn become one repeated group; texts that differ become a slot, e
 fixed text. Two wrappers align like two pages, so each task folds its pages into one wrapper per
 host, and these are folded by (host, salt) and then by host: no task sees all pages of a host.
 
-From a host's wrapper follows where its main text lies: in its ``article`` or ``main`` elements,
-or else in the smallest element that holds most of the slots' text. A page's blocks inside are its
-text, without what tag, role, class or id mark as a menu, header, footer, sidebar, notice, advert,
-form or comment, and without fixed text of a wrapper that found no ``article`` or ``main``.
+From a host's wrapper follows where its main text lies: at the places where any of its pages has an
+``article`` or ``main``, and for pages that have nothing there in the smallest element that holds
+most of the other slots' text. A page's blocks inside are its text, without what tag, role, class or
+id mark as a menu, header, footer, sidebar, notice, advert, form or comment, and without fixed text:
+what each page with a place has there, if at least ``LEAST_PAGES`` pages of different text have the
+place; a text of more than 200 characters is a slot. A repeated group whose texts differ is a slot, so
+a line that all pages have among their paragraphs, with nothing that tells it apart, stays.
 
 Defined results: a null or empty page has the empty text; tags that are cut off or never closed
-end where their parent does; pages without a host are one host; a page without an ``article`` or
-``main`` on a host that has them is read by its own wrapper; repeated rows have the same text;
-other columns never matter.
+end where their parent does; pages without a host are one host; a page that has no text at any of
+its host's places is read by its own wrapper, without the host's fixed text; a host whose pages
+are copies of fewer than ``LEAST_PAGES`` has no fixed text; repeated rows have the same text; other
+columns never matter.
 """
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -64,6 +69,7 @@ _MARKS = set(
 _WHOLE = {"html", "body", "main"}
 _REGIONS = {"article", "main"}
 _SPACES = re.compile(r"\s+")
+LEAST_PAGES = 3
 
 
 @functools.lru_cache(1 << 16)
@@ -87,9 +93,10 @@ def _signature(name, attrs):
 
 
 def blocks(page):
-    """(path, text, link characters, dropped, in a region) of each block of text, in page order.
+    """(path, text, link characters, dropped, region) of each block of text, in page order.
 
-    ``path`` is the tuple of the labels of the open block elements.
+    ``path`` is the tuple of the labels of the open block elements, ``region`` the length of the
+    part that leads to the outermost ``article`` or ``main``, or 0.
     """
     out, stack, parts = [], [], []
     linked = in_link = 0
@@ -101,7 +108,7 @@ def blocks(page):
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                top = stack[-1] if stack else ("", (), False, False, "")
+                top = stack[-1] if stack else ("", (), False, 0, "")
                 out.append((top[1], text, min(linked, len(text)), top[2], top[3]))
         linked = 0
 
@@ -154,53 +161,66 @@ def blocks(page):
         if stack:
             _, path, drop, inside, _ = stack[-1]
         else:
-            path, drop, inside = (), False, False
+            path, drop, inside = (), False, 0
         # A header is the page's unless it is inside the article.
         drop = drop or dropped or (header and not inside)
-        stack.append((name, (*path, label), drop, inside or region, ""))
+        inside = inside or (len(path) + 1 if region else 0)
+        stack.append((name, (*path, label), drop, inside, ""))
         if m[3].endswith("/"):
             stack.pop()
     flush()
     return out
 
 
-# --- wrappers: [label, children, repeated, optional, text, chars, linked, pages] ----------------
-# text: None, or ["fixed", value], or ["slot"]; children of a repeated run: one node stands for all.
+# --- wrappers: label, children, repeated, optional, text, chars, linked, pages, dropped or region --
+# text: None, or ["fixed", value, key], or ["slot"]; children of a repeated run:
+# one node stands for all; g: length of the path to the region; w: the smallest hashes of different
+# pages that have the node, LEAST_PAGES at most.
 
 
 def _node(label):
-    return {"l": label, "c": [], "r": 0, "o": 0, "t": None, "n": 0, "k": 0, "p": 1, "d": 0}
+    counts = {"n": 0, "k": 0, "p": 1, "d": 0, "g": 0, "w": []}
+    return {"l": label, "c": [], "r": 0, "o": 0, "t": None} | counts
+
+
+def _key(path, text):
+    """A text of any length at its place."""
+    both = "\0".join((*path, "", text)).encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(both, digest_size=10).hexdigest()
 
 
 def page_wrapper(found):
     """The wrapper of one page, from its blocks."""
-    root = _node("")
+    keys = [_key(path, text) for path, text, *_ in found]
+    own = [int(hashlib.blake2b("".join(keys).encode(), digest_size=6).hexdigest(), 16)]
+    root = _node("") | {"w": own}
     open_nodes = [root]
     previous = ()
-    for path, text, linked, dropped, inside in found:
+    for (path, text, linked, dropped, inside), key in zip(found, keys, strict=True):
         same = 0
         while same < min(len(path), len(previous)) and path[same] == previous[same]:
             same += 1
         again = same == len(path) == len(previous) > 0  # the next one of the same kind
         del open_nodes[same + 1 :]
         for label in path[same:]:
-            node = _node(label)
+            node = _node(label) | {"w": own}
             open_nodes[-1]["c"].append(node)
             open_nodes.append(node)
         node = open_nodes[-1]
         node["r"] |= again
-        node["t"] = _texts(node["t"], text if len(text) <= 200 else None)
+        node["t"] = _texts(node["t"], text if len(text) <= 200 else None, key)
         node["n"] += len(text)
         node["k"] += linked
         node["d"] = 1 if dropped else 2 if inside else 0
+        node["g"] = inside
         previous = path
     _fold(root)
     return root
 
 
-def _texts(known, text):
+def _texts(known, text, key):
     """The text of a place after one more text: fixed while all are equal, then a slot."""
-    value = ["slot"] if text is None else ["fixed", text]
+    value = ["slot"] if text is None else ["fixed", text, key]
     return value if known is None or known == value else ["slot"]
 
 
@@ -214,20 +234,19 @@ def _fold(node):
             labels = [x["l"] for x in items[i : i + period]]
             if labels == [x["l"] for x in items[i + period : i + 2 * period]]:
                 for j in range(period):
-                    items[i + j] = align(items[i + j], items[i + period + j])
-                    items[i + j]["p"] = 1
+                    items[i + j] = align(items[i + j], items[i + period + j], True)
                     items[i + j]["r"] = 1
                 del items[i + period : i + 2 * period]
             else:
                 i += 1
 
 
-def align(a, b):
+def align(a, b, one_page=False):
     """The wrapper of what either of two nodes of the same label stands for."""
     x, y = a["c"], b["c"]
     n, m = len(x), len(y)
     if [c["l"] for c in x] == [c["l"] for c in y]:
-        children = [align(p, q) for p, q in zip(x, y, strict=True)]
+        children = [align(p, q, one_page) for p, q in zip(x, y, strict=True)]
     else:
         best = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(n - 1, -1, -1):
@@ -239,7 +258,7 @@ def align(a, b):
         children, i, j = [], 0, 0
         while i < n or j < m:
             if i < n and j < m and x[i]["l"] == y[j]["l"]:
-                children.append(align(x[i], y[j]))
+                children.append(align(x[i], y[j], one_page))
                 i, j = i + 1, j + 1
             elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
                 children.append(x[i] | {"o": 1})
@@ -248,10 +267,12 @@ def align(a, b):
                 children.append(y[j] | {"o": 1})
                 j += 1
     out = _node(a["l"]) | {"c": children}
-    for key in ("r", "o", "d"):
+    for key in ("r", "o", "d", "g"):
         out[key] = max(a[key], b[key])
-    for key in ("n", "k", "p"):
+    for key in ("n", "k"):
         out[key] = a[key] + b[key]
+    out["p"] = max(a["p"], b["p"]) if one_page else a["p"] + b["p"]
+    out["w"] = a["w"] if a["w"] == b["w"] else sorted({*a["w"], *b["w"]})[:LEAST_PAGES]
     if a["t"] and b["t"]:
         out["t"] = a["t"] if a["t"] == b["t"] else ["slot"]
     else:
@@ -267,7 +288,7 @@ def _fold_level(node):
     merged = []
     for child in node["c"]:
         if merged and merged[-1]["l"] == child["l"]:
-            merged[-1] = align(merged[-1], child) | {"r": 1}
+            merged[-1] = align(merged[-1], child, True) | {"r": 1}
         else:
             merged.append(child)
     node["c"] = merged
@@ -285,28 +306,28 @@ def expression(node):
 
 def _slots(node):
     """Whether a slot lies at ``node`` or below, outside of what is dropped."""
-    own = node["d"] == 0 and node["t"] == ["slot"]
+    own = node["d"] != 1 and node["t"] == ["slot"]
     return own or any(_slots(c) for c in node["c"])
 
 
-def plan(wrapper, least_pages=3):
-    """Where the main text lies: {"r": region paths or None, "f": fixed texts to leave out}.
+def plan(wrapper):
+    """Where the main text lies: {"r": paths of regions, "p": path on other pages, "f": fixed texts}.
 
-    ``None`` stands for the blocks inside ``article`` or ``main``. A host without any slot has
-    only copies of a page, whose texts are then no template.
+    A host without any slot has only copies of a page, whose texts are then no template.
     """
-    regions, fixed, totals = [], set(), {}
-    least_pages = least_pages if _slots(wrapper) else float("inf")
+    regions, fixed, totals = set(), set(), {}
+    least_pages = LEAST_PAGES if _slots(wrapper) else float("inf")
 
     def walk(node, path):
-        """Characters below ``node`` that are not fixed text; fills the tables."""
+        """Characters below ``node`` outside of regions, without fixed text; fills the tables."""
         chars = 0
+        known = node["t"] and node["t"][0] == "fixed" and len(node["w"]) >= least_pages
+        if known and node["d"] != 1:
+            fixed.add(node["t"][2])
         if node["d"] == 2 and node["n"]:
-            regions.append(path)
+            regions.add(path[: node["g"]])
         elif node["d"] == 0 and node["t"]:
-            if node["t"][0] == "fixed" and node["p"] >= least_pages:
-                fixed.add(node["t"][1])
-            elif node["k"] * 2 <= node["n"]:
+            if not known and node["k"] * 2 <= node["n"]:
                 chars += node["n"]
         for child in node["c"]:
             chars += walk(child, (*path, child["l"]))
@@ -314,30 +335,35 @@ def plan(wrapper, least_pages=3):
         return chars
 
     all_chars = walk(wrapper, ())
-    if regions:
-        return {"r": None, "f": []}
     path = ()
     while True:
         inner = [p for p in totals if len(p) == len(path) + 1 and p[: len(path)] == path]
         best = max(inner, key=lambda p: totals[p], default=None)
         if best is None or totals[best] < 0.7 * all_chars or best[-1].split(".")[0] in _CELLS:
-            return {"r": list(path), "f": sorted(fixed)}
+            return {"r": sorted(map(list, regions)), "p": list(path), "f": sorted(fixed)}
         path = best
 
 
+def _kept(found, where, fixed):
+    """The texts that ``where`` keeps of a page, or None if it says nothing about the page."""
+    regions = set(map(tuple, where["r"]))
+    sizes = sorted({len(p) for p in regions})
+    at = [(block, any(block[0][:n] in regions for n in sizes)) for block in found]
+    own = lambda block: not block[3] and _key(block[0], block[1]) not in fixed
+    if any(inside for _, inside in at):
+        return [block[1] for block, inside in at if inside and own(block)]
+    path = tuple(where["p"])
+    rest = [x for x in found if x[0][: len(path)] == path and not x[3] and x[2] * 2 <= len(x[1])]
+    return [x[1] for x in rest if own(x)] if rest else None
+
+
 def main_text(found, where):
     """The blocks of a page that are its article, joined by line breaks."""
-    if where["r"] is None:
-        kept = [text for _, text, _, dropped, inside in found if inside and not dropped]
-        if kept or any(inside for *_, inside in found):
-            return "\n".join(kept)
-        where = plan(page_wrapper(found))
-    path, fixed = tuple(where["r"] or ()), set(where["f"])
-    return "\n".join(
-        text
-        for own, text, linked, dropped, _ in found
-        if not dropped and own[: len(path)] == path and text not in fixed and linked * 2 <= len(text)
-    )
+    fixed = set(where["f"])
+    kept = _kept(found, where, fixed)
+    if kept is None:
+        kept = _kept(found, plan(page_wrapper(found)), fixed)
+    return "\n".join(kept or ())
 
 
 # --- Spark ---------------------------------------------------------------------------------------

@@ -106,3 +106,31 @@ def test_folding_in_parts_gives_one_wrapper_a_host(spark):
     import json
 
     assert {json.loads(r.wrapper)["p"] for r in found} == {10}
+
+
+def test_the_host_wrapper_drops_fixed_text_inside_articles(spark):
+    """Also on pages of the host without an article."""
+    notice = "This notice is on all pages of the paper. " * 2
+    rows = [
+        (
+            i,
+            "http://a.example/",
+            f"<body><article><h1>T{i}</h1><div class=own><p>{notice}</div><p>First {i}"
+            f"<p>Last {i}{'<p>More' * (i % 3)}</article><div>Since 1900</div>",
+        )
+        for i in range(6)
+    ]
+    rows += [
+        (i, "http://a.example/", f"<body><section><p>Story {i}<p>End {i}</section><div>Since 1900</div>")
+        for i in range(6, 10)
+    ]
+    found = {r.page_id: r.text for r in W.extract(pages(spark, rows).repartition(3)).collect()}
+    want = {i: f"T{i}\nFirst {i}\nLast {i}" + "\nMore" * (i % 3) for i in range(6)}
+    assert found == want | {i: f"Story {i}\nEnd {i}" for i in range(6, 10)}
+
+
+def test_copies_of_pages_are_no_template(spark):
+    one, two = "<article><h1>A</h1><p>x<p>y</article>", "<article><h1>A</h1><p>z<p>y</article>"
+    rows = [(i, "http://a.example/", two if i == 9 else one) for i in range(10)]
+    found = {r.page_id: r.text for r in W.extract(pages(spark, rows)).collect()}
+    assert found == {i: "A\nz\ny" if i == 9 else "A\nx\ny" for i in range(10)}
