@@ -13,7 +13,7 @@ From a host's wrapper follows where its main text lies: at the places where any
 most of the other slots' text. A page's blocks inside are its text, without what tag, role, class or
 id mark as a menu, header, footer, sidebar, notice, advert, form or comment, and without fixed text:
 what each page with a place has there, if at least ``LEAST_PAGES`` pages of different text have the
-place; a text of more than 200 characters is a slot. A repeated group whose texts differ is a slot, so
+place. Texts of any length are compared, by hash. A repeated group whose texts differ is a slot, so
 a line that all pages have among their paragraphs, with nothing that tells it apart, stays.
 
 Defined results: a null or empty page has the empty text; tags that are cut off or never closed
@@ -173,7 +173,7 @@ def blocks(page):
 
 
 # --- wrappers: label, children, repeated, optional, text, chars, linked, pages, dropped or region --
-# text: None, or ["fixed", value, key], or ["slot"]; children of a repeated run:
+# text: None, or ["fixed", value (its start, if long), key], or ["slot"]; children of a repeated run:
 # one node stands for all; g: length of the path to the region; w: the smallest hashes of different
 # pages that have the node, LEAST_PAGES at most.
 
@@ -208,7 +208,7 @@ def page_wrapper(found):
             open_nodes.append(node)
         node = open_nodes[-1]
         node["r"] |= again
-        node["t"] = _texts(node["t"], text if len(text) <= 200 else None, key)
+        node["t"] = _texts(node["t"], text if len(text) <= 200 else f"{text[:200]}...", key)
         node["n"] += len(text)
         node["k"] += linked
         node["d"] = 1 if dropped else 2 if inside else 0
@@ -220,7 +220,7 @@ def page_wrapper(found):
 
 def _texts(known, text, key):
     """The text of a place after one more text: fixed while all are equal, then a slot."""
-    value = ["slot"] if text is None else ["fixed", text, key]
+    value = ["fixed", text, key]
     return value if known is None or known == value else ["slot"]
 
 

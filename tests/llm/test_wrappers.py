@@ -109,8 +109,8 @@ def test_folding_in_parts_gives_one_wrapper_a_host(spark):
 
 
 def test_the_host_wrapper_drops_fixed_text_inside_articles(spark):
-    """Also on pages of the host without an article."""
-    notice = "This notice is on all pages of the paper. " * 2
+    """Also what is long, and on pages of the host without an article."""
+    notice = "This notice is on all pages of the paper. " * 10
     rows = [
         (
             i,
@@ -134,3 +134,15 @@ def test_copies_of_pages_are_no_template(spark):
     rows = [(i, "http://a.example/", two if i == 9 else one) for i in range(10)]
     found = {r.page_id: r.text for r in W.extract(pages(spark, rows)).collect()}
     assert found == {i: "A\nz\ny" if i == 9 else "A\nx\ny" for i in range(10)}
+
+
+def test_long_fixed_text(spark):
+    """Also on a host without articles, whatever the length."""
+    for n in (200, 201, 5000):
+        notice = ("legal notice " * 400)[: n - 1] + "."
+        rows = [
+            (i, "http://a.example/", f"<div class=x><p>Story {i}, rather long<p>End {i}</div><div class=own>{notice}</div>")
+            for i in range(4)
+        ]
+        found = {r.page_id: r.text for r in W.extract(pages(spark, rows)).collect()}
+        assert found == {i: f"Story {i}, rather long\nEnd {i}" for i in range(4)}
