@@ -1,7 +1,7 @@
 """Secret scans: plain patterns, and guess cost for values in the context of a credential.
 
 Three base kinds are found by pattern alone. The method adds a fourth, ``guess``: a value in a
-credential context (``pwd = ...``, ``Authorization: Bearer ...``, ``user:...@host``) whose cheapest
+credential context (``DB_PWD = ...``, ``Authorization: Bearer ...``, ``user:...@host``) whose cheapest
 segmentation into known words, dates, repeats, keyboard walks and brute-force characters needs at
 least ``10**min_log10`` guesses. The cost of a segmentation is the sum of the parts' log guesses
 plus log(i) for its i-th part; a dynamic program over the end of the last part finds the minimum.
@@ -28,16 +28,21 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
+# A keyword may end a longer name: after an underscore (DB_PASS), or as a new word (dbPass).
+_START = rb"(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+_VALUE = rb"[\"']?([^\x00-\x20\"'<>]{6,})"
 CONTEXTS = (
     re.compile(
-        rb"\b(?:pwd|pass|passphrase|passcode|credentials?|auth|bearer|private_?key|access_?key|"
-        rb"client_?secret|secret_?key|auth_?token|password|passwd|secret|token|api_?key)"
-        rb"[\"']?\x20*(?:[:=]|\x20is\x20|=>)\x20*(?:bearer\x20+|basic\x20+)?[\"']?([^\x00-\x20\"'<>]{6,})",
+        _START + rb"(?:pwd|pass|passphrase|passcode|credentials?|auth|authorization|bearer|"
+        rb"private[_-]?key|access[_-]?key|client[_-]?secret|secret[_-]?key|auth[_-]?token|"
+        rb"secret[_-]?access[_-]?key|password|passwd|secret|token|api[_-]?key)"
+        rb"[\"']?\x20*(?:[:=]|\x20is\x20|=>)\x20*[\"']?(?:(?:bearer|basic|token)\x20+)?" + _VALUE,
         re.IGNORECASE,
     ),
+    re.compile(rb"(?<![a-z0-9])bearer\x20+" + _VALUE, re.IGNORECASE),
     re.compile(rb"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:([^\x00-\x20/:@]{6,})@", re.IGNORECASE),
 )
-#: Each match of ASSIGN and of the first context has one of these.
+#: Each match of ASSIGN and of the first two contexts has one of these.
 KEYWORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer")
 # Passwords and words that are tried first, roughly by how often they are used.
 COMMON = (
@@ -135,7 +140,7 @@ def spans_of(raw, min_log10=10.0, ranks=None):
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
-    contexts = CONTEXTS[:1] * named + CONTEXTS[1:] * (b"://" in raw)
+    contexts = CONTEXTS[:2] * named + CONTEXTS[2:] * (b"://" in raw)
     taken = sorted((s, e) for s, _, e in found)
     for pattern in contexts:
         for m in pattern.finditer(raw):
