@@ -6,7 +6,13 @@ segmentation into known words, dates, repeats, keyboard walks and brute-force ch
 least ``10**min_log10`` guesses. The cost of a segmentation is the sum of the parts' log guesses
 plus log(i) for its i-th part; a dynamic program over the end of the last part finds the minimum.
 
-Defined results: null and empty texts have no spans; a span that a base kind already has is not
+Known words are a list of common passwords and, ranked behind these, the words of the corpus by the
+number of documents that have them outside of credential contexts and of other secrets. The words
+are counted over the cluster and stored; the letter runs of those values that the list alone leaves
+unguessable are joined with them, and only words that occur in these values go to the tasks.
+
+Defined results: a word counts from ``MIN_DOCS`` documents on, since what stands in one or two may
+be a secret; words with as many documents have the rank of the last of them; null and empty texts have no spans; a span that a base kind already has is not
 given again; offsets are code points of the whole text; values of any length are costed whole.
 """
 
@@ -20,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runlens.llm.text import chunks, column_bytes, lean
+from runlens.sources.store import settle
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -56,6 +63,9 @@ DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d
 _WALKS = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _WALKS |= {pair[::-1] for pair in _WALKS}
 _LEETS = str.maketrans("@013457$!", "aoieast" + "si")
+_RUN = re.compile(r"[^\W\d_]{3,}")
+MIN_DOCS = 3
+LONGEST = 32
 
 
 def _alphabet(value):
@@ -72,19 +82,36 @@ def _lengths(most, least):
     return sorted({most, *(1 << k for k in range(most.bit_length()) if (1 << k) >= least)})
 
 
+class Ranks(dict):
+    """Ranks of words, with the length of the longest."""
+
+    def __init__(self, ranks):
+        super().__init__(ranks)
+        self.longest = max(map(len, self), default=0)
+
+
+def common_ranks(common):
+    """The words of a list by their place in it, from 1."""
+    return Ranks({w: i + 1 for i, w in enumerate(common)})
+
+
+def _forms(value):
+    """``value`` in lower case, and with letters for digits that stand for them."""
+    low = value.lower()
+    return (low, low.translate(_LEETS)) if len(low) == len(value) else (value, value)
+
+
 def log10_guesses(value, ranks=None):
     """The log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     Runs (repeats of 1 to 4 characters, keyboard walks) are parts in whole or up to a power of two
     of their length, so that a value of n characters has O(n log n) parts.
     """
-    ranks = ranks if ranks is not None else {w: i + 1 for i, w in enumerate(COMMON)}
+    ranks = ranks if ranks is not None else common_ranks(COMMON)
     each = math.log10(_alphabet(value))
     n = len(value)
-    low = value.lower()
-    plain = low.translate(_LEETS) if len(low) == n else value
-    low = low if len(low) == n else value
-    longest = max(map(len, ranks), default=0)
+    low, plain = _forms(value)
+    longest = ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
     ends = {}  # start -> [(end, cost)]
     for m in DATE.finditer(value):
         ends.setdefault(m.start(), []).append((m.end(), math.log10(40_000)))
@@ -125,8 +152,8 @@ def log10_guesses(value, ranks=None):
     return min(least[n])
 
 
-def spans_of(raw, min_log10=10.0, ranks=None):
-    """(start, kind number, end) in bytes of ``raw``, sorted.
+def _candidates(raw):
+    """Spans of the base kinds, and (start, end) of other values in credential contexts.
 
     The patterns with a keyword are only run where one of their keywords is in the text.
     """
@@ -142,6 +169,7 @@ def spans_of(raw, min_log10=10.0, ranks=None):
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
     contexts = CONTEXTS[:2] * named + CONTEXTS[2:] * (b"://" in raw)
     taken = sorted((s, e) for s, _, e in found)
+    values = set()
     for pattern in contexts:
         for m in pattern.finditer(raw):
             s, e = m.span(1)
@@ -149,13 +177,87 @@ def spans_of(raw, min_log10=10.0, ranks=None):
                 e -= 1
             at = bisect.bisect_right(taken, (s, math.inf))
             inside = any(a <= s and e <= b for a, b in taken[max(0, at - 3) : at])
-            if e - s < 6 or inside or (s, 3, e) in found:
-                continue
-            if log10_guesses(raw[s:e].decode("utf-8", "replace"), ranks) >= min_log10:
-                found.append((s, 3, e))
+            if e - s >= 6 and not inside:
+                values.add((s, e))
+    return found, sorted(values)
+
+
+def spans_of(raw, min_log10=10.0, ranks=None):
+    """(start, kind number, end) in bytes of ``raw``, sorted."""
+    found, values = _candidates(raw)
+    for s, e in values:
+        if log10_guesses(raw[s:e].decode("utf-8", "replace"), ranks) >= min_log10:
+            found.append((s, 3, e))
     return sorted(found)
 
 
+def _words(raw):
+    """The words of a text outside of secrets and of values in credential contexts."""
+    found, values = _candidates(raw)
+    parts, done = [], 0
+    for s, e in sorted([(s, e) for s, _, e in found] + values):
+        if s > done:
+            parts.append(raw[done:s])
+        done = max(done, e)
+    rest = b" ".join([*parts, raw[done:]]).decode("utf-8", "replace").lower()
+    return {m[0] for m in _RUN.finditer(rest) if len(m[0]) <= LONGEST}
+
+
+def _parts(raw, min_log10, ranks):
+    """What could be words in the values of a text that are unguessable under ``ranks``."""
+    for s, e in _candidates(raw)[1]:
+        value = raw[s:e].decode("utf-8", "replace")
+        if log10_guesses(value, ranks) < min_log10:
+            continue
+        for form in set(_forms(value)):
+            for m in _RUN.finditer(form):
+                run = m[0]
+                for i in range(len(run) - 2):
+                    for j in range(i + 3, min(len(run), i + LONGEST) + 1):
+                        yield run[i:j]
+
+
+def _counted(docs, of_text):
+    """(word, n) with the number of rows whose text has the word, in one row a word and more."""
+
+    @lean
+    def run(batches):
+        found = {}
+
+        def rows():
+            columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
+        for batch in _small(batches, 0):
+            buf, offs = column_bytes(batch.column(0))
+            data = buf.tobytes()
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                for word in of_text(data[a:b]):
+                    found[word] = found.get(word, 0) + 1
+                    if len(found) >= 200_000:
+                        yield rows()
+                        found.clear()
+        yield rows()
+
+    rows = docs.select("text").mapInArrow(run, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def corpus_ranks(docs, min_log10=10.0, common=COMMON, min_docs=MIN_DOCS):
+    """The ranks of ``common`` and of the corpus's words that can be parts of open values."""
+    base = common_ranks(common)
+    parts = settle(
+        _counted(docs, lambda raw: _parts(raw, min_log10, base)).select("word"), "parts", packed=True
+    )
+    if parts.isEmpty():
+        return base
+    words = settle(_counted(docs, _words).where(F.col("n") >= min_docs), "words", packed=True)
+    # A row for each number of documents; a word's rank is the number of words with as many.
+    steps = sorted(map(tuple, words.groupBy("n").agg(F.count("*")).collect()), reverse=True)
+    last = dict(zip([n for n, _ in steps], np.cumsum([k for _, k in steps]).tolist(), strict=True))
+    known = words.join(parts, "word", "left_semi").collect()
+    return Ranks({r.word: len(base) + last[r.n] for r in known} | base)
+
 
 def _spans_of_rows(column, min_log10, ranks):
     """For each row its spans in code points."""
@@ -180,7 +282,7 @@ def _small(batches, at):
 
 def scan(docs, min_log10=10.0, common=COMMON):
     """doc_id and ``spans``: an array of (kind, start, end), by start and then kind."""
-    ranks = {w: i + 1 for i, w in enumerate(common)}
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, min_log10, common))
     kind = pa.list_(
         pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     )
@@ -190,7 +292,7 @@ def scan(docs, min_log10=10.0, common=COMMON):
         for batch in _small(batches, 1):
             rows = [
                 [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
-                for found in _spans_of_rows(batch.column(1), min_log10, ranks)
+                for found in _spans_of_rows(batch.column(1), min_log10, ranks.value)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(rows, type=kind)], ["doc_id", "spans"]
@@ -221,7 +323,7 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
 
     Texts without spans stay as they are; all rows stay, with all their columns.
     """
-    ranks = {w: i + 1 for i, w in enumerate(common)}
+    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, min_log10, common))
     at = docs.columns.index("text")
 
     @lean
@@ -230,7 +332,7 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
             texts, sizes = [], []
             for text, found in zip(
                 batch.column(at).to_pylist(),
-                _spans_of_rows(batch.column(at), min_log10, ranks),
+                _spans_of_rows(batch.column(at), min_log10, ranks.value),
                 strict=True,
             ):
                 if found:
@@ -253,4 +355,4 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
     return docs.mapInArrow(run, docs.schema)
 
 
-__all__ = ["digest", "log10_guesses", "redacted", "scan", "spans_of"]
+__all__ = ["corpus_ranks", "digest", "log10_guesses", "redacted", "scan", "spans_of"]

@@ -173,6 +173,21 @@ def test_credential_contexts(context):
     assert S.spans_of(b"a compass=xK9$mQ2#vL") == []
 
 
+def test_words_of_the_corpus_are_guessed(spark):
+    """Known from documents outside of contexts; a secret's own document teaches nothing."""
+    rows = [(i, f"of great consistency w{i} Staple horses", None, None) for i in range(4)]
+    rows += [(10 + i, "pwd is zqxvkjwpgh", None, None) for i in range(5)]
+    rows += [(20, "The secret is consistency", None, None), (21, "pass: C0nsistency", None, None)]
+    rows += [(22, "pass: staplehorses", None, None), (23, "pass: rareunseenword", None, None)]
+    docs = documents(spark, rows)
+    found = {r.doc_id: [s.kind for s in r.spans] for r in S.scan(docs).collect()}
+    assert {i for i, kinds in found.items() if kinds} == {*range(10, 15), 23}
+    texts = {r.doc_id: r.text for r in S.redacted(docs).collect()}
+    assert texts[20] == "The secret is consistency" and texts[10] == "pwd is [SECRET]"
+    ranks = S.corpus_ranks(docs)
+    assert ranks["password"] == 1 and len(S.COMMON) < ranks["consistency"] <= len(S.COMMON) + 5
+
+
 def test_secret_edges(spark):
     rows = edge_rows() + [(50, TEXTS[2], None, None), (51, "token=" + "a1B2" * 50_000, None, None)]
     docs = documents(spark, rows)
