@@ -2,10 +2,11 @@
 
 A text's words are its runs of letters, lower-cased; each letter and the end of each word is
 predicted from the ``ORDER - 1`` symbols before it in the word. The counts of all training texts
-are added over the cluster; of all languages' n-grams the ``MAX_GRAMS`` with the largest share of
-their language stay, which bounds the model that the tasks get. A language's model is one sorted
+are added over the cluster and stored, and each language's model is made from all of its n-grams, so
+that continuation counts, totals and discounts are those of the whole input. A model is one sorted
 array of n-gram hashes per order with the interpolated log probabilities, and one of context hashes
-with the weights for unseen continuations.
+with the weights for unseen continuations: about 12 bytes for each n-gram and context, which grows
+with the variety of a language's n-grams. The driver makes one model at a time.
 
 The language of the lowest cross-entropy per symbol is predicted. ``score`` is its share of the
 languages' likelihoods, each taken to the power of the inverse root of the text's length, since
@@ -26,11 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from runlens.llm.text import U64, char_counts, chunks, lean, mix, sequence_hashes
+from runlens.llm.text import U64, char_counts, chunks, column_bytes, lean, mix, sequence_hashes
 from runlens.sources.store import settle
 
 ORDER = 4
-MAX_GRAMS = 400_000
 CALIBRATION = 4_000
 Z = 10.0
 MIN_SCORE = 0.5
@@ -261,23 +261,22 @@ class Identifier:
         return names, score, np.where(count > 0, least, 0.0), accepted
 
 
-def train(docs, order=ORDER, max_grams=MAX_GRAMS, calibration=CALIBRATION):
-    """The identifier of the languages in ``docs`` (doc_id, lang, text), counted on the cluster."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    counts = gram_counts(rows, order)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = (
-        counts.join(totals, "lang")
-        .orderBy(F.desc(F.col("n") / F.col("total")), "lang", "gram")
-        .limit(max_grams)
-        .select("lang", "gram", "n")
-        .toPandas()
-    )
+def _models(counts, order):
+    """The model of each language from stored ``counts``, one language after the other."""
     models = {}
-    for lang, own in kept.groupby("lang"):
-        points = np.frombuffer("".join(own["gram"]).encode("utf-32-le"), dtype=np.uint32)
+    names = [r.lang for r in counts.select("lang").distinct().collect()]
+    for lang in sorted(names):
+        own = counts.where(F.col("lang") == lang).select("gram", "n").toArrow()
+        text = column_bytes(own["gram"])[0].tobytes().decode("utf-8")
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         models[lang] = CharModel(points.reshape(-1, order), own["n"].to_numpy(), order)
-    tool = Identifier(models)
+    return models
+
+
+def train(docs, order=ORDER, calibration=CALIBRATION):
+    """The identifier of the languages in ``docs`` (doc_id, lang, text), counted on the cluster."""
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    tool = Identifier(_models(settle(gram_counts(rows, order), "grams", packed=True), order))
     draw = rows.select(F.xxhash64("doc_id", "lang").alias("draw"), "doc_id", "lang")
     sample = draw.orderBy("draw", "doc_id", "lang").limit(calibration).select("doc_id", "lang")
     sample = F.broadcast(sample.distinct())  # ``calibration`` rows at most

@@ -72,6 +72,19 @@ def test_no_training_texts(spark):
     assert L.accepted_rows(docs, none).count() == 0
 
 
+def test_no_language_loses_grams_to_others(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for lang, first, n in (("ko", 0xAC00, 150), ("zh", 0x4E00, 350)):
+        texts = ["".join(map(chr, first + rng.integers(0, 5000, 1000))) for _ in range(n)]
+        padded = [f"   {x} " for x in texts]
+        want[lang] = len({x[i : i + 4] for x in padded for i in range(len(x) - 3)})
+        rows += [(i, x, lang, "a") for i, x in enumerate(texts)]
+    many = L.train(documents(spark, rows))
+    assert sum(want.values()) > 450_000
+    assert {x: len(m.keys[4]) for x, m in zip(many.names, many.models, strict=True)} == want
+
+
 def test_rejects_what_is_no_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     trained = L.train(docs)
