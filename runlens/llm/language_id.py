@@ -11,9 +11,9 @@ with the variety of a language's n-grams. The driver makes one model at a time.
 The language of the lowest cross-entropy per symbol is predicted. ``score`` is its share of the
 languages' likelihoods, each taken to the power of the inverse root of the text's length, since
 symbols are not independent. A prediction is rejected (``accepted`` false) if its cross-entropy
-lies further above the mean of a sample of ``CALIBRATION`` training texts of the language than a
-quarter more than any of these do (and ``Z`` deviations at least, which allow for a text's
-length), or if ``score`` is below ``MIN_SCORE``.
+lies further above the mean of all training texts of the language than a quarter more than the
+``PERCENTILE`` of these do (and ``Z`` deviations at least, which allow for a text's length), or if
+``score`` is below ``MIN_SCORE``, or if no limit of the language is known.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, rejected; equal
 cross-entropies go to the language that sorts first; without training texts all are ``und``; rows
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runlens.llm.text import U64, char_counts, chunks, column_bytes, lean, mix, sequence_hashes
+from runlens.operators.facts import attach
 from runlens.sources.store import settle
 
 ORDER = 4
-CALIBRATION = 4_000
+PERCENTILE = 0.99
 Z = 10.0
 MIN_SCORE = 0.5
 _PAD = 0x20
@@ -252,7 +253,7 @@ class Identifier:
         least = entropy[np.arange(n), best]
         odds = np.exp(-(entropy - least[:, None]) * np.sqrt(count)[:, None])
         score = np.where(count > 0, 1 / odds.sum(1), 0.0)
-        known = [self.limits.get(x, (np.inf, 0.0, Z)) for x in self.names]
+        known = [self.limits.get(x, (-np.inf, 0.0, Z)) for x in self.names]
         mean, variance, z = np.array(known)[best].T
         with np.errstate(divide="ignore"):
             limit = mean + z * np.sqrt(variance + 4.0 / count)
@@ -273,14 +274,17 @@ def _models(counts, order):
     return models
 
 
-def train(docs, order=ORDER, calibration=CALIBRATION):
+def train(docs, order=ORDER):
     """The identifier of the languages in ``docs`` (doc_id, lang, text), counted on the cluster."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    rows = docs.where("lang is not null and text is not null").select("lang", "text")
     tool = Identifier(_models(settle(gram_counts(rows, order), "grams", packed=True), order))
-    draw = rows.select(F.xxhash64("doc_id", "lang").alias("draw"), "doc_id", "lang")
-    sample = draw.orderBy("draw", "doc_id", "lang").limit(calibration).select("doc_id", "lang")
-    sample = F.broadcast(sample.distinct())  # ``calibration`` rows at most
-    shared = docs.sparkSession.sparkContext.broadcast(tool)
+    calibrate(rows, tool)
+    return tool
+
+
+def calibrate(rows, tool):
+    """Set the limits of ``tool`` from all ``rows`` (lang, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(tool)
 
     @lean
     def run(batches):
@@ -298,17 +302,16 @@ def train(docs, order=ORDER, calibration=CALIBRATION):
                     ["lang", "own", "n"],
                 )
 
-    chosen = rows.join(sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    own = chosen.mapInArrow(run, "lang string, own double, n long").where("own is not null")
-    own = settle(own, "calibration")
+    own = rows.mapInArrow(run, "lang string, own double, n long").where("own is not null")
+    own = settle(own, "calibration", packed=True)
     limits = own.groupBy("lang").agg(F.avg("own").alias("mean"), F.var_pop("own").alias("var"))
     spread = F.sqrt(F.col("var") + 4.0 / F.col("n"))
-    widest = own.join(F.broadcast(limits), "lang").groupBy("lang", "mean", "var")
-    for lang, mean, variance, z in widest.agg(
-        F.max((F.col("own") - F.col("mean")) / spread).alias("z")
+    z = (F.col("own") - F.col("mean")) / spread
+    widest = attach(own, limits, ["lang"]).groupBy("lang", "mean", "var")
+    for lang, mean, variance, most in widest.agg(
+        F.percentile_approx(z, PERCENTILE, 10_000)
     ).collect():  # a row for each language that the model has
-        tool.limits[lang] = (mean, variance, max(Z, 1.25 * z))
-    return tool
+        tool.limits[lang] = (mean, variance, max(Z, 1.25 * most))
 
 
 def identify(docs, tool, und="und"):

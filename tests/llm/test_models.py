@@ -85,6 +85,22 @@ def test_no_language_loses_grams_to_others(spark):
     assert {x: len(m.keys[4]) for x, m in zip(many.names, many.models, strict=True)} == want
 
 
+def test_limits_come_from_all_texts(spark):
+    """Each language has one, and a garbled text with its label does not open it."""
+    rng = np.random.default_rng(2)
+    letters = lambda low, n: "".join(map(chr, low + rng.integers(0, 5, n)))
+    text = lambda low: " ".join(letters(low, 5) for _ in range(40))
+    rows = [(i, text(97), "aa", "a") for i in range(6000)] + [(7000, text(110), "bb", "a")]
+    rows += [(8000, " ".join(chr(0x3B1 + i % 17) * 3 for i in range(400)), "aa", "a")]
+    trained = L.train(documents(spark, rows))
+    assert set(trained.limits) == {"aa", "bb"}
+    assert {z for _, _, z in trained.limits.values()} == {L.Z}
+    found = {r.doc_id: r.accepted for r in L.identify(documents(spark, rows), trained).collect()}
+    assert not found[8000] and sum(found.values()) == 6001
+    del trained.limits["bb"]
+    assert L.accepted_rows(documents(spark, rows[6000:6001]), trained).count() == 0
+
+
 def test_rejects_what_is_no_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     trained = L.train(docs)
