@@ -8,12 +8,15 @@ from runlens.llm import (
     bottom_k,
     bpe,
     language_id,
+    line_dedup,
     line_frequency,
     mixing,
     ngram_join,
     quality_gam,
     secrets,
+    spelling,
     substring,
+    whitening,
     wrappers,
 )
 
@@ -199,6 +202,38 @@ def _(spark, sf_dir):
     return substring.deduplicated(table(spark, sf_dir, "documents"), digest=True)
 
 
+DEDUP_SQL = r"""
+with d as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as l
+    from documents),
+x as (select row, doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from d),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from x),
+f as (select key, max(doc_id) as keeper from k where length(key) >= 40
+    group by key having count(distinct doc_id) >= 5),
+m as (select k.*, keeper is not null and doc_id is distinct from keeper as gone
+    from k left join f on k.key = f.key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by row
+"""
+
+
+@query("op11_line_dedup", DEDUP_SQL)
+def _(spark, sf_dir):
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op12_qd_whitening")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.components(vectors, whitening.train(vectors))
+
+
+@query("op13_spelling_variants")
+def _(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
