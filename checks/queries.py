@@ -798,6 +798,18 @@ def _(v):
     return sampling.stratified_sample(rows, "o_orderpriority", 200, "o_orderkey")
 
 
+@check(
+    "stratified_sample_fixed",
+    """select o_orderpriority, o_orderkey from (select o_orderpriority, o_orderkey,
+              row_number() over (partition by o_orderpriority
+                  order by ('0x' || substr(md5(concat('1000:', o_orderkey)), 1, 13))::bigint) as k
+              from orders) where k <= 200""",
+)
+def _(v):
+    rows = v.orders.select("o_orderpriority", "o_orderkey")
+    return sampling.fixed_sample(rows, "o_orderpriority", 200, "o_orderkey")
+
+
 # -------------------------------------------------------------------- frames
 
 
@@ -1200,6 +1212,23 @@ def _(v):
     return _experiment(rounded(found, "p50"))
 
 
+@check(
+    "study_latency_multi_home_fixed",
+    f"""with {_RUNS},
+    m as (select prefix, (received_at - sent_at) / 1000000 as latency,
+                 row_number() over (partition by prefix, coordinator >> 24
+                     order by ('0x' || substr(md5(concat('1000:', prefix, '|', txn_id)), 1, 13))::bigint) as k
+          from runs where len(regions) > 1),
+    t as (select prefix, quantile_disc(latency, 0.5) as p50, quantile_disc(latency, 0.99) as p99
+          from m where k <= 200 group by prefix)
+    select p99, {_STUDY_INDEX.format("p50")} from t""",
+)
+def _(v):
+    run = _study_logs(v, "transactions")
+    found = studies.latency_study(run, homes="multi", probs=(0.5, 0.99), fixed=True)
+    return _experiment(rounded(found, "p50"))
+
+
 _RUN_LAT = f"""{_RUNS}, lat as (select *, (received_at - sent_at) / 1000000 as latency,
     substr(prefix, 5, 1) as config_name,
     cast(case substr(prefix, 5, 1) when 'f' then coordinator >> 24 when 'o' then coordinator >> 16

@@ -11,6 +11,7 @@ from runlens.functions.columns import (
 )
 from runlens.functions.paths import (
     config_label,
+    experiment_name,
     tag_from_name,
     with_prefix,
     with_server_fields,
@@ -48,7 +49,7 @@ from runlens.operators.reports import (
     scale_by_max_wide,
     stack_systems,
 )
-from runlens.operators.sampling import sample_rows, stratified_sample
+from runlens.operators.sampling import fixed_sample, sample_rows, stratified_sample
 from runlens.operators.stats import (
     box_stats,
     cdf,

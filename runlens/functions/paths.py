@@ -51,9 +51,22 @@ def with_server_fields(df, path=None):
     )
 
 
-def tag_from_name(df, name, pattern, source="prefix"):
-    """The number that ``pattern`` captures in the experiment name; null if it is not there."""
-    return df.withColumn(name, F.regexp_extract(F.col(source), pattern, 1).try_cast("int"))
+def experiment_name(prefix="prefix", depth=1):
+    """The experiment without the root its logs lie under: the last ``depth`` parts of its path.
+
+    Copies of a log tree agree in it, wherever they lie. ``depth`` is above 1 where experiments
+    are nested, as those of the glob ``"batch*/*"`` are.
+    """
+    return F.regexp_extract(prefix, r"((?:[^/]+/){0,%d}[^/]+)/*$" % (depth - 1), 1)
+
+
+def tag_from_name(df, name, pattern, source="prefix", depth=1):
+    """The number that ``pattern`` captures in the experiment name; null if it is not there.
+
+    The root of the logs is not searched.
+    """
+    found = F.regexp_extract(experiment_name(source, depth), pattern, 1)
+    return df.withColumn(name, found.try_cast("int"))
 
 
 def config_label(df, labels=None, config="config_name", name=None):

@@ -9,8 +9,9 @@ from runlens.functions.columns import (
     packed_region,
     single_home,
 )
+from runlens.functions.paths import experiment_name
 from runlens.operators.facts import as_list, with_metadata
-from runlens.operators.sampling import sample_rows, stratified_sample
+from runlens.operators.sampling import fixed_sample, sample_rows, stratified_sample
 from runlens.operators.stats import DEFAULT_ACCURACY, percentiles
 from runlens.operators.window import run_window
 
@@ -32,9 +33,9 @@ def latency(txns, fraction=1.0, seed=0, key=None, keep=(), **window):
     return rows if fraction >= 1.0 else sample_rows(rows, fraction, key, seed)
 
 
-def named(df, text, name="prefix"):
-    """The rows of the experiments whose name contains ``text``."""
-    return df.where(F.col(name).contains(text))
+def named(df, text, name="prefix", depth=1):
+    """The rows of the experiments whose name contains ``text``, whatever their root."""
+    return df.where(experiment_name(name, depth).contains(text))
 
 
 def latency_percentiles(
@@ -50,10 +51,14 @@ def single_home_percentiles(latencies, index, **options):
     return found.join(index, "prefix")
 
 
-def stratified_percentiles(latencies, index=None, n=200, key=None, seed=1000, shift=24, **options):
+def stratified_percentiles(
+    latencies, index=None, n=200, key=None, seed=1000, shift=24, fixed=False, **options
+):
     """Percentiles of the multi-home transactions per experiment, regions weighted alike.
 
-    Each (experiment, coordinator region) is thinned to about ``n`` transactions first.
+    Each (experiment, coordinator region) is thinned to about ``n`` transactions first, or to
+    exactly ``n`` if ``fixed`` (with a ``key``). Use a key that does not hold the logs' root, so
+    that copies of a tree give the same: ``experiment_name`` next to the transaction's id.
     """
     rows = latencies.where(multi_home()).select(
         "prefix",
@@ -61,7 +66,8 @@ def stratified_percentiles(latencies, index=None, n=200, key=None, seed=1000, sh
         packed_region("coordinator", shift).alias("region"),
         *[k for k in as_list(key) if k not in ("prefix", "latency")],
     )
-    even = stratified_sample(rows, ["prefix", "region"], n, key, seed)
+    thinned = fixed_sample if fixed else stratified_sample
+    even = thinned(rows, ["prefix", "region"], n, key, seed)
     found = latency_percentiles(even, **options)
     return found if index is None else found.join(index, "prefix")
 

@@ -4,7 +4,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from runlens.functions.paths import config_label, tag_from_name
+from runlens.functions.paths import config_label, experiment_name, tag_from_name
 from runlens.sources import logs
 from runlens.sources.index import experiment_index
 from runlens.sources.store import materialize, settle
@@ -37,6 +37,8 @@ class RunLogs:
         self.tags = tags or {}
         self.plain_names = plain_names
         self.options = options or {}
+        #: How many parts of a path name an experiment below the root.
+        self.depth = experiment.strip("/").count("/") + 1
 
     def _table(self, name, read, partition_by="prefix"):
         def build():
@@ -56,7 +58,7 @@ class RunLogs:
         if self.store is None:
             index = settle(index, "index")
         for name, pattern in self.tags.items():
-            index = tag_from_name(index, name, pattern)
+            index = tag_from_name(index, name, pattern, depth=self.depth)
         return config_label(index) if self.plain_names else index
 
     @cached_property
@@ -95,6 +97,10 @@ class RunLogs:
     def resolver(self):
         return self._table("resolver", logs.read_resolver)
 
+    def with_experiment(self, df):
+        """``df`` with the name of each row's ``experiment``, which does not hold the root."""
+        return df.withColumn("experiment", experiment_name("prefix", self.depth))
+
     def experiments(self, **settings):
         """The experiments with the given metadata; a list means any of its values."""
         index = self.index

@@ -50,27 +50,30 @@ def latency_study(
     window=None,
     method="approx",
     accuracy=DEFAULT_ACCURACY,
+    fixed=False,
     **settings,
 ):
     """Latency percentiles of the experiments with their metadata.
 
     ``homes`` is ``"all"``, ``"single"``, or ``"multi"`` for multi-home transactions with regions
-    weighted alike. ``contains`` restricts the experiment names; ``method`` and ``accuracy`` are
-    those of ``percentiles``.
+    weighted alike, of which ``fixed`` takes the same number in each region. ``contains`` restricts
+    the experiment names; ``method`` and ``accuracy`` are those of ``percentiles``.
     """
     if homes not in ("all", "single", "multi"):
         raise ValueError("homes must be 'all', 'single' or 'multi'")
     how = {"method": method, "accuracy": accuracy}
     index = logs.experiments(**settings)
     if contains is not None:
-        index = lat.named(index, contains)
+        index = lat.named(index, contains, depth=logs.depth)
     rows = _of(logs.transactions, index, settings or contains)
     rows = lat.latency(rows, **(window or {}))
     if homes == "single":
         found = lat.single_home_percentiles(rows, index, probs=probs, **how)
     elif homes == "multi":
-        key = ["prefix", "txn_id"]  # ids repeat between experiments, draws shall not
-        found = lat.stratified_percentiles(rows, index, key=key, probs=probs, **how)
+        # Ids repeat between experiments, draws shall not; nor shall they depend on the root.
+        key = ["experiment", "txn_id"]
+        rows = logs.with_experiment(rows)
+        found = lat.stratified_percentiles(rows, index, key=key, probs=probs, fixed=fixed, **how)
     else:
         found = lat.latency_percentiles(rows, probs=probs, **how).join(index, "prefix")
     return found.orderBy(*as_list(order))
@@ -184,15 +187,27 @@ def latency_comparison(logs, report, name, **options):
 
 
 def breakdown_study(
-    logs, start, end, name=None, by_home=True, by_machine=True, fraction=1.0, key="txn_id"
+    logs,
+    start,
+    end,
+    name=None,
+    by_home=True,
+    by_machine=True,
+    fraction=1.0,
+    key=("experiment", "txn_id"),
 ):
-    """Time between two events of the transactions of all experiments (or of one ``name``)."""
+    """Time between two events of the transactions of all experiments (or of one ``name``).
+
+    A ``fraction`` draws whole transactions, each experiment its own.
+    """
     events, txns = logs.client_events, logs.transactions
     if name is not None:
         in_run = F.col("prefix").endswith("/" + name)
         events, txns = events.where(in_run), txns.where(in_run)
     diffs = ev.event_diff(events, txns, start, end, by_home, by_machine)
-    return diffs if fraction >= 1.0 else sample_rows(diffs, fraction, key)
+    if fraction >= 1.0:
+        return diffs
+    return sample_rows(logs.with_experiment(diffs), fraction, key).drop("experiment")
 
 
 def breakdown_cdfs(diffs, keys=("prefix",)):
