@@ -648,6 +648,58 @@ def _(v):
     return events.event_diff_server(rows, "click", "purchase", by_region=True, by_partition=False)
 
 
+_PAIRS = [("click", "purchase"), ("view", "click"), ("purchase", "view"), ("signup", "click")]
+
+
+def _pairs_sql(source, keys, rest="", pairs=_PAIRS, how="max"):
+    """One row per keys and pair, each pair from a query of its own."""
+    return " union all ".join(
+        f"""select {keys}, '{a}_to_{b}' as pair, {how}(time) filter (where event = '{a}') as "from",
+        {how}(time) filter (where event = '{b}') as "to", (("to") - ("from")) / 1000000 as diff{rest}
+        from {source} group by {keys} having "from" is not null and "to" is not null"""
+        for a, b in pairs
+    )
+
+
+@check("event_pairs", _pairs_sql("client_events", "txn_id, machine"))
+def _(v):
+    return events.event_pairs(v.client_events, _PAIRS)
+
+
+@check("event_pairs_server", _pairs_sql("server_events", "txn_id, region, partition", how="min"))
+def _(v):
+    return events.event_pairs(v.server_events, _PAIRS, by=["region", "partition"], time="first")
+
+
+@check(
+    "event_pairs_wide",
+    """select txn_id, machine, home, (max(time) filter (where event = 'purchase')
+           - max(time) filter (where event = 'click')) / 1000000 as buying,
+       (max(time) filter (where event = 'click') - max(time) filter (where event = 'view')) / 1000000 as looking
+       from client_events group by txn_id, machine, home having buying is not null or looking is not null""",
+)
+def _(v):
+    pairs = {"buying": ("click", "purchase"), "looking": ("view", "click")}
+    return events.event_pairs(v.client_events, pairs, by=["machine", "home"], wide=True)
+
+
+@check("event_pairs_merged", _pairs_sql("client_events", "txn_id"))
+def _(v):
+    """States of each machine and home, added up to those of the transaction."""
+    states = store.settle(events.event_states(v.client_events, keys=["txn_id", "machine", "home"]))
+    return events.pairs_of(events.merged_states(states, ["txn_id"]), _PAIRS)
+
+
+@check(
+    "event_pairs_with_transactions",
+    f"""with {_FACTS}, p as ({_pairs_sql("client_events", "txn_id, home")})
+    select p.*, coordinator, regions, partitions, num_regions, num_partitions, coordinator_region
+    from p join f on p.txn_id = f.txn_id""",
+)
+def _(v):
+    return _with_text(events.event_pairs(v.client_events, _PAIRS, v.txns.drop("prefix"), by=["home"]))
+
+
 _HOME_DIFF = f"""{_FACTS}, p as ({_pair_sql("client_events", "txn_id, home")}),
     diffs as (select p.home, p."from", p."to", ("to" - "from") / 1000000 as diff, f.*
               from p join f on p.txn_id = f.txn_id where "from" is not null and "to" is not null)"""
@@ -944,6 +996,18 @@ def _(v):
     return _txn_text(logs.read_transactions(v.spark, root))
 
 
+@check("read_refreshed_store", _TXN_SQL)
+def _(v):
+    """A store that is filled, then follows an experiment that comes later."""
+    rows, late = _txn_logs(v), F.col("_experiment") == "exp-3"
+    store_path = f"{store.scratch_dir(v.spark)}/store-{uuid.uuid4().hex}"
+    root = write_tree(rows.where(~late), "client", "transactions.csv", _TXN_COLS)
+    RunLogs(v.spark, root, store=store_path).transactions
+    write_tree(rows.where(late), "client", "transactions.csv", _TXN_COLS, root=root)
+    found = RunLogs(v.spark, root, store=store_path).transactions
+    return _txn_text(found.select(*[c for c in found.columns if c != "prefix"], "prefix"))
+
+
 @check("read_archives", _TXN_SQL)
 def _(v):
     root = write_tree(_txn_logs(v), "client", "transactions.csv", _TXN_COLS, archives=True)
@@ -1371,6 +1435,45 @@ def _(v):
     )
 
 
+def _event_tree(v):
+    """A tree of one experiment with client events and their transactions."""
+    name, machine = F.lit("exp").alias("_experiment"), F.col("machine").alias("_directory")
+    cols = logs.schemas.names(logs.schemas.CLIENT_EVENTS)
+    root = write_tree(v.client_events.select(name, machine, *cols), "client", "txn_events.csv", cols)
+    rows = _txn_logs(v).withColumn("_experiment", F.lit("exp"))
+    return write_tree(rows, "client", "transactions.csv", _TXN_COLS, root=root)
+
+
+_BREAKDOWNS = f"""with {_FACTS}, p as ({_pairs_sql("client_events", "txn_id, home, machine")})
+    select 'exp' as experiment, p.*, f.num_regions, f.coordinator_region
+    from p join f on p.txn_id = f.txn_id"""
+
+
+def _breakdown_columns(df):
+    return df.withColumn("num_regions", F.col("num_regions").cast("long")).select(
+        "experiment", "txn_id", "home", "machine", "pair", "from", "to", "diff", "num_regions",
+        "coordinator_region",
+    )
+
+
+@check("study_breakdowns", _BREAKDOWNS)
+def _(v):
+    run = RunLogs(v.spark, _event_tree(v))
+    return _breakdown_columns(studies.breakdowns_study(run, _PAIRS, names=["exp"]))
+
+
+@check("event_pairs_in_buckets", _BREAKDOWNS)
+def _(v):
+    """From stored events and transactions that lie together by transaction."""
+    store_path = f"{store.scratch_dir(v.spark)}/store-{uuid.uuid4().hex}"
+    run = RunLogs(v.spark, _event_tree(v), store=store_path)
+    found = events.event_pairs(
+        run.by_transaction("client_events", 8), _PAIRS, run.by_transaction("transactions", 8),
+        by=["home", "machine"],
+    )
+    return _breakdown_columns(_experiment(found))
+
+
 @check(
     "study_deadlock_totals",
     """select concat('exp-mh', wl_mh) as experiment, cast(wl_mh as int) as mh, count(*) as deadlock_cnt,

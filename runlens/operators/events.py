@@ -10,9 +10,13 @@ __all__ = [
     "diff_series",
     "event_diff",
     "event_diff_server",
+    "event_pairs",
+    "event_states",
     "events_latency",
     "gaps",
     "hop_diff",
+    "merged_states",
+    "pairs_of",
     "region_counts",
     "slow_events",
     "txn_facts",
@@ -110,6 +114,103 @@ def hop_diff(events, txns, start, end, region, keys=None):
     return hops.join(facts, keys)
 
 
+def event_states(events, names=None, keys=None):
+    """One row per transaction and machine: ``states``, a map of event to its first and last time.
+
+    From it any number of pairs comes without another shuffle (``pairs_of``). States of parts of a
+    log can be added up by ``merged_states``. With ``names`` only these events are kept, in one
+    scan and one shuffle; without, all kinds of events are, of which a transaction has few, and the
+    times are combined per event first.
+    """
+    keys = run_keys(events) + ["txn_id", "machine"] if keys is None else as_list(keys)
+    known = events.dropna(subset=[*keys, "event", "time"])
+    if names is None:
+        found = known.groupBy(*keys, "event").agg(
+            F.struct(F.min("time").alias("first"), F.max("time").alias("last")).alias("_span")
+        )
+        entry = F.struct(F.col("event").alias("key"), F.col("_span").alias("value"))
+        return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("states"))
+    names = list(dict.fromkeys(names))
+    spans = []
+    for i, name in enumerate(names):
+        time = F.when(F.col("event") == name, F.col("time"))
+        spans += [F.min(time).alias(f"_first_{i}"), F.max(time).alias(f"_last_{i}")]
+    found = known.where(F.col("event").isin(names)).groupBy(*keys).agg(*spans)
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("key"),
+                F.struct(
+                    F.col(f"_first_{i}").alias("first"), F.col(f"_last_{i}").alias("last")
+                ).alias("value"),
+            )
+            for i, name in enumerate(names)
+        ]
+    )
+    seen = F.filter(entries, lambda x: x["value"]["last"].isNotNull())
+    return found.select(*keys, F.map_from_entries(seen).alias("states"))
+
+
+def merged_states(states, keys=None):
+    """States of the same ``keys`` (fewer than before, or those of several parts) as one."""
+    keys = run_keys(states) + ["txn_id", "machine"] if keys is None else as_list(keys)
+    each = states.select(*keys, F.explode("states").alias("event", "_span"))
+    spans = F.struct(F.min("_span.first").alias("first"), F.max("_span.last").alias("last"))
+    found = each.groupBy(*keys, "event").agg(spans.alias("_span"))
+    entry = F.struct(F.col("event").alias("key"), F.col("_span").alias("value"))
+    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("states"))
+
+
+def _named_pairs(pairs):
+    """{name: (start, end)}; pairs given as a list are named ``start_to_end``."""
+    if isinstance(pairs, dict):
+        return {name: tuple(pair) for name, pair in pairs.items()}
+    return {f"{start}_to_{end}": (start, end) for start, end in pairs}
+
+
+def pairs_of(states, pairs, time="last", wide=False):
+    """The time between each pair's events, from ``event_states``.
+
+    ``pairs`` is a list of (start, end) or maps names to them; ``time`` says whether the ``first``
+    or the ``last`` time of an event counts. One row per transaction and pair with both events
+    (``pair``, ``from``, ``to``, ``diff`` in ms), or if ``wide`` one row per transaction with any
+    and a column of ms per pair.
+    """
+    named = _named_pairs(pairs)
+    rest = [c for c in states.columns if c != "states"]
+
+    def at(event):
+        return F.try_element_at("states", F.lit(event))[time]
+
+    if wide:
+        columns = {n: (at(end) - at(start)) / 1000000 for n, (start, end) in named.items()}
+        return states.select(*rest, *[c.alias(n) for n, c in columns.items()]).dropna(
+            how="all", subset=list(columns)
+        )
+    each = F.array(
+        *[
+            F.struct(F.lit(n).alias("pair"), at(start).alias("from"), at(end).alias("to"))
+            for n, (start, end) in named.items()
+        ]
+    )
+    both = F.filter(each, lambda x: x["from"].isNotNull() & x["to"].isNotNull())
+    rows = states.select(*rest, F.explode(both).alias("_pair")).select(*rest, "_pair.*")
+    return rows.withColumn("diff", (F.col("to") - F.col("from")) / 1000000)
+
+
+def event_pairs(events, pairs, txns=None, by=("machine",), time="last", wide=False, keys=None):
+    """E1, E2, E3 for any number of pairs of events at once: one scan and one shuffle of the log.
+
+    ``by`` are the columns besides the transaction that an event is told apart by (``home``,
+    ``machine``, or ``region`` and ``partition`` of server events). With ``txns`` the facts of the
+    transactions are joined, as in ``event_diff``.
+    """
+    keys = run_keys(*[t for t in (events, txns) if t is not None]) + ["txn_id"] if keys is None else as_list(keys)
+    names = [event for pair in _named_pairs(pairs).values() for event in pair]
+    found = pairs_of(event_states(events, names, [*keys, *as_list(by)]), pairs, time, wide)
+    return found if txns is None else found.join(txn_facts(txns, keys), keys)
+
+
 def slow_events(diffs, ms, diff="diff"):
     """E5: the pairs that took longer than ``ms``."""
     return diffs.where(F.col(diff) > ms)

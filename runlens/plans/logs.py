@@ -1,11 +1,14 @@
 """The logs of a root folder as tables, read from CSV or from a columnar store."""
 
 from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import config_label, experiment_name, tag_from_name
 from runlens.sources import logs
+from runlens.sources.buckets import bucketed
+from runlens.sources.incremental import followed, synced
 from runlens.sources.index import experiment_index
 from runlens.sources.store import materialize, settle
 
@@ -13,8 +16,11 @@ from runlens.sources.store import materialize, settle
 class RunLogs:
     """All logs below ``root``; each table covers all experiments, keyed by ``prefix``.
 
-    With ``store`` a table is converted to Parquet once, laid out by experiment, and read from
-    there: studies then read only the columns and experiments they use. ``tags`` maps a column
+    With ``store`` a table is converted to Parquet, laid out by experiment, and read from there:
+    studies then read only the columns and experiments they use. ``refresh`` says what a store does
+    when a table is first used: ``"changed"`` (default) lists the logs and rebuilds the experiments
+    that are new or whose files changed, ``"all"`` rebuilds everything, ``"never"`` takes the store
+    as it is. ``tags`` maps a column
     name to the pattern of a number in the experiment names. ``options`` maps the name of a table
     to more arguments of its reader, for logs of an old layout: ``{"deadlocks": {"region_col":
     "replica"}, "measurements": {"legacy": True}, "resolver": {"server": "1-0"}}``.
@@ -29,7 +35,11 @@ class RunLogs:
         tags=None,
         plain_names=False,
         options=None,
+        refresh="changed",
     ):
+        if refresh not in ("changed", "all", "never"):
+            raise ValueError("refresh must be 'changed', 'all' or 'never'")
+        self.refresh = refresh
         self.spark = spark
         self.root = root
         self.store = store
@@ -40,13 +50,42 @@ class RunLogs:
         #: How many parts of a path name an experiment below the root.
         self.depth = experiment.strip("/").count("/") + 1
 
-    def _table(self, name, read, partition_by="prefix"):
-        def build():
-            return read(self.spark, self.root, self.experiment, **self.options.get(name, {}))
+    def _table(self, name, read):
+        def build(prefixes=None):
+            chosen = self.experiment if prefixes is None else [self._name(p) for p in prefixes]
+            return read(self.spark, self.root, chosen, **self.options.get(name, {}))
 
         if self.store is None:
             return build()
-        return materialize(self.spark, f"{self.store}/{name}", build, partition_by=partition_by)
+        path = f"{self.store}/{name}"
+        if self.refresh == "never":
+            return materialize(self.spark, path, build, partition_by="prefix")
+        side, file = logs.FILES[name]
+        sources = logs.log_paths(self.root, self.experiment, side, "*", file)
+        return synced(self.spark, path, sources, build, self.refresh == "all")
+
+    def _name(self, prefix):
+        """The name below the root of an experiment's path, which Spark gives as a URI."""
+        return "/".join(unquote(part) for part in prefix.rstrip("/").split("/")[-self.depth :])
+
+    def _index(self):
+        """The index, rebuilt as a whole when a metadata file changed: it is small."""
+
+        def build():
+            return experiment_index(
+                self.spark, self.root, self.experiment, **self.options.get("index", {})
+            )
+
+        if self.store is None:
+            return settle(build(), "index")
+        path = f"{self.store}/index"
+        if self.refresh == "never":
+            return materialize(self.spark, path, build)
+        sources = [
+            logs.log_paths(self.root, self.experiment, side, "*", "metadata.csv")
+            for side in ("client", "server")
+        ]
+        return followed(self.spark, path, sources, build, self.refresh == "all")
 
     @cached_property
     def index(self):
@@ -54,13 +93,35 @@ class RunLogs:
 
         It is a stored table in any case, so that its real size is known to the joins.
         """
-        index = self._table("index", experiment_index, None)
-        if self.store is None:
-            index = settle(index, "index")
+        index = self._index()
         for name, pattern in self.tags.items():
             index = tag_from_name(index, name, pattern, depth=self.depth)
         return config_label(index) if self.plain_names else index
 
+    def by_transaction(self, name, buckets=None):
+        """A client log (``transactions``, ``client_events``) dealt into buckets by transaction.
+
+        Joins of two such tables on (prefix, txn_id), and the sums of events before them, move no
+        rows. Needs a ``store``; ``buckets`` (``spark.sql.shuffle.partitions`` by default) must be
+        the same for both, about 200 MB each. A changed log is dealt anew as a whole.
+        """
+        if self.store is None:
+            raise ValueError("a layout by transaction needs a store")
+        buckets = int(buckets or self.spark.conf.get("spark.sql.shuffle.partitions"))
+        side, file = logs.FILES[name]
+        path = f"{self.store}/{name}_by_transaction"
+
+        def keep(spark, path, build, refresh=False):
+            return bucketed(spark, path, build, ["prefix", "txn_id"], buckets, refresh)
+
+        def build():
+            return getattr(self, name)
+
+        if self.refresh == "never":
+            return keep(self.spark, path, build)
+        sources = logs.log_paths(self.root, self.experiment, side, "*", file)
+        return followed(self.spark, path, sources, build, self.refresh == "all", keep)
+
     @cached_property
     def transactions(self):
         return self._table("transactions", logs.read_transactions)

@@ -210,6 +210,38 @@ def breakdown_study(
     return sample_rows(logs.with_experiment(diffs), fraction, key).drop("experiment")
 
 
+def breakdowns_study(
+    logs,
+    pairs,
+    names=None,
+    by_home=True,
+    by_machine=True,
+    fraction=1.0,
+    key=("experiment", "txn_id"),
+    **settings,
+):
+    """Time between many pairs of events, of all experiments or those of ``names``, in one job.
+
+    One row per transaction, home, machine and ``pair``, with the transaction's facts and the name
+    of its ``experiment``; ``pairs`` as in ``event_pairs``. A ``fraction`` draws whole
+    transactions, each experiment its own, before they are moved.
+    """
+    events = logs.with_experiment(logs.client_events)
+    txns = logs.transactions
+    if names is not None:
+        events = events.where(F.col("experiment").isin(as_list(names)))
+        txns = logs.with_experiment(txns).where(F.col("experiment").isin(as_list(names)))
+        txns = txns.drop("experiment")
+    if settings:
+        index = logs.experiments(**settings)
+        events, txns = _of(events, index, settings), _of(txns, index, settings)
+    if fraction < 1.0:
+        events = sample_rows(events, fraction, key)
+    by = ["home"] * by_home + ["machine"] * by_machine
+    found = ev.event_pairs(events.drop("experiment"), pairs, txns, by)
+    return logs.with_experiment(found)
+
+
 def breakdown_cdfs(diffs, keys=("prefix",)):
     """The distribution of the time between two events, per ``keys``."""
     return cdf(diffs, as_list(keys), "diff")

@@ -1,13 +1,16 @@
 """Readers of the per-machine logs of all experiments below a root.
 
 A log lies at ``{root}/{experiment}/client/{machine}/{file}`` or
-``{root}/{experiment}/server/{region}-{partition}/{file}``. ``experiment`` may be a glob; every
-reader covers all matching experiments in one scan and tags the rows with their ``prefix``.
+``{root}/{experiment}/server/{region}-{partition}/{file}``. ``experiment`` may be a glob or a list
+of names; every reader covers all matching experiments in one scan and tags the rows with their
+``prefix``.
 
 Columns bind by position and headers are not compared with the layout, so logs with renamed
 columns can be read; ``check_header=True`` makes Spark compare them.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 from runlens import schemas
@@ -22,12 +25,38 @@ def scan(spark, path, schema, check_header=False):
     return reader.option("enforceSchema", not check_header).csv(path)
 
 
+#: The side and the file of each log.
+FILES = {
+    "transactions": ("client", "transactions.csv"),
+    "summary": ("client", "summary.csv"),
+    "deadlocks": ("server", "deadlocks.csv"),
+    "txn_timestamps": ("server", "txn_timestamps.csv"),
+    "measurements": ("server", "generic.csv"),
+    "client_events": ("client", "txn_events.csv"),
+    "server_events": ("server", "events.csv"),
+    "link_latency": ("server", "forw_sequ_latency.csv"),
+    "resolver": ("server", "deadlock_resolver.csv"),
+}
+
+
+def literal(name):
+    """A path that a glob matches as it is."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def log_paths(root, experiment, side, directory, file):
+    """The glob of a log; ``experiment`` is a glob, or a list of the names of experiments."""
+    if isinstance(experiment, (list, tuple)):
+        return [f"{root}/{literal(name)}/{side}/{directory}/{file}" for name in experiment]
+    return f"{root}/{experiment}/{side}/{directory}/{file}"
+
+
 def client_path(root, experiment, file, machine="*"):
-    return f"{root}/{experiment}/client/{machine}/{file}"
+    return log_paths(root, experiment, "client", machine, file)
 
 
 def server_path(root, experiment, file, server="*"):
-    return f"{root}/{experiment}/server/{server}/{file}"
+    return log_paths(root, experiment, "server", server, file)
 
 
 def typed_transactions(df):

@@ -21,6 +21,26 @@ def exists(spark, path):
     return fs.exists(jpath)
 
 
+def delete(spark, path):
+    """Delete a file or folder, if it is there."""
+    jpath, fs = _hadoop_path(spark, path)
+    return fs.delete(jpath, True)
+
+
+def files_below(spark, path):
+    """The names of the files in a folder; none if there is no such folder."""
+    jpath, fs = _hadoop_path(spark, path)
+    if not fs.exists(jpath):
+        return set()
+    return {status.getPath().getName() for status in fs.listStatus(jpath)}
+
+
+def write_schema(rows, path):
+    """Keep the schema beside the rows, since an empty table has no file that knows it."""
+    kept = rows.sparkSession.createDataFrame([(rows.schema.json(),)], "value string")
+    kept.coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
+
+
 def scratch_dir(spark):
     """The folder for short-lived tables, below the checkpoint folder the cluster names.
 
@@ -68,14 +88,12 @@ def scratch(spark):
         yield
     finally:
         for path in _SETTLED.pop():
-            jpath, fs = _hadoop_path(spark, path)
-            fs.delete(jpath, True)
+            delete(spark, path)
 
 
 def clear_scratch(spark):
     """Delete the tables this application settled; call it when their results are consumed."""
-    jpath, fs = _hadoop_path(spark, scratch_dir(spark))
-    return fs.delete(jpath, True)
+    return delete(spark, scratch_dir(spark))
 
 
 def materialize(spark, path, build, refresh=False, partition_by=None):
@@ -90,8 +108,6 @@ def materialize(spark, path, build, refresh=False, partition_by=None):
         result: DataFrame = build()
         writer = result.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        # The schema lies beside the rows, since an empty table has no file that knows it.
-        kept = spark.createDataFrame([(result.schema.json(),)], "value string")
-        kept.coalesce(1).write.text(f"{path}/_schema")
+        write_schema(result, path)
     schema = json.loads(spark.read.text(f"{path}/_schema").first()[0])
     return spark.read.schema(StructType.fromJson(schema)).parquet(path)

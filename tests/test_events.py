@@ -1,7 +1,12 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 import runlens as rl
+from runlens.operators import events as ev
 from runlens.plans import studies
+from tests.test_plans import nodes, plan
 
 MS = 1000000
 
@@ -94,3 +99,74 @@ def test_breakdown_study(spark, tree):
     assert {r.prefix.split("/")[-1] for r in one.collect()} == {"base-sz19"}
     curve = studies.breakdown_cdfs(one, "coordinator_region").collect()
     assert sorted(r.y for r in curve if r.coordinator_region == 0) == [0.5, 1.0]
+
+
+def many_pairs(spark):
+    rows = [
+        ("r", 1, 0, "A", 10), ("r", 1, 0, "A", 30), ("r", 1, 0, "B", 90), ("r", 1, 0, "C", 95),
+        ("r", 1, 1, "A", 5), ("r", 2, 0, "B", 7), ("r", 2, 0, "C", None), ("r", 3, 0, None, 4),
+        ("s", 1, 0, "A", 1), ("s", 1, 0, "B", 2), (None, 1, 0, "A", 1), (None, 1, 0, "B", 9),
+    ]
+    rows = [(p, t, m, e, None if x is None else x * 1e6) for p, t, m, e, x in rows]
+    return spark.createDataFrame(rows, "prefix string, txn_id long, machine int, event string, time double")
+
+
+PAIRS = {"ab": ("A", "B"), "bc": ("B", "C"), "ac": ("A", "C"), "none": ("A", "Z")}
+
+
+def test_many_pairs_at_once(spark):
+    events = many_pairs(spark)
+    rows = ev.event_pairs(events, PAIRS).collect()
+    found = sorted((r.prefix, r.txn_id, r.machine, r.pair, r["diff"]) for r in rows)
+    assert found == [("r", 1, 0, "ab", 60), ("r", 1, 0, "ac", 65), ("r", 1, 0, "bc", 5), ("s", 1, 0, "ab", 1)]
+    first = ev.event_pairs(events, PAIRS, time="first").where("pair = 'ab' and prefix = 'r'").first()
+    assert first["diff"] == 80
+    wide = {r.prefix: r for r in ev.event_pairs(events, PAIRS, wide=True).collect()}
+    assert wide["r"].asDict() == {
+        "prefix": "r", "txn_id": 1, "machine": 0, "ab": 60, "bc": 5, "ac": 65, "none": None
+    }
+    assert wide["s"].ac is None and len(wide) == 2
+
+
+def test_pairs_agree_with_one_pair_at_a_time(spark):
+    events = many_pairs(spark)
+    for name, (start, end) in PAIRS.items():
+        one = sorted(ev.events_latency(events, start, end, "diff").collect())
+        many = ev.event_pairs(events, [(start, end), ("B", "A")]).where(F.col("pair") == f"{start}_to_{end}")
+        assert sorted(many.select("prefix", "txn_id", "machine", "diff").collect()) == one, name
+
+
+def test_states_of_parts_add_up(spark):
+    events = many_pairs(spark)
+    half = [ev.event_states(events.where(F.col("time") % 2e6 == k)) for k in (0.0, 1e6)]
+    merged = ev.merged_states(half[0].unionByName(half[1]))
+    whole = ev.event_states(events)
+    named = ev.event_states(events, ["A", "B", "C", "B"])
+    want = sorted(ev.pairs_of(whole, PAIRS).collect())
+    assert sorted(ev.pairs_of(merged, PAIRS).collect()) == want
+    assert sorted(ev.pairs_of(named, PAIRS).collect()) == want
+
+
+def test_pairs_take_one_scan_and_one_shuffle(spark):
+    stored = rl.settle(many_pairs(spark))
+    pairs = [(a, b) for a in "ABCDEF" for b in "ABCDEF" if a != b]
+    for wide in (False, True):
+        found = ev.event_pairs(stored, pairs, wide=wide)
+        assert nodes(found, "Exchange") == 1 and nodes(found, "Scan parquet") == 1
+    assert "partial_max" in plan(found), "times are combined before they are moved"
+
+
+def test_breakdowns_of_runs(spark, tree):
+    logs = rl.RunLogs(spark, tree)
+    pairs = [("ENTER_WORKER", "EXIT_WORKER"), ("EXIT_WORKER", "ENTER_WORKER")]
+    rows = studies.breakdowns_study(logs, pairs).collect()
+    one = studies.breakdown_study(logs, *pairs[0]).collect()
+    assert sorted(r["diff"] for r in rows if r.pair == "ENTER_WORKER_to_EXIT_WORKER") == sorted(
+        r["diff"] for r in one
+    )
+    assert len(rows) == 2 * len(one) and {r.experiment for r in rows} == set(os.listdir(tree))
+    few = studies.breakdowns_study(logs, pairs, names=["base-sz19"]).collect()
+    assert {r.experiment for r in few} == {"base-sz19"}
+    by_index = studies.breakdowns_study(logs, pairs, clients=3000).collect()
+    assert sorted(map(str, by_index)) == sorted(map(str, few))
+    assert studies.breakdowns_study(logs, pairs, fraction=0.0).count() == 0
