@@ -1309,6 +1309,28 @@ def _(v):
     return _experiment(rounded(found, "p50"))
 
 
+@check(
+    "percentiles_from_stored_bins",
+    f"""with {_RUN_LAT}
+    select prefix as experiment, machine, cast(null as varchar) as config_name, {_P4} from lat group by 1, 2
+    union all select prefix, null, null, {_P4} from lat group by 1
+    union all select null, null, config_name, {_P4} from lat group by 3""",
+)
+def _(v):
+    """Exact percentiles of three roll-ups from the counts of one store."""
+    run = _study_logs(v, "transactions")
+    run.store = f"{store.scratch_dir(v.spark)}/store-{uuid.uuid4().hex}"
+    rows = with_metadata(latency.latency(run.transactions, keep=["machine"]), run.index, stored=True)
+    bins = with_metadata(run.latency_bins, run.index, stored=True)
+    found = None
+    for keys in (["prefix", "machine"], ["prefix"], ["config_name"]):
+        part = stats.percentiles(rows, keys, "latency", _FOUR, method="exact", bins=bins)
+        missing = {"prefix": "string", "machine": "int", "config_name": "string"}
+        part = part.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in keys})
+        found = part if found is None else found.unionByName(part)
+    return _experiment(found)
+
+
 @check(
     "study_latency_single_home",
     f"""with {_RUN_LAT}, t as (select prefix, {_P4} from lat where len(regions) = 1 group by prefix)

@@ -12,7 +12,7 @@ from runlens.functions.columns import (
 from runlens.functions.paths import experiment_name
 from runlens.operators.facts import as_list, with_metadata
 from runlens.operators.sampling import fixed_sample, sample_rows, stratified_sample
-from runlens.operators.stats import DEFAULT_ACCURACY, percentiles
+from runlens.operators.stats import DEFAULT_ACCURACY, percentiles, value_bins
 from runlens.operators.window import run_window
 
 
@@ -39,10 +39,16 @@ def named(df, text, name="prefix", depth=1):
 
 
 def latency_percentiles(
-    latencies, keys="prefix", probs=(0.5, 0.99), accuracy=DEFAULT_ACCURACY, method="approx"
+    latencies, keys="prefix", probs=(0.5, 0.99), accuracy=DEFAULT_ACCURACY, method="approx", bins=None
 ):
-    """M9 on latencies."""
-    return percentiles(latencies, keys, "latency", probs, accuracy, method=method)
+    """M9 on latencies; ``bins`` as in ``percentiles``."""
+    return percentiles(latencies, keys, "latency", probs, accuracy, method=method, bins=bins)
+
+
+def latency_bins(txns, keys=("prefix", "machine")):
+    """Counts of all latencies per bin, for exact percentiles of any roll-up of ``keys``."""
+    rows = latency(txns, keep=[k for k in as_list(keys) if k != "prefix"])
+    return value_bins(rows, as_list(keys), "latency")
 
 
 def single_home_percentiles(latencies, index, **options):
@@ -83,15 +89,20 @@ def latency_by_region(latencies, index, shifts=None, condition=None, stored=Fals
 
 
 def throughput_latency_curve(
-    throughputs, latencies, probs=(0.5, 0.9, 0.95, 0.99), accuracy=DEFAULT_ACCURACY, method="approx"
+    throughputs,
+    latencies,
+    probs=(0.5, 0.9, 0.95, 0.99),
+    accuracy=DEFAULT_ACCURACY,
+    method="approx",
+    bins=None,
 ):
     """Throughput next to latency percentiles per configuration and client count.
 
     Both inputs carry ``config_name`` and ``clients``; ``latencies`` is a result of
-    ``latency_by_region``.
+    ``latency_by_region``. ``bins`` as in ``percentiles``.
     """
     by = ["config_name", "clients"]
-    found = percentiles(latencies, by, "latency", probs, accuracy, method=method)
+    found = percentiles(latencies, by, "latency", probs, accuracy, method=method, bins=bins)
     return (
         throughputs.select(*by, "throughput")
         .join(found, by)

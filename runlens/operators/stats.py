@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import MapType, VariantType
 
 from runlens.operators.facts import as_list, attach, with_facts
 from runlens.operators.ordering import (
@@ -28,6 +28,7 @@ def percentiles(
     accuracy=DEFAULT_ACCURACY,
     prefix="p",
     method="approx",
+    bins=None,
 ):
     """M9: percentiles of ``value`` per key, one column each (``p50``, ``p90``, ...).
 
@@ -37,12 +38,15 @@ def percentiles(
     ``exact`` finds the smallest value with at least that share of the rows at or below it, for
     keys of any size and alike in every run; a key without a value gets no row. ``df`` is read
     twice: counts per bin tell in which bins the wanted ranks lie, and only the values of these
-    bins are ordered.
+    bins are ordered. With ``bins``, a stored result of ``value_bins`` on the same rows, the counts
+    are added up from there and ``df`` is read once.
     """
     keys, probs = as_list(keys), list(probs)
     names = percentile_names(probs, prefix)
     if method == "exact":
-        return _exact_percentiles(df, keys, value, probs, names)
+        return _exact_percentiles(df, keys, value, probs, names, bins)
+    if bins is not None:
+        raise ValueError("bins serve the exact method")
     if method != "approx":
         raise ValueError("method must be 'approx' or 'exact'")
     found = df.groupBy(*keys).agg(F.percentile_approx(value, probs, accuracy).alias("_found"))
@@ -58,12 +62,28 @@ def _bin(value):
     return F.when(F.isnan(x), 2_000_000).when(x == 0, 0).when(x > 0, size).otherwise(-size)
 
 
-def _exact_percentiles(df, keys, value, probs, names):
-    valued = df.where(F.col(value).isNotNull()).select(*keys, value, _bin(value).alias("_bin"))
+def _with_bins(df, keys, value):
+    return df.where(F.col(value).isNotNull()).select(*keys, value, _bin(value).alias("_bin"))
+
+
+def value_bins(df, keys, value):
+    """How many values of each key lie in each bin: keys, ``_bin`` and ``_n``.
+
+    A table of bounded size (a bin spans less than one percent of its values) from which exact
+    percentiles for these keys, or any coarser ones, start without a scan (``percentiles(...,
+    bins=)``). Counts of parts of a log, or of new experiments, are appended; they add up.
+    """
+    keys = as_list(keys)
+    return _with_bins(df, keys, value).groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _exact_percentiles(df, keys, value, probs, names, bins=None):
+    valued = _with_bins(df, keys, value)
     by_key = Window.partitionBy(*keys)  # over bins, of which a key has a bounded number
     bins = (
-        valued.groupBy(*keys, "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        (value_bins(df, keys, value) if bins is None else bins)
+        .groupBy(*keys, "_bin")
+        .agg(F.sum("_n").alias("_n"))
         .withColumn("_to", F.sum("_n").over(by_key.orderBy("_bin")))
         .withColumn("_all", F.sum("_n").over(by_key))
     )
@@ -221,21 +241,37 @@ def box_stats(df, keys, x, whisker=1.5):
     )
 
 
+_CHUNK = 10_000  # how many equal rows are one row until the end
+
+
+def _runs(df):
+    """Equal rows as one row per ``_CHUNK`` of them (``_chunk``), with their number (``_n``).
+
+    Without a way to group by its columns (a variant, say) each row stays one.
+    """
+    kinds = (MapType, VariantType)
+    if any(isinstance(f.dataType, kinds) for f in df.schema.fields):
+        return df.withColumns({"_n": F.lit(1).cast("long"), "_chunk": F.lit(0).cast("long")})
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_all"))
+    last = F.floor((F.col("_all") - 1) / _CHUNK)
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    size = F.least(F.lit(_CHUNK), F.col("_all") - F.col("_chunk") * _CHUNK)
+    return chunks.withColumn("_n", size.cast("long")).drop("_all")
+
+
 def gaps(df, keys, t, tiebreak=None, drop_first=True):
     """The time from each row to the next of its series (``gap``), null at the end.
 
     ``drop_first`` leaves out the earliest row of each series. Rows without a time are left out.
-    Without ``tiebreak`` rows of one time are ordered by a hash of their columns. One copy of the
-    rows is stored.
+    Without ``tiebreak`` rows of one time are ordered by a hash of their columns. Equal rows are
+    counted before they are ordered and expanded at the end, in chunks of a bounded size that are
+    dealt over the tasks, so that any number of them does no harm. One copy of the rows is stored.
     """
     keys, ties = as_list(keys), as_list(tiebreak)
-    timed = df.where(F.col(t).isNotNull())
-    if ties:
-        placed = in_pieces(timed, keys, [t, *ties])
-    else:
-        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-        salted = timed.withColumn("_salt", F.xxhash64(*hashed))
-        placed = in_pieces(salted, keys, [t, "_salt"]).drop("_salt")
+    runs = _runs(df.where(F.col(t).isNotNull()))
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    salted = runs.withColumn("_salt", F.xxhash64(*hashed))
+    placed = in_pieces(salted, keys, [t, *ties, "_salt", "_chunk"]).drop("_salt", "_chunk")
     by_key = Window.partitionBy(*keys)
     pieces = (
         placed.groupBy(*keys, "_piece")
@@ -247,7 +283,14 @@ def gaps(df, keys, t, tiebreak=None, drop_first=True):
     following = F.lead(t).over(Window.partitionBy(*keys, "_piece").orderBy("_pos"))
     series = attach(placed.withColumn("_next", following), pieces, [*keys, "_piece"])
     if drop_first:
-        series = series.where(F.col("_pos") != F.col("_first"))
-    return series.withColumn("gap", F.coalesce("_next", "_next_head") - F.col(t)).drop(
-        "_pos", "_piece", "_first", "_next", "_next_head"
-    )
+        left = F.when(F.col("_pos") == F.col("_first"), F.col("_n") - 1).otherwise(F.col("_n"))
+        series = series.withColumn("_n", left).where("_n > 0")
+    # The last of equal rows is followed by another time, the others by themselves.
+    series = series.withColumn("_next", F.coalesce("_next", "_next_head"))
+    if not placed.where("_n > 1").isEmpty():
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        series = series.repartition(tasks, "_pos")
+        series = series.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+        series = series.withColumn("_next", F.when(F.col("_i") < F.col("_n"), F.col(t)).otherwise(F.col("_next")))
+    gap = F.col("_next") - F.col(t)
+    return series.select(*[c for c in df.columns], gap.alias("gap"))

@@ -6,6 +6,7 @@ from urllib.parse import unquote
 from pyspark.sql import functions as F
 
 from runlens.functions.paths import config_label, experiment_name, tag_from_name
+from runlens.operators.latency import latency_bins
 from runlens.sources import logs
 from runlens.sources.buckets import bucketed
 from runlens.sources.incremental import followed, synced
@@ -126,6 +127,27 @@ class RunLogs:
     def transactions(self):
         return self._table("transactions", logs.read_transactions)
 
+    @cached_property
+    def latency_bins(self):
+        """Stored counts of latencies per bin, experiment and machine; None without a store.
+
+        They follow the logs as tables do: the counts of new or changed experiments alone are made.
+        """
+        if self.store is None:
+            return None
+        path, (side, file) = f"{self.store}/latency_bins", logs.FILES["transactions"]
+
+        def build(prefixes=None):
+            rows = self.transactions
+            if prefixes is not None:
+                rows = rows.where(F.col("prefix").isin(prefixes))
+            return latency_bins(rows)
+
+        if self.refresh == "never":
+            return materialize(self.spark, path, build, partition_by="prefix")
+        sources = logs.log_paths(self.root, self.experiment, side, "*", file)
+        return synced(self.spark, path, sources, build, self.refresh == "all")
+
     @cached_property
     def summary(self):
         return self._table("summary", logs.read_summary)

@@ -57,7 +57,8 @@ def latency_study(
 
     ``homes`` is ``"all"``, ``"single"``, or ``"multi"`` for multi-home transactions with regions
     weighted alike, of which ``fixed`` takes the same number in each region. ``contains`` restricts
-    the experiment names; ``method`` and ``accuracy`` are those of ``percentiles``.
+    the experiment names; ``method`` and ``accuracy`` are those of ``percentiles``. Exact percentiles
+    of all transactions start from the counts in the logs' store, if they have one.
     """
     if homes not in ("all", "single", "multi"):
         raise ValueError("homes must be 'all', 'single' or 'multi'")
@@ -75,7 +76,10 @@ def latency_study(
         rows = logs.with_experiment(rows)
         found = lat.stratified_percentiles(rows, index, key=key, probs=probs, fixed=fixed, **how)
     else:
-        found = lat.latency_percentiles(rows, probs=probs, **how).join(index, "prefix")
+        bins = logs.latency_bins if method == "exact" and not window else None
+        if bins is not None:
+            bins = _of(bins, index, settings or contains)
+        found = lat.latency_percentiles(rows, probs=probs, bins=bins, **how).join(index, "prefix")
     return found.orderBy(*as_list(order))
 
 
@@ -131,7 +135,10 @@ def throughput_latency_study(
     index = logs.experiments(**settings)
     rows = _of(logs.transactions, index, settings)
     latencies = lat.latency_by_region(lat.latency(rows), index, shifts, stored=True)
-    return lat.throughput_latency_curve(rates, latencies, FOUR, accuracy, method)
+    bins = logs.latency_bins if method == "exact" else None
+    if bins is not None:
+        bins = with_metadata(bins, index, stored=True)
+    return lat.throughput_latency_curve(rates, latencies, FOUR, accuracy, method, bins)
 
 
 def rate_study(logs, **settings):

@@ -2,6 +2,7 @@
 
 import math
 import os
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 import runlens as rl
 from runlens.functions.sampling import draw
+from runlens.operators import stats
 from runlens.operators.ordering import accumulated, in_pieces, ranked, spread
+from runlens.plans import studies
 from runlens.sources import store
 
 
@@ -258,3 +261,84 @@ def test_frames(spark):
     assert [tuple(r) for r in best] == [(5, None), (10, 2001.0)]
     assert [tuple(r) for r in wide.collect()] == [(5, None, None), (10, 2000.0, 500.0)]
     assert [r.clients for r in rl.axis_values(df, "clients", desc=True).collect()] == [10, 5]
+
+
+def test_percentiles_of_roll_ups_from_stored_bins(spark, skewed):
+    df, _ = skewed
+    df = rl.settle(df.withColumns({"half": F.col("id") % 2, "odd": F.lit(1)}))
+    parts = [stats.value_bins(df.where(F.col("id") % 3 == k), ["key", "half"], "x") for k in range(3)]
+    bins = rl.settle(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    for keys in (["key", "half"], ["key"], ["half"], []):
+        found = rl.percentiles(df, keys, "x", (0.01, 0.5, 0.999), method="exact", bins=bins)
+        plain = rl.percentiles(df, keys, "x", (0.01, 0.5, 0.999), method="exact")
+        assert sorted(found.collect()) == sorted(plain.collect())
+    with pytest.raises(ValueError, match="exact"):
+        rl.percentiles(df, "key", "x", bins=bins)
+
+
+def test_stored_bins_spare_the_first_scan(spark, monkeypatch):
+    """With bins the log is read once, for the values in the wanted bins."""
+    rows = spark.range(0, 50_000, 1, 4)
+    df = rl.settle(rows.select((F.col("id") % 3).alias("key"), (F.col("id") * 1.0).alias("x")))
+    bins = rl.settle(stats.value_bins(df, "key", "x"))
+    plain = rl.percentiles(df, "key", "x", method="exact").collect()
+    read = []
+    monkeypatch.setattr(stats, "_with_bins", lambda *args, f=stats._with_bins: read.append(1) or f(*args))
+    assert sorted(rl.percentiles(df, "key", "x", method="exact", bins=bins).collect()) == sorted(plain)
+    assert len(read) == 1
+    rl.percentiles(df, "key", "x", method="exact")
+    assert len(read) == 3
+
+
+def test_bins_in_a_store_follow_the_logs(spark, tree, tmp_path):
+    root, kept = f"{tmp_path}/logs", f"{tmp_path}/store"
+    shutil.copytree(tree, root)
+    first = rl.RunLogs(spark, root, store=kept)
+    assert first.latency_bins.agg(F.sum("_n")).first()[0] == 10
+    shutil.copytree(f"{root}/base-sz19", f"{root}/later-sz3")
+    logs = rl.RunLogs(spark, root, store=kept)
+    found = studies.latency_study(logs, method="exact")
+    plain = studies.latency_study(rl.RunLogs(spark, root), method="exact")
+    assert sorted(found.select(*plain.columns).collect()) == sorted(plain.collect())
+    assert found.count() == 3
+    one = studies.latency_study(logs, method="exact", clients=200)
+    assert one.count() == 1 and one.first()["p50"] == [r for r in plain.collect() if r.clients == 200][0]["p50"]
+
+
+def test_gaps_of_equal_rows_spread_over_pieces(spark, monkeypatch):
+    n = 1_000_000
+    rows = spark.range(0, n, 1, 8).select(F.lit("a").alias("key"), F.lit(5).alias("t"))
+    rows = rows.unionByName(spark.createDataFrame([("a", 1), ("a", 9), ("b", 5)], "key string, t int"))
+    sizes = []
+    place = stats.in_pieces
+
+    def seen(*args):
+        placed = place(*args)
+        sizes.extend(r["n"] for r in placed.groupBy("_piece").agg(F.sum("_n").alias("n")).collect())
+        return placed
+
+    monkeypatch.setattr(stats, "in_pieces", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = rl.gaps(rows, "key", "t", drop_first=False)
+        counts = {(r.key, r.t, r.gap): r["count"] for r in found.groupBy("key", "t", "gap").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert counts == {("a", 1, 4): 1, ("a", 5, 0): n - 1, ("a", 5, 4): 1, ("a", 9, None): 1, ("b", 5, None): 1}
+    assert len(sizes) == 8 and max(sizes) < n / 4
+    per_task = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 8 and max(r["count"] for r in per_task) < n / 3
+
+
+def test_gaps_of_rows_that_cannot_be_grouped(spark):
+    rows = [("a", t, {"k": t}) for t in (1, 1, 1, 4)] * 2
+    df = spark.createDataFrame(rows, "key string, t int, note map<string,int>")
+    found = rl.gaps(df, "key", "t", drop_first=False)
+    assert sorted((r.t, r.gap) for r in found.collect() if r.gap is not None) == [(1, 0)] * 5 + [(1, 3), (4, 0)]
+    assert found.columns == ["key", "t", "note", "gap"] and found.count() == 8
+
+
+def test_gaps_without_the_first_of_equal_rows(spark):
+    df = spark.createDataFrame([("a", 1)] * 3 + [("a", 2)] + [("b", 7)], "key string, t int")
+    found = sorted(rl.gaps(df, "key", "t").collect(), key=str)
+    assert found == [("a", 1, 0), ("a", 1, 1), ("a", 2, None)]
