@@ -30,53 +30,93 @@ def mix(h):
     return h
 
 
+_HELD = 32 << 20  # bytes of input after which freed memory is given back
+
+
+def _give_back():
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lean(run):
-    """``run`` (batches to batches) that gives freed memory back to the system when it ends.
+    """``run`` (batches to batches) that gives freed memory back now and then and at its end.
 
-    Python workers live on from stage to stage, and what one stage freed would else stay theirs.
+    Python workers live on from stage to stage, and what one stage freed would else stay theirs;
+    idle ones keep it for as long as others of their executor are busy.
     """
 
+    def one_by_one(batches):
+        seen = 0
+        for batch in batches:
+            seen += batch.nbytes
+            yield batch
+            del batch
+            if seen > _HELD:
+                _give_back()
+                seen = 0
+
     @functools.wraps(run)
     def wrapped(batches):
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        yield from run(one_by_one(batches))
+        _give_back()
 
     return wrapped
 
 
+_STEP = 1 << 16  # places that one part of a table of powers spans
+
+
+class _Powers:
+    """The powers of an odd number at any place below 2**32, from two small tables."""
+
+    def __init__(self, base):
+        self.low = self._table(base)
+        self.high = self._table(pow(base, _STEP, 1 << 64))
+
+    @staticmethod
+    def _table(base):
+        out = np.ones(_STEP, dtype=U64)
+        out[1:] = U64(base)
+        return np.multiply.accumulate(out)
+
+    def at(self, places):
+        return self.high[places >> 16] * self.low[places & (_STEP - 1)]
+
+    def scale(self, values):
+        """Multiply ``values`` in place by the powers of their places."""
+        for start in range(0, len(values), _STEP):
+            part = values[start : start + _STEP]
+            part *= self.low[: len(part)]
+            if start:
+                part *= self.high[start >> 16]
+        return values
+
+
 class _Hasher:
-    """A polynomial hash of byte ranges; all ranges of a buffer cost one running sum."""
+    """A polynomial hash of byte ranges; all ranges of a buffer cost one running sum.
+
+    What it keeps has the same size whatever the texts.
+    """
 
     def __init__(self, seed):
         self.base = int(mix(np.array([seed], dtype=U64))[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
         self.values = mix(np.arange(1, 257, dtype=U64) * U64(self.base))
         self.folded = self.values[_LOWER]
-        self.powers, self.inverses = self._powers(self.base, 1024), self._powers(self.inverse, 1024)
+        self.powers, self.inverses = _Powers(self.base), _Powers(pow(self.base, -1, 1 << 64))
 
-    @staticmethod
-    def _powers(base, n):
-        out = np.ones(n, dtype=U64)
-        out[1:] = U64(base)
-        return np.multiply.accumulate(out)
-
-    def reach(self, n):
-        if len(self.powers) < n:
-            size = n + n // 4
-            self.powers = self._powers(self.base, size)
-            self.inverses = self._powers(self.inverse, size)
+    def of_runs(self, values, starts, ends):
+        """The hash of each run ``values[start:end]``; ``values`` are overwritten."""
+        sums = np.zeros(len(values) + 1, dtype=U64)
+        np.cumsum(self.powers.scale(values), out=sums[1:])
+        raw = (sums[ends] - sums[starts]) * self.inverses.at(starts)
+        return mix(raw + (ends - starts).astype(U64))
 
     def ranges(self, buf, starts, ends, fold=False):
         """The hash of each ``buf[start:end]``, with A-Z lowered if ``fold``."""
-        n = len(buf)
-        self.reach(n + 1)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.folded if fold else self.values)[buf] * self.powers[:n], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * self.inverses[starts]
-        return mix(raw + (ends - starts).astype(U64))
+        return self.of_runs((self.folded if fold else self.values)[buf], starts, ends)
 
 
 _HASHERS = {}
@@ -206,13 +246,7 @@ def run_lists(row, n):
 
 def sequence_hashes(hashes, starts, ends, seed=5):
     """The hash of each run ``hashes[start:end]``, by one running sum."""
-    h = hasher(seed)
-    n = len(hashes)
-    h.reach(n + 1)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(hashes * h.powers[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * h.inverses[starts]
-    return mix(raw + (ends - starts).astype(U64))
+    return hasher(seed).of_runs(hashes.copy(), starts, ends)
 
 
 def row_sums(values, offs):

@@ -56,3 +56,32 @@ def test_same_in_row():
     twice, again = text.same_in_row(np.array([0, 0, 1, 0]), np.array([5, 5, 5, 7], dtype=np.uint64))
     assert twice.tolist() == [True, True, False, False]
     assert again.tolist() == [False, True, False, False]
+
+
+def test_a_long_text_leaves_no_table_behind():
+    """What a hasher keeps is the same after a text of 20 MB, and so are the hashes."""
+
+    def kept():
+        tables = [t for h in text._HASHERS.values() for p in (h.powers, h.inverses) for t in (p.low, p.high)]
+        return sum(t.nbytes for t in tables)
+
+    word = np.frombuffer(b"abcdefg ", dtype=np.uint8)
+    near = text.hasher(3).ranges(word, np.array([0]), np.array([7]))
+    before = kept()
+    long = np.tile(word, 20 << 17)
+    starts = np.arange(0, len(long), 1 << 16) + 8
+    starts = starts[starts + 7 <= len(long)]
+    assert set(text.hasher(3).ranges(long, starts, starts + 7).tolist()) == set(near.tolist())
+    assert kept() == before <= len(text._HASHERS) * (2 << 20)
+
+
+def test_hashes_across_the_parts_of_a_table():
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 100, 200_000, dtype=np.uint8)
+    for at in (0, 65_530, 65_536, 131_070, 199_980):
+        place = np.array([at])
+        own = text.hasher(5).ranges(buf[at : at + 20].copy(), np.array([0]), np.array([20]))
+        assert text.hasher(5).ranges(buf, place, place + 20)[0] == own[0]
+        other = buf[at : at + 20].copy()
+        other[7] ^= 1
+        assert text.hasher(5).ranges(other, np.array([0]), np.array([20]))[0] != own[0]
