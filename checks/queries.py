@@ -1419,6 +1419,100 @@ def _(v):
     return rounded(rounded(found, "f", "o"), "crossref", digits=4)
 
 
+@check(
+    "study_scaled_comparison",
+    f"""with {_RUNS}, {_THEIRS},
+    w as (select *, min(sent_at) over (partition by prefix, machine) as lo from runs),
+    rate as (select prefix, machine, count(*) as n, max(sent_at) - min(sent_at) as span
+             from w where sent_at >= lo + 10000000000 group by 1, 2),
+    smp as (select a.prefix, n / committed * 100 as sample
+            from (select prefix, count(*) as n from runs group by 1) a
+            join (select prefix, sum(committed) as committed from counters group by 1) c
+            on a.prefix = c.prefix),
+    ours as (select sum(rate.n * 1000000000 * (100 / smp.sample) / nullif(span, 0)) as f
+             from rate join smp on rate.prefix = smp.prefix where rate.prefix = 'exp-f-sz5'),
+    o as (select 1 / 1000 as hot, cast(null as double) as f_0, f / f as f_50, cast(null as double) as f_100 from ours),
+    s as (select wl_mh, 1 / wl_hot as hot, crossref / (select max(crossref) from theirs) as share from theirs),
+    p as (select hot, max(share) filter (where wl_mh = 0) as crossref_0,
+                 max(share) filter (where wl_mh = 50) as crossref_50,
+                 max(share) filter (where wl_mh = 100) as crossref_100 from s group by hot)
+    select o.*, round(crossref_0, 8) as crossref_0, round(crossref_50, 8) as crossref_50,
+           round(crossref_100, 8) as crossref_100 from o left join p on o.hot = p.hot""",
+)
+def _(v):
+    run = _study_logs(v, "transactions", "summary")
+    run.index = run.index.withColumns({"wl_mh": F.lit(50), "wl_hot": F.lit(1000)})
+    found = studies.scaled_comparison(run, v.report, "f", "crossref", _MH)
+    return rounded(found, "crossref_0", "crossref_50", "crossref_100", digits=8)
+
+
+@check(
+    "study_latency_comparison",
+    f"""with {_RUN_LAT},
+    t as (select prefix, quantile_disc(latency, 0.5) as p50, quantile_disc(latency, 0.95) as p95,
+                 quantile_disc(latency, 0.99) as p99 from lat group by prefix)
+    select prefix as experiment, substr(prefix, 5, 1) as config_name, 50 as wl_mh, 1 / 1000 as wl_hot,
+           round(p50, 6) as p50, round(p95, 6) as p95, round(p99, 6) as p99 from t
+    union all
+    select null, 'other', wl_mh, 1 / wl_hot, round(avg(p50), 6), round(avg(p95), 6), round(avg(p99), 6)
+    from report group by wl_mh, report.wl_hot""",
+)
+def _(v):
+    run = _study_logs(v, "transactions")
+    run.index = run.index.withColumns({"wl_mh": F.lit(50), "wl_hot": F.lit(1000)})
+    found = studies.latency_comparison(run, v.report, "other", method="exact")
+    kept = ["experiment", "config_name", "wl_mh", "wl_hot", "p50", "p95", "p99"]
+    return rounded(_experiment(found).select(*kept), "p50", "p95", "p99")
+
+
+@check(
+    "study_event_rate",
+    """with s as (select concat('exp-', region % 2) as experiment, event,
+        cast(floor(time / 1000000000) as bigint) as time, count(txn_id) * (100 / 20) as throughput
+        from server_events group by 1, 2, 3)
+    select experiment, event, time - min(time) over (partition by experiment) as time, throughput from s""",
+)
+def _(v):
+    cols = logs.schemas.names(logs.schemas.SERVER_EVENTS)
+    name = F.concat(F.lit("exp-"), F.col("region") % 2)
+    rows = _server_rows(v.server_events, cols).withColumn("_experiment", name)
+    root = write_tree(rows, "server", "events.csv", cols)
+    return _experiment(studies.event_rate_study(RunLogs(v.spark, root), sample=20))
+
+
+@check(
+    "study_deadlocks",
+    f"""with d as (select config_name, wl_mh, vertices as x from deadlocks where region = 0 and wl_mh >= 20),
+    {_box_sql("d", "config_name, wl_mh")}
+    select box.config_name, cast(box.wl_mh as int) as wl_mh, cast(c.committed as bigint) as committed,
+           box.n as deadlocks, {_BOX_COLS}, outliers
+    from box join (select config_name, wl_mh, sum(committed) as committed
+                   from deadlock_summary s join deadlock_experiments e on s.prefix = e.prefix group by 1, 2) c
+    on box.config_name = c.config_name and box.wl_mh = c.wl_mh""",
+)
+def _(v):
+    """From a tree with an experiment per configuration and share of multi-home transactions."""
+    name = F.element_at(F.split("prefix", "/"), -1)
+    cols = ["time", "partition", "region", "vertices"]
+    rows = _server_rows(v.deadlocks, ["prefix", *cols]).withColumn("_experiment", name)
+    root = write_tree(rows, "server", "deadlocks.csv", cols)
+    counters = logs.schemas.names(logs.schemas.SUMMARY)
+    sums = v.deadlock_summary.select(
+        name.alias("_experiment"), F.col("machine").alias("_directory"), "committed",
+        *[F.lit(0).alias(c) for c in counters if c != "committed"],
+    )
+    write_tree(sums, "client", "summary.csv", counters, root=root)
+    meta = v.deadlock_experiments.withColumn("_experiment", name)
+    server = meta.withColumn("_directory", F.lit("0-0"))
+    write_tree(server, "server", "metadata.csv", ["config_name"], root=root)
+    client = meta.select(
+        "_experiment", F.lit(0).alias("_directory"), F.col("wl_mh").alias("wl:mh"), F.lit(60).alias("clients")
+    )
+    write_tree(client, "client", "metadata.csv", ["wl:mh", "clients"], root=root)
+    found = studies.deadlock_study(RunLogs(v.spark, root), wl_mh=[20, 30, 40, 50, 60, 70])
+    return rounded(found, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 @check(
     "study_graph",
     """select 'exp-sz8' as experiment, time, "partition", region, runtime,
