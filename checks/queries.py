@@ -23,7 +23,7 @@ from runlens.operators import (
 from runlens.operators.facts import with_metadata
 from runlens.plans import studies
 from runlens.plans.logs import RunLogs
-from runlens.sources import archives, index, logs, store
+from runlens.sources import archives, corrupt, index, logs, store
 from runlens.sources import reports as report_sources
 
 QUERIES = {}
@@ -996,6 +996,34 @@ def _(v):
     return _txn_text(logs.read_transactions(v.spark, root))
 
 
+@check(
+    "read_corrupt_lines",
+    """with l as (select concat('exp-', coordinator % 4) as experiment, machine, txn_id from txns),
+    f as (select experiment, machine, 'sent_at: no double' as reason from l where txn_id % 7 = 1
+          union all select experiment, machine, 'regions: no number in the list' from l where txn_id % 5 = 2
+          union all select experiment, machine, 'restarts: no int' from l where txn_id % 11 = 3)
+    select 'transactions' as log, experiment, machine, reason, count(*) as n from f group by all""",
+)
+def _(v):
+    """Counts of the lines with malformed fields, per file, added up per machine."""
+
+    def spoiled(name, by, rest, text):
+        return F.when(F.col("txn_id") % by == rest, F.lit(text)).otherwise(F.col(name).cast("string"))
+
+    rows = _txn_logs(v).withColumns(
+        {
+            "sent_at": spoiled("sent_at", 7, 1, "late"),
+            "regions": spoiled("regions", 5, 2, "1;x;2"),
+            "restarts": spoiled("restarts", 11, 3, "none"),
+        }
+    )
+    root = write_tree(rows, "client", "transactions.csv", _TXN_COLS)
+    found = corrupt.corrupt_counts(v.spark, root)
+    machine = F.regexp_extract("file", "/client/([0-9]+)/", 1).cast("int").alias("machine")
+    counted = found.groupBy("log", "prefix", machine, "reason").agg(F.sum("n").alias("n"))
+    return _experiment(counted)
+
+
 @check("read_refreshed_store", _TXN_SQL)
 def _(v):
     """A store that is filled, then follows an experiment that comes later."""
