@@ -14,11 +14,24 @@ from runlens.sources.index import experiment_index
 from runlens.sources.store import materialize, settle
 
 
+#: The time that a stored log is sorted by inside an experiment, so that ranges of it read little.
+_TIMES = {
+    "transactions": "sent_at",
+    "deadlocks": "time",
+    "txn_timestamps": "server_time",
+    "measurements": "time",
+    "client_events": "time",
+    "server_events": "time",
+    "link_latency": "send_time",
+    "resolver": "time",
+}
+
+
 class RunLogs:
     """All logs below ``root``; each table covers all experiments, keyed by ``prefix``.
 
-    With ``store`` a table is converted to Parquet, laid out by experiment, and read from there:
-    studies then read only the columns and experiments they use. ``refresh`` says what a store does
+    With ``store`` a table is converted to Parquet, laid out by experiment and time, and read from
+    there: studies then read only the columns, experiments and ranges of time that they use. ``refresh`` says what a store does
     when a table is first used: ``"changed"`` (default) lists the logs and rebuilds the experiments
     that are new or whose files changed, ``"all"`` rebuilds everything, ``"never"`` takes the store
     as it is. ``tags`` maps a column
@@ -63,7 +76,7 @@ class RunLogs:
             return materialize(self.spark, path, build, partition_by="prefix")
         side, file = logs.FILES[name]
         sources = logs.log_paths(self.root, self.experiment, side, "*", file)
-        return synced(self.spark, path, sources, build, self.refresh == "all")
+        return synced(self.spark, path, sources, build, self.refresh == "all", _TIMES.get(name))
 
     def _name(self, prefix):
         """The name below the root of an experiment's path, which Spark gives as a URI."""

@@ -84,6 +84,13 @@ def _read(spark, path):
     return spark.read.schema(StructType.fromJson(schema)).parquet(path)
 
 
+def _in_order(rows, order):
+    """Rows laid out by experiment and then ``order``, each file a range of it."""
+    if order is None:
+        return rows
+    return rows.repartitionByRange(_KEY, order).sortWithinPartitions(_KEY, order)
+
+
 def _rebuild(spark, path, rows, old):
     """Write the rows over their experiments; drop the ``old`` ones that have no rows any more."""
     before = {prefix: files_below(spark, _partition(spark, path, prefix)) for prefix in old}
@@ -96,11 +103,13 @@ def _rebuild(spark, path, rows, old):
             delete(spark, folder)
 
 
-def synced(spark, path, paths, build, refresh=False):
+def synced(spark, path, paths, build, refresh=False, order=None):
     """The stored rows at ``path`` of the logs that ``paths`` match, brought up to date.
 
     ``build(prefixes)`` gives the rows of these experiments, or of all for None; rows carry their
-    ``prefix``, by which they are laid out. ``refresh`` rebuilds all. The names of changed
+    ``prefix``, by which they are laid out. ``order`` names a column (a time) that they are sorted
+    by inside an experiment, in a shuffle by range: a filter on it then passes over most row groups,
+    and a heavy experiment has several files. ``refresh`` rebuilds all. The names of changed
     experiments come to the driver, as a listing of their files does in any scan of them.
 
     As with any overwritten folder, what was planned on rows that are replaced fails, and a query
@@ -111,9 +120,8 @@ def synced(spark, path, paths, build, refresh=False):
     if refresh or not all(exists(spark, mark) for mark in marks):
         delete(spark, f"{path}/_manifest")
         rows = build(None)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-            _KEY
-        ).parquet(path)
+        writer = _in_order(rows, order).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "static").partitionBy(_KEY).parquet(path)
         write_schema(rows, path)
         changed, gone = [], []
         stale = True
@@ -122,7 +130,7 @@ def synced(spark, path, paths, build, refresh=False):
         changed, gone = differences(now, then)
         stale = bool(changed or gone)
         if changed:
-            rows = build(None if len(changed) == len(now) else changed)
+            rows = _in_order(build(None if len(changed) == len(now) else changed), order)
             kept = set(then) - set(gone)
             _rebuild(spark, path, rows.select(*_read(spark, path).columns), kept & set(changed))
         for prefix in gone:

@@ -153,3 +153,46 @@ def test_files_are_listed_not_read(spark, place):
     assert "ReadSchema: struct<modificationTime:timestamp,length:bigint>" in text
     assert files.count() == 3
     assert files.where(F.col("prefix").isNull()).count() == 0
+
+
+def scanned_rows(df):
+    """The rows that the scans of a collected query gave, after row groups were passed over."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_range_of_time_reads_little(spark, tmp_path):
+    """Logs come in no order; a second of a stored log reads a small part of its rows."""
+    root, n = f"{tmp_path}/logs", 8000
+    for name, machines in (("heavy", 4), ("light", 1)):
+        for machine in range(machines):
+            rows = [f"{i},A,{(i * 7919 % n) * 10**7},{machine},0" for i in range(n)]
+            write(f"{root}/{name}/client/{machine}/txn_events.csv", "txn_id,event,time,machine,home", *rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        logs = rl.RunLogs(spark, root, store=f"{tmp_path}/store")
+        events = logs.client_events
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    second = events.where("time >= 20e9 and time < 21e9")
+    assert second.count() == 5 * 100
+    assert scanned_rows(second) < 5 * n / 4 and scanned_rows(events) == 5 * n
+    heavy = second.where(F.col("prefix").endswith("/heavy"))
+    assert heavy.count() == 400 and scanned_rows(heavy) < 4 * n / 3
+    # The files of an experiment are disjoint ranges.
+    parts = events.groupBy(F.col("_metadata.file_path").alias("f"), "prefix").agg(
+        F.min("time").alias("low"), F.max("time").alias("high")
+    )
+    ranges = sorted((r.prefix, r.low, r.high) for r in parts.collect())
+    assert len(ranges) >= 6
+    assert all(a[2] <= b[1] for a, b in zip(ranges, ranges[1:]) if a[0] == b[0])
+
+
+def test_rebuilt_experiments_are_in_order_too(spark, place):
+    root, store = place
+    open_logs(spark, place).transactions
+    log(root, "late", 50)
+    rows = open_logs(spark, place).transactions.where(F.col("prefix").endswith("/late"))
+    times = [r.sent_at for r in rows.select("sent_at").collect()]
+    assert times == sorted(times) and len(times) == 50
