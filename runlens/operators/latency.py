@@ -34,8 +34,11 @@ def latency(txns, fraction=1.0, seed=0, key=None, keep=(), **window):
 
 
 def named(df, text, name="prefix", depth=1):
-    """The rows of the experiments whose name contains ``text``, whatever their root."""
-    return df.where(experiment_name(name, depth).contains(text))
+    """The rows of the experiments whose name contains ``text``, whatever their root.
+
+    That the path contains it reaches the scan; that it is not the root is checked on what is left.
+    """
+    return df.where(F.col(name).contains(text) & experiment_name(name, depth).contains(text))
 
 
 def latency_percentiles(
