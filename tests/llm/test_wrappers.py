@@ -1,4 +1,5 @@
 import html as H
+import random
 import re
 
 from pyspark.sql import types as T
@@ -146,3 +147,82 @@ def test_long_fixed_text(spark):
         ]
         found = {r.page_id: r.text for r in W.extract(pages(spark, rows)).collect()}
         assert found == {i: f"Story {i}, rather long\nEnd {i}" for i in range(4)}
+
+
+def texts(spark, pages_of_host):
+    rows = [(i, "http://a.example/", x) for i, x in enumerate(pages_of_host)]
+    return {r.page_id: r.text for r in W.extract(pages(spark, rows)).collect()}
+
+
+def test_deep_and_wide_pages(spark):
+    """Nested elements beyond any stack, and siblings without a pattern."""
+    n = 5000
+    deep = "<div>" * n + "<article><p>Deep {0}</p><nav>menu</nav><p>End {0}</article>" + "</div>" * n
+    wide = random.Random(3)
+    kinds = ["p", "h2", "h3", "blockquote", "pre", "figure"]
+    blocks = [[(wide.choice(kinds), f"{k} {i}") for i in range(20_000)] for k in range(2)]
+    many = ["<article>" + "".join(f"<{t}>{x}</{t}>" for t, x in b) + "</article>" for b in blocks]
+    found = texts(spark, [deep.format(i) for i in range(4)])
+    assert found == {i: f"Deep {i}\nEnd {i}" for i in range(4)}
+    assert texts(spark, many) == {i: "\n".join(x for _, x in b) for i, b in enumerate(blocks)}
+    inline = "<div><b>" * n + "text"
+    assert texts(spark, [inline]) == {0: "text"}
+
+
+def test_common_subsequences():
+    """As long as the plain table's, and one for each order of the pairs."""
+    draw = random.Random(5)
+    for n, m, letters in [(0, 5, 2), (1, 9, 3), (30, 40, 3), (150, 130, 4), (300, 90, 12), (200, 200, 2)]:
+        x, y = ([draw.choice("abcdefghijkl"[:letters]) for _ in range(k)] for k in (n, m))
+        pairs = W.common(x, y)
+        assert all(x[i] == y[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) == len(list(W._table(x, y)))
+        assert W._lengths(x, y).tolist() == [len(list(W._table(x, y[:j]))) for j in range(m + 1)]
+
+
+def test_the_order_of_pages_does_not_matter(spark):
+    draw = random.Random(7)
+    kinds = ["p", "h2", "ul><li", "div class=own", "section", "div class=note-box"]
+
+    def page(i):
+        parts = [f"<{draw.choice(kinds)}>{draw.choice(['same', 'same again', f'own {i}'])}" for _ in range(9)]
+        return "<body><div class=x>" + "".join(parts) + f"<p>Story {i} with some words</div>"
+
+    rows = [(i, "http://a.example/", page(i)) for i in range(60)]
+    results = set()
+    for _ in range(5):
+        draw.shuffle(rows)
+        mixed = pages(spark, rows).repartition(draw.randint(1, 6))
+        results.add(tuple((r.host, r.wrapper) for r in W.host_wrappers(mixed, group=7, fan=3).collect()))
+    assert len(results) == 1 and len(next(iter(results))) == 1
+
+
+def test_marks_of_layout_are_not_marks_of_the_article(spark):
+    article = "<article><h1>Title {0}</h1><p>First {0}<p>Last one {0}</article>"
+    want = "Title {0}\nFirst {0}\nLast one {0}"
+    for frame in [
+        "<div class='content has-sidebar'>{}</div><div class=sidebar>Other {{0}}</div>",
+        "<div title='hidden gems' data-class='ad'>{}</div>",
+        "<form id=aspnetForm><div class=search>Find {{0}}</div>{}</form>",
+        "<div class=widget>{}</div><div class=comments><article>Nice! {{0}} and much, much more</article></div>",
+    ]:
+        found = texts(spark, [frame.format(article).format(i) for i in range(5)])
+        assert found == {i: want.format(i) for i in range(5)}, frame
+    page = (
+        "<article data-role=banner><p class=dialog>“Yes {0}”<p class=search-tips>Try {0}"
+        "<p class=advert>Buy {0}<div class=newsletter>Mail {0}</div><h2>End</h2></article>"
+    )
+    assert texts(spark, [page.format(i) for i in range(2)]) == {
+        i: f"“Yes {i}”\nTry {i}\nEnd" for i in range(2)
+    }
+
+
+def test_a_heading_of_some_pages_is_no_fixed_text(spark):
+    body = "<body><article><p>Story {0}<p>More {0}<div class=own>By the paper</div>{1}</article>"
+    end = "<section><h2>Conclusion</h2><p>Thus {0}</section>"
+    found = texts(spark, [body.format(i, end.format(i) if i % 9 == 0 else "") for i in range(50)])
+    assert found == {
+        i: f"Story {i}\nMore {i}" + (f"\nConclusion\nThus {i}" if i % 9 == 0 else "")
+        for i in range(50)
+    }
