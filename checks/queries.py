@@ -23,7 +23,7 @@ from runlens.operators import (
 from runlens.operators.facts import with_metadata
 from runlens.plans import studies
 from runlens.plans.logs import RunLogs
-from runlens.sources import archives, corrupt, index, logs, store
+from runlens.sources import archive_format, archives, corrupt, index, logs, store
 from runlens.sources import reports as report_sources
 
 QUERIES = {}
@@ -1045,6 +1045,17 @@ def _(v):
     return _txn_text(named)
 
 
+@check("read_archives_format", _TXN_SQL)
+def _(v):
+    """Through the data source, with a filter that it takes into the archives."""
+    root = write_tree(_txn_logs(v), "client", "transactions.csv", _TXN_COLS, archives=True)
+    lines = archive_format.register_archives(v.spark).read.format(archive_format.NAME)
+    lines = lines.load(f"{root}/*/*.tar.gz").where(F.col("member").contains("transactions.csv"))
+    found = archives.archived_table(lines, "transactions.csv")
+    named = found.withColumn("prefix", F.regexp_replace("prefix", "/p[0-9]+$", ""))
+    return _txn_text(named)
+
+
 @check(
     "read_log_tree_summary",
     """select concat('exp-', substr(prefix, 5, 1)) as experiment, machine, committed, aborted,

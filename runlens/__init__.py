@@ -71,6 +71,7 @@ from runlens.operators.throughput import (
 from runlens.operators.window import run_window
 from runlens.plans.logs import RunLogs
 from runlens.session import get_session
+from runlens.sources.archive_format import load_archived, register_archives
 from runlens.sources.archives import archived_table, read_archived, read_archives
 from runlens.sources.index import experiment_index
 from runlens.sources.logs import (
