@@ -16,6 +16,7 @@ other columns never matter.
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -156,24 +157,94 @@ def merged(prints, key, k=K, salts=64):
     )
 
 
+def _text_hash():
+    """A hash of the text that a double can hold, as percentiles need, in the order of xxhash64."""
+    return F.shiftright(F.xxhash64("text"), 12)
+
+
+def _exact(docs, found):
+    """Percentiles of doc_id, which are doubles inside, as doc_ids that occur."""
+    if all(abs(x) < 1 << 53 for x in found):
+        return found
+    below = [F.max(F.when(F.col("doc_id") <= F.lit(x), F.col("doc_id"))) for x in set(found)]
+    row = docs.agg(F.max("doc_id"), *below).first()
+    known = dict(zip(set(found), row[1:], strict=True)) | {max(found): row[0]}
+    return [known[x] for x in found if known[x] is not None]
+
+
+def _starts(docs, blocks):
+    """(doc_id, hash of the text or None) of each block's first document, in order.
+
+    Blocks hold about as many rows each. Those that start at a doc_id take all its rows; a doc_id
+    of more rows than a block, or none, is cut at hashes of its texts.
+    """
+    share = [1 - i / blocks for i in range(blocks)]
+    accuracy = max(10_000, 10 * blocks)
+    found, rows, known = docs.agg(
+        F.percentile_approx("doc_id", share, accuracy), F.count(F.lit(1)), F.count("doc_id")
+    ).first()
+    found = _exact(docs, found or [])
+    pieces = Counter(found)
+    # Shares are of the rows with a doc_id; the others come last.
+    none = -(-(rows - known) * blocks // rows) if rows else 0
+    heavy = [x for x, n in pieces.items() if n > 1]
+    cuts = {}
+    if heavy or none > 1:
+        of_heavy = F.col("doc_id").isin(heavy) if heavy else F.lit(False)
+        if none > 1:
+            of_heavy = of_heavy | F.col("doc_id").isNull()
+        text, fine = _text_hash(), [1 - i / (8 * blocks) for i in range(8 * blocks)]
+        cuts = {
+            r[0]: [r[1], *r[2]]
+            for r in docs.where(of_heavy)
+            .groupBy("doc_id")
+            .agg(F.max(text), F.percentile_approx(text, fine, 8 * accuracy))
+            .collect()
+        }
+    out = []
+    for key in [*sorted(pieces, reverse=True), *([None] if none else [])]:
+        if key in cuts:
+            first, *rest = cuts[key]
+            parts = none if key is None else pieces[key]
+            some = {rest[i * 8 * blocks // parts] for i in range(parts)}
+            out += [(key, x) for x in sorted({first, *some}, reverse=True)]
+        elif key is not None:
+            out.append((key, None))
+    return out
+
+
 def _placed(docs, blocks):
     """(block, ahead, doc_id, text): each document in its block, block starts once more before."""
-    share = [1 - i / blocks for i in range(blocks)]
-    found = docs.agg(F.percentile_approx("doc_id", share, max(10_000, 10 * blocks))).first()[0]
-    starts = sorted(set(found or []), reverse=True)  # the first doc_id of each block
-    down = -np.array(starts, dtype=np.int64)
+    starts = _starts(docs, blocks)
     last = max(len(starts) - 1, 0)
+    # ``~`` turns falling numbers into rising ones.
+    ids = [key for key, _ in starts if key is not None]
+    down = ~np.array(sorted(set(ids), reverse=True), dtype=np.int64)
+    end = np.cumsum([n for _, n in sorted(Counter(ids).items(), reverse=True)], dtype=np.int64) - 1
+    cuts = {}  # the first block of a doc_id that is cut, and the hashes its blocks start at
+    for block, (key, text) in enumerate(starts):
+        if text is not None:
+            cuts.setdefault(key, (block, []))[1].append(text)
 
     @F.pandas_udf("array<int>")
-    def place(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        value = ids.fillna(0).to_numpy().astype(np.int64)
+    def place(ids: pd.Series, none: pd.Series, hashes: pd.Series) -> pd.Series:
+        known = ~none.to_numpy()
+        value = ids.to_numpy().astype(np.int64)
+        texts = ~hashes.to_numpy().astype(np.int64)
         block = np.full(len(value), last)
+        first = np.zeros(len(value), dtype=bool)
         if len(down):
-            block[known] = np.searchsorted(down, -value[known], side="right") - 1
-            first = known & (down[block] == -value)
-        else:
+            at = np.searchsorted(down, ~value[known], side="right") - 1
+            block[known] = end[at]
+            first[known] = down[at] == ~value[known]
+        elif None not in cuts:
             first = ~known
+        for key, (low, of_blocks) in cuts.items():
+            rows = np.flatnonzero(~known if key is None else known & (value == key))
+            tops = ~np.array(of_blocks, dtype=np.int64)
+            piece = np.searchsorted(tops, texts[rows], side="right") - 1
+            block[rows] = low + piece
+            first[rows] = tops[piece] == texts[rows]
         before = np.where(block > 0, block - 1, last)
         return pd.Series(
             [
@@ -182,9 +253,9 @@ def _placed(docs, blocks):
             ]
         )
 
-    return docs.select(
-        "doc_id", "text", F.posexplode(place("doc_id")).alias("ahead", "block")
-    )
+    doc = F.col("doc_id").cast("long")
+    places = place(F.coalesce(doc, F.lit(0)), doc.isNull(), _text_hash())
+    return docs.select("doc_id", "text", F.posexplode(places).alias("ahead", "block"))
 
 
 def with_next(docs, fn, schema, blocks=None):

@@ -18,7 +18,8 @@ document. The steps, each exact:
    sizes and places leave a link possible, are compared one by one, and components taken again.
 
 So no task gets more than a bounded part of a group of near copies, and no pair inside a component
-is listed. Step 5 lists pairs only across components.
+is listed. Step 5 lists pairs only across components: of a shingle's postings those of its largest
+component are one side, which meets the others and never itself.
 
 Defined results: a null or empty text has no shingles and its own component; a text of fewer than
 five words is one shingle; rows of one doc_id are one document for the links (each keeps its own
@@ -341,24 +342,27 @@ def components(nodes, links):
 def open_pairs(postings, label):
     """Distinct (a, b) of different components that may link, from the postings of prefix tokens."""
     known = postings.join(label, "node")
+    # Of each token's postings those of its largest component never meet each other.
+    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("docs"))
     mixed = (
-        known.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("token")
+        sizes.groupBy("token")
+        .agg(F.max_by("component", F.struct("docs", "component")).alias("large"), F.count("*").alias("many"))
+        .where("many > 1")
+        .select("token", "large")
     )
     mixed = settle(mixed, "mixed", packed=True)
-    left = settle(known.join(mixed, "token"), "open", packed=True)
-    right = left.select(*[F.col(c).alias(f"{c}_b") for c in left.columns])
+    every = settle(known.join(mixed, "token"), "open", packed=True)
+    left = every.where("component <> large")
+    right = every.select(*[F.col(c).alias(f"{c}_b") for c in every.columns])
     total = F.col("n") + F.col("n_b")
     need = -F.floor(-NUM * total / F.lit(NUM + DEN))
     rest = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
     shared = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
     return (
         left.join(right, F.col("token") == F.col("token_b"))
-        .where(F.col("component") < F.col("component_b"))
+        .where("component < component_b or (component_b = large and component <> component_b)")
         .where((rest >= need) & (shared >= need))
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+        .select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
         .distinct()
     )
 

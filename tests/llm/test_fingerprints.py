@@ -67,6 +67,29 @@ def test_edges(spark):
     )
 
 
+def test_ids_that_no_double_holds(spark):
+    ids = [x * 10**17 + i for x in (-90, -1, 0, 92) for i in range(30)]
+    rows = [(x, prose(i, 8), None, None) for i, x in enumerate(ids)]
+    rows = sorted(rows, key=lambda r: -r[0]) + [(None, "last one", None, None)]
+    found = B.compare_with_edited(documents(spark, rows), blocks=20)
+    check(found, [(r[0], r[1]) for r in rows])
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 16])
+@pytest.mark.parametrize("shares", [(0.9, 0.0), (0.4, 0.4), (0.0, 0.9), (1.0, 0.0), (0.02, 0.1)])
+def test_equal_and_missing_ids_are_split(spark, blocks, shares):
+    n = 400
+    none, same = (int(n * x) for x in shares)
+    ids = [None] * none + [50] * same + list(range(n - none - same))
+    rows = [(x, prose(i, 6), None, None) for i, x in enumerate(ids)]
+    docs = documents(spark, rows).withColumn("h", F.xxhash64("text"))
+    order = docs.orderBy(F.desc_nulls_last("doc_id"), F.desc("h")).collect()
+    check(B.compare_with_edited(docs, blocks=blocks), [(r.doc_id, r.text) for r in order])
+    own = B._placed(docs.select("doc_id", "text"), blocks).where("ahead = 0")
+    sizes = [r[1] for r in own.groupBy("block").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n / blocks + 2
+
+
 def test_estimates():
     base = prose(1, 4000, 5000)
     for every in (0.0, 0.02, 0.1):

@@ -85,6 +85,26 @@ def test_edges(spark):
     assert ids.count(None) == 2
 
 
+def test_pairs_of_a_common_token(spark):
+    """A component of many sets and others: no pair inside it is made, and none across is lost."""
+    sizes = {0: 3000, 3000: 1, 3001: 2, 3003: 3}
+    rows = [(5, c + i, c) for c, n in sizes.items() for i in range(n)]
+    rows += [(6, 0, 0), (6, 1, 0), (7, 3000, 3000), (7, 3001, 3001)]
+    postings = spark.createDataFrame(
+        [(node, 10, 0, token, 0) for token, node, _ in rows],
+        "node long, n long, own long, token long, place long",
+    )
+    label = spark.createDataFrame(
+        sorted({(node, c) for _, node, c in rows}), "node long, component long"
+    )
+    pairs = ngram_join.open_pairs(postings, label)
+    found = {tuple(r) for r in pairs.collect()}
+    component = {node: c for _, node, c in rows}
+    nodes = sorted(component)
+    want = {(a, b) for b in nodes if b >= 3000 for a in nodes if a < b and component[a] != component[b]}
+    assert found == want and len(found) == 3000 * 6 + 2 + 3 + 6
+
+
 def test_prefix_tree_skips_only_what_cannot_link():
     rng = np.random.default_rng(3)
     sets = []
