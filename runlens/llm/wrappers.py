@@ -556,7 +556,7 @@ def host_of(url):
     return F.lower(F.coalesce(host, F.lit("")))
 
 
-def host_wrappers(pages, group=1000, fan=32):
+def host_wrappers(pages, group=128, fan=32):
     """(host, wrapper) with one row per host, folded in groups of about ``group`` pages."""
     page = F.coalesce("html", F.lit(""))
     named = pages.select(host_of(F.col("url")).alias("host"), page.alias("wrapper"))
