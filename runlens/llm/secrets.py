@@ -7,13 +7,16 @@ least ``10**min_log10`` guesses. The cost of a segmentation is the sum of the pa
 plus log(i) for its i-th part; a dynamic program over the end of the last part finds the minimum.
 
 Known words are a list of common passwords and, ranked behind these, the words of the corpus by the
-number of documents that have them outside of credential contexts and of other secrets. The words
-are counted over the cluster and stored; the letter runs of those values that the list alone leaves
-unguessable are joined with them, and only words that occur in these values go to the tasks.
+number of documents that have them outside of credential contexts and of other secrets. Values that
+the list alone leaves unguessable are *open*: they are stored, their letter runs are joined with the
+stored ranks of the corpus's words, and each is costed anew with the words that occur in it. What is
+then still unguessable comes back to the texts by a join on the text's hash. Nothing of this goes
+through the driver; without open values words are not counted.
 
 Defined results: a word counts from ``MIN_DOCS`` documents on, since what stands in one or two may
 be a secret; words with as many documents have the rank of the last of them; null and empty texts have no spans; a span that a base kind already has is not
-given again; offsets are code points of the whole text; values of any length are costed whole.
+given again; offsets are code points of the whole text; values of any length are costed whole; equal
+texts have equal spans.
 """
 
 import bisect
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runlens.llm.text import chunks, column_bytes, lean
+from runlens.operators.facts import attach
+from runlens.operators.ordering import accumulated, spread
 from runlens.sources.store import settle
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -101,55 +106,78 @@ def _forms(value):
     return (low, low.translate(_LEETS)) if len(low) == len(value) else (value, value)
 
 
-def log10_guesses(value, ranks=None):
+def _run_lengths(low):
+    """For each place: characters from there on that walk the keyboard, or repeat at 1 to 4 places."""
+    n = len(low)
+    runs = [[0] * (n + 1) for _ in range(5)]
+    for i in range(n - 1, -1, -1):
+        runs[0][i] = runs[0][i + 1] + 1 if low[i : i + 2] in _WALKS else 0
+        for unit in range(1, 5):
+            if low[i] == low[i + unit : i + unit + 1]:
+                runs[unit][i] = runs[unit][i + 1] + 1
+    return runs
+
+
+def _undominated(states, cost, count):
+    """Add (cost, count) to ``states`` unless one of them is no worse in both."""
+    if not any(c <= cost and k <= count for c, k in states):
+        states[:] = [(c, k) for c, k in states if c < cost or k < count]
+        states.append((cost, count))
+
+
+def log10_guesses(value, ranks=None, limit=math.inf):
     """The log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
     Runs (repeats of 1 to 4 characters, keyboard walks) are parts in whole or up to a power of two
-    of their length, so that a value of n characters has O(n log n) parts.
+    of their length, so that a value of n characters has O(n log n) parts. The program keeps, for
+    each end of a last part, the pairs of cost and number of parts that no other pair beats in both.
+    Costs of ``limit`` and more are all given as infinite; a limit of 10 leaves 14 parts at most,
+    and a long value is given up where nothing cheaper goes on.
     """
     ranks = ranks if ranks is not None else common_ranks(COMMON)
     each = math.log10(_alphabet(value))
     n = len(value)
     low, plain = _forms(value)
     longest = ranks.longest if isinstance(ranks, Ranks) else max(map(len, ranks), default=0)
-    ends = {}  # start -> [(end, cost)]
-    for m in DATE.finditer(value):
-        ends.setdefault(m.start(), []).append((m.end(), math.log10(40_000)))
-    runs = [[0] * (n + 1) for _ in range(5)]  # by unit: characters from i on that repeat at i + unit
-    for i in range(n - 1, -1, -1):
-        runs[0][i] = runs[0][i + 1] + 1 if low[i : i + 2] in _WALKS else 0
-        for unit in range(1, 5):
-            if low[i] == low[i + unit : i + unit + 1]:
-                runs[unit][i] = runs[unit][i + 1] + 1
-    for i in range(n):
-        parts = ends.setdefault(i, [])
+    dates = {m.start(): m.end() for m in DATE.finditer(value)}
+    runs = _run_lengths(low)
+
+    def parts(i):
+        if i in dates:
+            yield dates[i], math.log10(40_000)
         for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.7)):
                 rank = ranks.get(form[i:j])
                 if rank:
                     cased = 0.0 if value[i:j] == low[i:j] else 0.5
-                    parts.append((j, math.log10(rank + 1) + extra + cased))
+                    yield j, math.log10(rank + 1) + extra + cased
         for length in _lengths(runs[0][i] + 1, 3):
-            parts.append((i + length, math.log10(200 * length)))
+            yield i + length, math.log10(200 * length)
         for unit in range(1, 5):
             for times in _lengths(runs[unit][i] // unit + 1, 2 if unit > 1 else 3):
-                parts.append((i + unit * times, unit * each + math.log10(times)))
-    # A part costs log10 of its place as well; brute force counts as one part as long as it goes on.
-    least = [[math.inf, math.inf] for _ in range(n + 1)]  # last part known, last part brute force
-    count = [[0, 0] for _ in range(n + 1)]
-    least[0][0] = 0.0
+                yield i + unit * times, unit * each + math.log10(times)
+
+    # A part costs log10 of its place as well; brute force is one part as long as it goes on.
+    known, brute = {0: [(0.0, 0)]}, {}  # end of the last part -> pairs, by the kind of that part
     for i in range(n):
-        for kind in (0, 1):
-            cost, k = least[i][kind], count[i][kind]
-            if cost == math.inf:
-                continue
-            start = 0.0 if kind else math.log10(k + 1)
-            if cost + each + start < least[i + 1][1]:
-                least[i + 1][1], count[i + 1][1] = cost + each + start, k + (not kind)
-            for j, c in ends[i]:
-                if cost + c + math.log10(k + 1) < least[j][0]:
-                    least[j][0], count[j][0] = cost + c + math.log10(k + 1), k + 1
-    return min(least[n])
+        here, going = known.pop(i, []), brute.pop(i, [])
+        if not here and not going:
+            if not known and not brute:
+                return math.inf
+            continue
+        for cost, k in going:
+            if cost + each < limit:
+                _undominated(brute.setdefault(i + 1, []), cost + each, k)
+        for cost, k in here:
+            more = cost + each + math.log10(k + 1)
+            if more < limit:
+                _undominated(brute.setdefault(i + 1, []), more, k + 1)
+        for end, extra in parts(i):
+            for cost, k in here + going:
+                more = cost + extra + math.log10(k + 1)
+                if more < limit:
+                    _undominated(known.setdefault(end, []), more, k + 1)
+    return min((cost for cost, _ in known.get(n, []) + brute.get(n, [])), default=math.inf)
 
 
 def _candidates(raw):
@@ -183,12 +211,17 @@ def _candidates(raw):
 
 
 def spans_of(raw, min_log10=10.0, ranks=None):
-    """(start, kind number, end) in bytes of ``raw``, sorted."""
+    """(start, kind number, end) in bytes of ``raw``, sorted, with ``ranks`` as the known words."""
     found, values = _candidates(raw)
+    return sorted(found + [(s, 3, e) for s, e, _ in _open(raw, values, min_log10, ranks)])
+
+
+def _open(raw, values, min_log10, ranks):
+    """(start, end, value) of the ``values`` that are unguessable under ``ranks``."""
     for s, e in values:
-        if log10_guesses(raw[s:e].decode("utf-8", "replace"), ranks) >= min_log10:
-            found.append((s, 3, e))
-    return sorted(found)
+        value = raw[s:e].decode("utf-8", "replace")
+        if log10_guesses(value, ranks, min_log10) >= min_log10:
+            yield s, e, value
 
 
 def _words(raw):
@@ -203,18 +236,15 @@ def _words(raw):
     return {m[0] for m in _RUN.finditer(rest) if len(m[0]) <= LONGEST}
 
 
-def _parts(raw, min_log10, ranks):
-    """What could be words in the values of a text that are unguessable under ``ranks``."""
-    for s, e in _candidates(raw)[1]:
-        value = raw[s:e].decode("utf-8", "replace")
-        if log10_guesses(value, ranks) < min_log10:
-            continue
-        for form in set(_forms(value)):
-            for m in _RUN.finditer(form):
-                run = m[0]
-                for i in range(len(run) - 2):
-                    for j in range(i + 3, min(len(run), i + LONGEST) + 1):
-                        yield run[i:j]
+def _parts(value):
+    """What could be words in a value."""
+    return {
+        m[0][i:j]
+        for form in set(_forms(value))
+        for m in _RUN.finditer(form)
+        for i in range(len(m[0]) - 2)
+        for j in range(i + 3, min(len(m[0]), i + LONGEST) + 1)
+    }
 
 
 def _counted(docs, of_text):
@@ -243,29 +273,107 @@ def _counted(docs, of_text):
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corpus_ranks(docs, min_log10=10.0, common=COMMON, min_docs=MIN_DOCS):
-    """The ranks of ``common`` and of the corpus's words that can be parts of open values."""
+def _keys(column):
+    """128 bits of hash that stand for a text or a value in joins."""
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
+
+
+def open_values(docs, min_log10=10.0, common=COMMON):
+    """(t1, t2, start, end, value) of each distinct text's values that ``common`` leaves unguessable."""
     base = common_ranks(common)
-    parts = settle(
-        _counted(docs, lambda raw: _parts(raw, min_log10, base)).select("word"), "parts", packed=True
-    )
-    if parts.isEmpty():
-        return base
+
+    @lean
+    def run(batches):
+        for batch in _small(batches, 0):
+            buf, offs = column_bytes(batch.column(0))
+            data = buf.tobytes()
+            out = [[], [], [], []]
+            for row, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                raw = data[a:b]
+                for s, e, value in _open(raw, _candidates(raw)[1], min_log10, base):
+                    start = len(raw[:s].decode("utf-8"))
+                    span = row, start, start + len(raw[s:e].decode("utf-8")), value
+                    for values, x in zip(out, span, strict=True):
+                        values.append(x)
+            rows = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(rows), batch.column(2).take(rows)]
+                + [pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())],
+                ["t1", "t2", "start", "end", "value"],
+            )
+
+    texts = docs.select("text", *_keys(docs["text"]))
+    return texts.mapInArrow(run, "t1 long, t2 long, start long, end long, value string").distinct()
+
+
+def corpus_ranks(docs, parts, listed=len(COMMON), min_docs=MIN_DOCS):
+    """(word, rank) of the corpus's words that are in ``parts`` (word), behind ``listed`` ranks."""
     words = settle(_counted(docs, _words).where(F.col("n") >= min_docs), "words", packed=True)
     # A row for each number of documents; a word's rank is the number of words with as many.
-    steps = sorted(map(tuple, words.groupBy("n").agg(F.count("*")).collect()), reverse=True)
-    last = dict(zip([n for n, _ in steps], np.cumsum([k for _, k in steps]).tolist(), strict=True))
-    known = words.join(parts, "word", "left_semi").collect()
-    return Ranks({r.word: len(base) + last[r.n] for r in known} | base)
+    steps = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    order = [F.desc("n")]
+    steps = accumulated(spread(steps, [], order), [], order, "words")
+    steps = steps.select("n", (F.col("_upto") + F.lit(listed)).alias("rank"))
+    known = words.join(parts.select("word").distinct(), "word", "left_semi")
+    return attach(known, steps, ["n"]).select("word", "rank")
 
 
-def _spans_of_rows(column, min_log10, ranks):
-    """For each row its spans in code points."""
+def guesses(docs, min_log10=10.0, common=COMMON, min_docs=MIN_DOCS):
+    """(t1, t2, guesses): the unguessable values (start, end) of each text that has any.
+
+    None if no value is open under ``common`` alone.
+    """
+    opened = open_values(docs, min_log10, common).select("*", *_keys(F.col("value")))
+    opened = settle(opened.toDF("t1", "t2", "start", "end", "value", "v1", "v2"), "open", packed=True)
+    if opened.isEmpty():
+        return None
+    values = opened.select("v1", "v2", "value").dropDuplicates(["v1", "v2"])
+    values = settle(values, "values", packed=True)
+    base = common_ranks(common)
+
+    @lean
+    def split(batches):
+        for batch in batches:
+            for i, value in enumerate(batch.column(2).to_pylist()):
+                parts = pa.array(sorted(_parts(value)), pa.string())
+                at = pa.array(np.full(len(parts), i))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), parts], ["v1", "v2", "word"]
+                )
+
+    parts = values.mapInArrow(split, "v1 long, v2 long, word string")
+    parts = settle(parts, "parts", packed=True)
+    known = parts.join(settle(corpus_ranks(docs, parts, len(base), min_docs), "ranks"), "word")
+    # The words of one value, at most LONGEST for each of its characters.
+    known = known.groupBy("v1", "v2").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+
+    @lean
+    def cost(batches):
+        for batch in batches:
+            hard = [
+                log10_guesses(
+                    value, Ranks({x["word"]: x["rank"] for x in words or []} | base), min_log10
+                )
+                >= min_log10
+                for value, words in zip(
+                    batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True
+                )
+            ]
+            yield batch.select([0, 1]).filter(pa.array(hard, pa.bool_()))
+
+    ranked = attach(values, known, ["v1", "v2"], "left").select("v1", "v2", "value", "words")
+    hard = settle(ranked.mapInArrow(cost, "v1 long, v2 long"), "hard")
+    spans = opened.join(hard, ["v1", "v2"]).groupBy("t1", "t2")
+    return settle(spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("guesses")), "guesses")
+
+
+def _spans_of_rows(column):
+    """For each row its spans of the base kinds, in code points."""
     buf, offs = column_bytes(column)
     data = buf.tobytes()
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         raw = data[a:b]
-        found = spans_of(raw, min_log10, ranks)
+        found = sorted(_candidates(raw)[0])
         if found and not raw.isascii():
             at = np.zeros(len(raw) + 1, dtype=np.int64)
             np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=at[1:])
@@ -282,25 +390,36 @@ def _small(batches, at):
 
 def scan(docs, min_log10=10.0, common=COMMON):
     """doc_id and ``spans``: an array of (kind, start, end), by start and then kind."""
-    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, min_log10, common))
-    kind = pa.list_(
-        pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    )
+    hidden = guesses(docs, min_log10, common)
+    spans = "array<struct<start:long,kind:int,end:long>>"
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     @lean
     def run(batches):
         for batch in _small(batches, 1):
             rows = [
-                [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
-                for found in _spans_of_rows(batch.column(1), min_log10, ranks.value)
+                [{"start": s, "kind": k, "end": e} for s, k, e in found]
+                for found in _spans_of_rows(batch.column(1))
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(rows, type=kind)], ["doc_id", "spans"]
+                [batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), pa.array(rows, kind)],
+                ["doc_id", "t1", "t2", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
+    texts = docs.select("doc_id", "text", *_keys(F.col("text")))
+    found = texts.mapInArrow(run, f"doc_id long, t1 long, t2 long, spans {spans}")
+    spans = F.col("spans")
+    if hidden is not None:
+        found = found.join(hidden, ["t1", "t2"], "left")
+        more = F.transform(
+            "guesses", lambda g: F.struct(g.start.alias("start"), F.lit(3).alias("kind"), g.end.alias("end"))
+        )
+        spans = F.when(F.col("guesses").isNull(), spans).otherwise(F.sort_array(F.concat(spans, more)))
+    kinds = F.array(*map(F.lit, KINDS))
+    named = F.transform(
+        spans, lambda s: F.struct(F.get(kinds, s.kind).alias("kind"), s.start.alias("start"), s.end.alias("end"))
     )
+    return found.select("doc_id", named.alias("spans"))
 
 
 def digest(found):
@@ -323,18 +442,27 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
 
     Texts without spans stay as they are; all rows stay, with all their columns.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, min_log10, common))
-    at = docs.columns.index("text")
+    hidden = guesses(docs, min_log10, common)
+    at, width = docs.columns.index("text"), len(docs.columns)
+    rows, joined = docs, hidden is not None
+    if joined:
+        taken = max(map(len, docs.columns)) * "_"  # no column of docs starts with that much
+        names = [f"{taken}_{name}" for name in hidden.columns]
+        rows = docs.withColumns(dict(zip(names, _keys(docs["text"]), strict=False)))
+        rows = rows.join(hidden.toDF(*names), names[:2], "left").select(
+            *[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], names[2]
+        )
 
     @lean
     def run(batches):
         for batch in _small(batches, at):
             texts, sizes = [], []
-            for text, found in zip(
-                batch.column(at).to_pylist(),
-                _spans_of_rows(batch.column(at), min_log10, ranks.value),
-                strict=True,
+            more = batch.column(width).to_pylist() if joined else [None] * batch.num_rows
+            batch = batch.select(list(range(width)))
+            for text, found, own in zip(
+                batch.column(at).to_pylist(), _spans_of_rows(batch.column(at)), more, strict=True
             ):
+                found = sorted(found + [(x["start"], 3, x["end"]) for x in own or []])
                 if found:
                     parts, done = [], 0
                     for s, _, e in found:
@@ -352,7 +480,7 @@ def redacted(docs, min_log10=10.0, common=COMMON, mark="[SECRET]"):
                 batch = batch.set_column(size, field, pa.array(sizes, field.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
-__all__ = ["corpus_ranks", "digest", "log10_guesses", "redacted", "scan", "spans_of"]
+__all__ = ["corpus_ranks", "digest", "guesses", "log10_guesses", "redacted", "scan", "spans_of"]

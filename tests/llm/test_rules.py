@@ -1,6 +1,10 @@
 """Line rules, secret scans, substring dedup and the pipeline against plain versions."""
 
+import functools
 import hashlib
+import itertools
+import math
+import random
 import re
 from collections import Counter
 
@@ -184,8 +188,101 @@ def test_words_of_the_corpus_are_guessed(spark):
     assert {i for i, kinds in found.items() if kinds} == {*range(10, 15), 23}
     texts = {r.doc_id: r.text for r in S.redacted(docs).collect()}
     assert texts[20] == "The secret is consistency" and texts[10] == "pwd is [SECRET]"
-    ranks = S.corpus_ranks(docs)
-    assert ranks["password"] == 1 and len(S.COMMON) < ranks["consistency"] <= len(S.COMMON) + 5
+    parts = spark.createDataFrame([("consistency",), ("rareunseenword",)], "word string")
+    ranks = {r.word: r["rank"] for r in S.corpus_ranks(docs, parts).collect()}
+    assert set(ranks) == {"consistency"}
+    assert len(S.COMMON) < ranks["consistency"] <= len(S.COMMON) + 5
+
+
+def test_ranks_of_words_with_as_many_documents(spark):
+    rows = [(i, " ".join(w for w, n in [("aaab", 9), ("aaac", 7), ("aaad", 7), ("aaae", 3)] if i < n))
+            for i in range(12)]
+    parts = spark.createDataFrame([("aaab",), ("aaac",), ("aaad",), ("aaae",), ("aaab",)], "word string")
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    ranks = {r.word: r["rank"] for r in S.corpus_ranks(docs, parts, 10).collect()}
+    assert ranks == {"aaab": 11, "aaac": 13, "aaad": 13, "aaae": 14}
+
+
+def test_values_come_back_to_all_their_texts(spark):
+    """Repeated texts, rows without doc_id, clashing columns, a value in many texts and a long one."""
+    value, long = "xK9$mQ2#vL", "".join(f"consistency{i}%Q" for i in range(3000))
+    rows = [(i % 7 or None, f"é😀 pwd is {value}", None, None) for i in range(40)]
+    rows += [(100 + i, f"w{i} pass: {value} and pass: consistency", None, None) for i in range(30)]
+    rows += [(200 + i, "consistency of all", None, None) for i in range(4)]
+    rows += [(300, f"auth: {long} x", None, None), (301, None, None, None)]
+    docs = documents(spark, rows).withColumns({"t1": F.lit(1), "guesses": F.lit("g"), "__t1": F.lit(2)})
+    spans = [
+        (r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in S.scan(docs).collect()
+    ]
+    want = []
+    for doc_id, text, *_ in rows:
+        at = -1 if text is None else max(text.find(value), text.find(long))
+        size = len(long) if doc_id == 300 else len(value)
+        want.append((doc_id, [("guess", at, at + size)] if at >= 0 else []))
+    assert sorted(spans, key=repr) == sorted(want, key=repr)
+    new = S.redacted(docs)
+    assert new.columns == docs.columns
+    texts = [(r.doc_id, r.text, r.t1, r.guesses) for r in new.collect()]
+    plain = lambda t: t and t.replace(value, "[SECRET]").replace(long, "[SECRET]")
+    assert sorted(texts, key=repr) == sorted([(i, plain(t), 1, "g") for i, t, *_ in rows], key=repr)
+
+
+def least_guesses(value, ranks):
+    """Over all segmentations of a short value."""
+    each, low, plain = math.log10(S._alphabet(value)), value.lower(), value.lower().translate(S._LEETS)
+
+    def whole_or_power(a, b, run):
+        return b - a == run or (b - a) & (b - a - 1) == 0
+
+    @functools.cache
+    def part(a, b):
+        costs = [(b - a) * each]
+        if S.DATE.fullmatch(value[a:b]) and any(m.span() == (a, b) for m in S.DATE.finditer(value)):
+            costs.append(math.log10(40_000))
+        for form, extra in ((low, 0.0), (plain, 0.7)):
+            if b - a >= 3 and form[a:b] in ranks:
+                cased = 0.5 if value[a:b] != low[a:b] else 0.0
+                costs.append(math.log10(ranks[form[a:b]] + 1) + extra + cased)
+        run = 1
+        while low[a + run - 1 : a + run + 1] in S._WALKS:
+            run += 1
+        if 3 <= b - a <= run and whole_or_power(a, b, run):
+            costs.append(math.log10(200 * (b - a)))
+        for unit in range(1, 5):
+            times, least = 1, 2 if unit > 1 else 3
+            while low[a : a + unit] == low[a + unit * times : a + unit * (times + 1)] != "":
+                times += 1
+            k = (b - a) // unit
+            if k * unit == b - a and least <= k <= times and (k == times or k & (k - 1) == 0):
+                costs.append(unit * each + math.log10(k))
+        return min(costs)
+
+    best = math.inf
+    for cuts in itertools.product((0, 1), repeat=len(value) - 1):
+        ends = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(value)]
+        parts = list(itertools.pairwise(ends))
+        cost = sum(part(a, b) + math.log10(i + 1) for i, (a, b) in enumerate(parts))
+        best = min(best, cost)
+    return best
+
+
+def test_guess_cost_against_all_segmentations():
+    draw = random.Random(7)
+    words = ["pass", "word", "pa55", "Horse", "qwe", "1999", "20010203", "aaa", "xyz", "abab", "$e", "Z", "7", "é"]
+    ranks = S.Ranks({"pass": 1, "word": 40, "password": 2, "horse": 900, "orse": 3, "sword": 70})
+    for _ in range(300):
+        value = "".join(draw.choices(words, k=draw.randint(1, 4)))[: draw.randint(3, 11)]
+        want = least_guesses(value, ranks)
+        assert S.log10_guesses(value, ranks) == pytest.approx(want, abs=1e-9), value
+        for limit in (4.0, 7.0):
+            under = S.log10_guesses(value, ranks, limit)
+            assert under == (pytest.approx(want, abs=1e-9) if want < limit else math.inf), value
+
+
+def test_guess_cost_of_long_values():
+    value = "".join(f"horse{i}x#" for i in range(30_000))
+    assert S.log10_guesses(value, S.Ranks({"horse": 1}), 10.0) == math.inf
+    assert S.log10_guesses("a1B2" * 50_000, limit=20.0) == pytest.approx(4 * math.log10(62) + math.log10(50_000))
 
 
 def test_secret_edges(spark):
