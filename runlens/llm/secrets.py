@@ -159,25 +159,30 @@ def log10_guesses(value, ranks=None, limit=math.inf):
 
     # A part costs log10 of its place as well; brute force is one part as long as it goes on.
     known, brute = {0: [(0.0, 0)]}, {}  # end of the last part -> pairs, by the kind of that part
+    best = n * each  # of the whole value so far; what costs as much on the way is given up
+
+    def reach(states, end, cost, count):
+        nonlocal best
+        if cost < min(best, limit):
+            if end == n:
+                best = cost
+            else:
+                _undominated(states.setdefault(end, []), cost, count)
+
     for i in range(n):
         here, going = known.pop(i, []), brute.pop(i, [])
         if not here and not going:
             if not known and not brute:
-                return math.inf
+                break
             continue
         for cost, k in going:
-            if cost + each < limit:
-                _undominated(brute.setdefault(i + 1, []), cost + each, k)
+            reach(brute, i + 1, cost + each, k)
         for cost, k in here:
-            more = cost + each + math.log10(k + 1)
-            if more < limit:
-                _undominated(brute.setdefault(i + 1, []), more, k + 1)
+            reach(brute, i + 1, cost + each + math.log10(k + 1), k + 1)
         for end, extra in parts(i):
             for cost, k in here + going:
-                more = cost + extra + math.log10(k + 1)
-                if more < limit:
-                    _undominated(known.setdefault(end, []), more, k + 1)
-    return min((cost for cost, _ in known.get(n, []) + brute.get(n, [])), default=math.inf)
+                reach(known, end, cost + extra + math.log10(k + 1), k + 1)
+    return best if best < limit else math.inf
 
 
 def _candidates(raw):
