@@ -182,9 +182,14 @@ def pairs_of(states, pairs, time="last", wide=False):
     def at(event):
         return F.try_element_at("states", F.lit(event))[time]
 
+    return _pair_rows(states, rest, named, at, wide)
+
+
+def _pair_rows(rows, rest, named, at, wide):
+    """The pairs of each row; ``at`` gives the column with the time of an event."""
     if wide:
         columns = {n: (at(end) - at(start)) / 1000000 for n, (start, end) in named.items()}
-        return states.select(*rest, *[c.alias(n) for n, c in columns.items()]).dropna(
+        return rows.select(*rest, *[c.alias(n) for n, c in columns.items()]).dropna(
             how="all", subset=list(columns)
         )
     each = F.array(
@@ -193,9 +198,9 @@ def pairs_of(states, pairs, time="last", wide=False):
             for n, (start, end) in named.items()
         ]
     )
-    both = F.filter(each, lambda x: x["from"].isNotNull() & x["to"].isNotNull())
-    rows = states.select(*rest, F.explode(both).alias("_pair")).select(*rest, "_pair.*")
-    return rows.withColumn("diff", (F.col("to") - F.col("from")) / 1000000)
+    found = rows.select(*rest, F.explode(each).alias("_pair")).select(*rest, "_pair.*")
+    found = found.where(F.col("from").isNotNull() & F.col("to").isNotNull())
+    return found.withColumn("diff", (F.col("to") - F.col("from")) / 1000000)
 
 
 def event_pairs(events, pairs, txns=None, by=("machine",), time="last", wide=False, keys=None):
@@ -206,8 +211,18 @@ def event_pairs(events, pairs, txns=None, by=("machine",), time="last", wide=Fal
     transactions are joined, as in ``event_diff``.
     """
     keys = run_keys(*[t for t in (events, txns) if t is not None]) + ["txn_id"] if keys is None else as_list(keys)
-    names = [event for pair in _named_pairs(pairs).values() for event in pair]
-    found = pairs_of(event_states(events, names, [*keys, *as_list(by)]), pairs, time, wide)
+    if time not in ("first", "last"):
+        raise ValueError("time must be 'first' or 'last'")
+    named, rest = _named_pairs(pairs), [*keys, *as_list(by)]
+    # One column per event; maps of all times, as ``event_states`` makes them, cost several times more.
+    names = list(dict.fromkeys(event for pair in named.values() for event in pair))
+    columns = {name: f"_at_{i}" for i, name in enumerate(names)}
+    how = F.min if time == "first" else F.max
+    known = events.dropna(subset=[*rest, "event", "time"]).where(F.col("event").isin(names))
+    times = known.groupBy(*rest).agg(
+        *[how(F.when(F.col("event") == name, F.col("time"))).alias(c) for name, c in columns.items()]
+    )
+    found = _pair_rows(times, rest, named, lambda event: F.col(columns[event]), wide)
     return found if txns is None else found.join(txn_facts(txns, keys), keys)
 
 

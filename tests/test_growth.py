@@ -1,11 +1,15 @@
 """Steps that read or compute their input more often than needed, or at a cost beyond its size."""
 
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+import runlens as rl
 from runlens.functions.paths import experiment_name
+from runlens.operators import events as ev
+from tests.test_buckets import PAIRS, experiment
 
 
 def test_names_of_experiments_do_not_cost_the_square_of_the_root(spark):
@@ -32,3 +36,24 @@ def test_names_of_experiments_do_not_cost_the_square_of_the_root(spark):
 def test_names_of_odd_paths(spark, path, names):
     row = spark.createDataFrame([(path,)], "prefix string")
     assert list(row.select(*[experiment_name(depth=d) for d in (1, 2, 3)]).first()) == names
+
+
+def test_by_transaction_needs_no_other_copy(spark, tmp_path):
+    experiment(f"{tmp_path}/logs", "one", 50)
+    run = rl.RunLogs(spark, f"{tmp_path}/logs", store=f"{tmp_path}/store")
+    found = run.by_transaction("transactions", 4)
+    assert os.listdir(f"{tmp_path}/store") == ["transactions_by_transaction"]
+    plain = run.transactions
+    assert found.columns == plain.columns and sorted(found.collect()) == sorted(plain.collect())
+
+
+@pytest.mark.parametrize("how", ["first", "last"])
+def test_event_pairs_make_no_maps(spark, how):
+    rows = [(i, i % 2, e, i * 10.0 + t) for i in range(30) for t, e in enumerate("ABCAB"[: i % 6])]
+    events = spark.createDataFrame(rows, "txn_id long, machine int, event string, time double")
+    found = ev.event_pairs(events, PAIRS, time=how)
+    assert "map_from_entries" not in found._jdf.queryExecution().toString()
+    states = ev.event_states(events, ["A", "B", "C"])
+    assert sorted(found.collect()) == sorted(ev.pairs_of(states, PAIRS, how).collect())
+    with pytest.raises(ValueError, match="time"):
+        ev.event_pairs(events, PAIRS, time="middle")
