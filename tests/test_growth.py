@@ -7,11 +7,25 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlens as rl
+from checks.log_tree import write_tree
 from runlens.functions.paths import experiment_name
 from runlens.operators import events as ev
+from runlens.sources import logs
 from tests.test_buckets import PAIRS, experiment
 
 
+def counted(spark, df):
+    """``df`` and an accumulator of how often its rows are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(see, df.schema), seen
+
+
 def test_names_of_experiments_do_not_cost_the_square_of_the_root(spark):
     root = "file:/" + "r" * 30_000
     rows = spark.range(0, 200, 1, 8).select(F.concat(F.lit(root + "/run-"), "id").alias("prefix"))
@@ -38,6 +52,28 @@ def test_names_of_odd_paths(spark, path, names):
     assert list(row.select(*[experiment_name(depth=d) for d in (1, 2, 3)]).first()) == names
 
 
+def test_a_tree_computes_its_rows_once(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 4).select(
+        F.concat(F.lit("e"), F.col("id") % 3).alias("_experiment"),
+        (F.col("id") % 5).cast("int").alias("_directory"),
+        F.col("id").alias("time"),
+        F.when(F.col("id") % 2 == 0, "a, b;c").when(F.col("id") % 3 == 0, "").alias("text"),
+        F.when(F.col("id") % 7 > 0, F.col("id") / 3).alias("number"),
+    )
+    df, seen = counted(spark, rows)
+    root = write_tree(df, "server", "x.csv", ["time", "text", "number"], root=f"file://{tmp_path}/t")
+    assert seen.value == 5000
+    found = logs.scan(spark, logs.server_path(root, "*", "x.csv"), "time long, text string, number double")
+    found = found.withColumn("_path", F.col("_metadata.file_path"))
+    found = found.select(
+        F.regexp_extract("_path", "/(e[0-9])/server/", 1).alias("_experiment"),
+        F.regexp_extract("_path", "/server/([0-9])/", 1).cast("int").alias("_directory"),
+        "time", "text", "number",
+    )
+    want = rows.withColumn("text", F.nullif("text", F.lit("")))
+    assert found.count() == 5000 and found.exceptAll(want).isEmpty()
+
+
 def test_by_transaction_needs_no_other_copy(spark, tmp_path):
     experiment(f"{tmp_path}/logs", "one", 50)
     run = rl.RunLogs(spark, f"{tmp_path}/logs", store=f"{tmp_path}/store")
