@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import runlens as rl
+from checks import queries
 from checks.log_tree import write_tree
 from runlens.functions.paths import experiment_name
 from runlens.operators import events as ev
@@ -93,3 +94,14 @@ def test_event_pairs_make_no_maps(spark, how):
     assert sorted(found.collect()) == sorted(ev.pairs_of(states, PAIRS, how).collect())
     with pytest.raises(ValueError, match="time"):
         ev.event_pairs(events, PAIRS, time="middle")
+
+
+def test_both_sides_of_the_metadata_of_a_study_read_stored_runs(spark, monkeypatch):
+    plans = []
+
+    def record(df, *args, **options):
+        plans.append(df._jdf.queryExecution().toString())
+
+    monkeypatch.setattr(queries, "write_tree", record)
+    queries._study_logs(queries.Views(spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 2 and not any("o_orderstatus" in plan for plan in plans)
